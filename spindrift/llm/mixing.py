@@ -89,11 +89,11 @@ def _chosen(seed: int):
         order = W.mix(np.arange(blocks, dtype=np.uint64) + W.mix(np.array([seed ^ (int(rows["shard"].iloc[0]) << 20) ^ len(rows)], np.uint64)))
         taken = np.zeros(blocks, bool)
         taken[np.argsort(order, kind="stable")[:rest]] = True
-        edges = np.minimum(np.arange(blocks + 1, dtype=np.int64) * BLOCK_WORDS, words)
+        edges = np.arange(blocks + 1, dtype=np.int64) * words // max(blocks, 1)  # of equal size, to a word
         held = np.concatenate(([0], np.cumsum(np.where(taken, np.diff(edges), 0))))
 
         def upto(x: np.ndarray) -> np.ndarray:
-            block = np.minimum(x // BLOCK_WORDS, max(blocks - 1, 0))
+            block = np.clip(np.searchsorted(edges, x, "right") - 1, 0, max(blocks - 1, 0))
             return held[block] + np.where(taken[block], x - edges[block], 0) if blocks else x * 0
 
         part = upto(end) - upto(start)
@@ -101,9 +101,9 @@ def _chosen(seed: int):
         for s, e, p in zip(start.tolist(), end.tolist(), part.tolist(), strict=True):
             own: list[int] = []
             if p:
-                for k in range(s // BLOCK_WORDS, -(-e // BLOCK_WORDS)):
+                for k in range(int(np.searchsorted(edges, s, "right")) - 1, int(np.searchsorted(edges, e, "left"))):
                     if taken[k]:
-                        a, b = max(s, k * BLOCK_WORDS) - s, min(e, (k + 1) * BLOCK_WORDS) - s
+                        a, b = max(s, int(edges[k])) - s, min(e, int(edges[k + 1])) - s
                         if own and own[-1] == a:
                             own[-1] = b
                         else:
@@ -138,11 +138,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     for s, k, n in dealt.groupBy("source", "shard").agg(F.sum("size")).collect():
         per_shard.setdefault(s, []).append((k, int(n)))
     blocks = {s: sum(-(-n // BLOCK_WORDS) for _, n in own) for s, own in per_shard.items()}
-    seats = apportion(goal, round(sum(goal) / BLOCK_WORDS), [most * blocks.get(s, 0) for s, _ in totals])
+    wanted = [t * blocks.get(s, 0) / n if n else 0.0 for (s, n), t in zip(totals, goal, strict=True)]
+    seats = apportion(wanted, round(sum(wanted)), [most * blocks.get(s, 0) for s, _ in totals])
     quotas = []
     for (s, _), n in zip(totals, seats, strict=True):
         of = sorted(per_shard.get(s, []))
-        quotas += [(s, k, q) for (k, _), q in zip(of, apportion([m for _, m in of], n, [most * -(-m // BLOCK_WORDS) for _, m in of]), strict=True)]
+        quotas += [(s, k, q) for (k, _), q in zip(of, apportion([-(-m // BLOCK_WORDS) for _, m in of], n, [most * -(-m // BLOCK_WORDS) for _, m in of]), strict=True)]
     quotas = spark.createDataFrame(quotas, "_source string, _shard int, quota long")
     dealt = dealt.join(quotas, key & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard", "shards")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,0 +1,29 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from held import differences  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from spindrift.llm import queries  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    assert differences(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SMALL) == []
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    at = docs
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SMALL)
+        assert at.columns == docs.columns
+        at = spark.createDataFrame(at.toPandas(), docs.schema)
+        seen.append(at.count())
+    assert docs.count() == seen[0] and seen[1] < seen[0] and corpus_pipeline.run(spark, SMALL).count() == seen[3]
