@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import vectors, written
 from spindrift.llm.components import components, forest
 
-#: Codewords of a half, and the vectors that the codebooks are fitted on (those of smallest hash).
-CODEWORDS = 32
+#: Codewords of a half at least, and vectors for which there are as many; eight times the vectors have twice the codewords,
+#: up to the most.  A vector visits more cells of a finer grid, so a small table has a coarse one.
+CODEWORDS = 8
+COARSE_ROWS = 1 << 16
+MOST_CODEWORDS = 256
+#: Vectors that the codebooks are fitted on (those of smallest hash).
 FIT_ROWS = 8192
 FIT_ROUNDS = 8
+ASSIGN_ROWS = 1024
 #: Vectors that are compared at a time, and those of a cell, its own and visiting, that one task holds of a part.
 BLOCK = 1024
 PART = 8192
@@ -93,27 +98,31 @@ def _assign(shared, radius: float, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         limit = (reach * radius) ** 2 * (1 + 1e-9)
-        for batch in batches:
-            rows, units = usable(batch)
-            out: dict[str, list] = {k: [] for k in ("label", "rep", "copies", "cell", "home", "unit")}
-            by_length: dict[int, list[int]] = {}
-            for at, u in enumerate(units):
-                by_length.setdefault(len(u), []).append(at)
-            for length, ats in by_length.items():
-                x = np.array([units[at] for at in ats])
-                first, second = books.get(length) or (np.zeros((1, length // 2)), np.zeros((1, length - length // 2)))
-                halves = x[:, : length // 2], x[:, length // 2 :]
-                own = nearest(halves[0], first), nearest(halves[1], second)
-                far = plane_distances(halves[0], first, own[0]), plane_distances(halves[1], second, own[1])
-                for k, at in enumerate(ats):
-                    home = int(own[0][k]) * len(second) + int(own[1][k])
-                    cells = {i * len(second) + j for i, j in visit(far[0][k], far[1][k], limit)} | {home}
-                    for cell in sorted(cells):
-                        if cell >= home:  # the other way round the partner visits this cell
-                            for c, v in (("label", batch["label"][rows[at]].as_py()), ("rep", batch["rep"][rows[at]].as_py()), ("copies", batch["copies"][rows[at]].as_py()), ("cell", cell + (length << 32)), ("home", cell == home), ("unit", x[k])):
-                                out[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()))
-            yield pa.record_batch([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
+        for whole in batches:
+            for start in range(0, whole.num_rows, ASSIGN_ROWS):
+                batch = whole.slice(start, ASSIGN_ROWS)
+                rows, units = usable(batch)
+                by_length: dict[int, list[int]] = {}
+                for at, u in enumerate(units):
+                    by_length.setdefault(len(u), []).append(at)
+                taken: list[int] = []
+                cells: list[int] = []
+                homes: list[bool] = []
+                for length, ats in by_length.items():
+                    x = np.array([units[at] for at in ats])
+                    first, second = books.get(length) or (np.zeros((1, length // 2)), np.zeros((1, length - length // 2)))
+                    halves = x[:, : length // 2], x[:, length // 2 :]
+                    own = nearest(halves[0], first), nearest(halves[1], second)
+                    far = plane_distances(halves[0], first, own[0]), plane_distances(halves[1], second, own[1])
+                    for k, at in enumerate(ats):
+                        home = int(own[0][k]) * len(second) + int(own[1][k])
+                        found = {i * len(second) + j for i, j in visit(far[0][k], far[1][k], limit)} | {home}
+                        found = sorted(c for c in found if c >= home)  # the other way round the partner visits this cell
+                        taken += [rows[at]] * len(found)
+                        cells += [c + (length << 32) for c in found]
+                        homes += [c == home for c in found]
+                out = batch.take(pa.array(taken, pa.int64()))
+                yield pa.record_batch({**{k: out[k] for k in ("label", "rep", "copies")}, "cell": pa.array(cells, pa.int64()), "home": pa.array(homes, pa.bool_()), "embedding": out["embedding"]})
 
     return run
 
@@ -136,8 +145,7 @@ def _compare(least: float):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("home", "descending"), ("rep", "ascending")])
-        width = len(table["unit"][0].as_py())
-        x = np.concatenate([c.values.to_numpy()[c.offsets.to_numpy()[0] : c.offsets.to_numpy()[-1]] for c in table["unit"].chunks]).reshape(-1, width)
+        x = np.array([u for batch in table.select(["embedding"]).to_batches() for u in usable(batch)[1]])
         rep, copies, home, part = (table[k].to_numpy() for k in ("rep", "copies", "home", "part"))
         own, crossing = int(home.sum()), table["p"][0].as_py() != table["q"][0].as_py()
         links = np.zeros(len(rep), np.int64)
@@ -172,7 +180,8 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float = 1.0) -> Da
     to parts of bounded size, and two parts give sums and a forest, never their pairs.  Codebooks are fitted on FIT_ROWS vectors.
     """
     spark = rows.sparkSession
-    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    rows = rows.select("vec_id", "embedding", "label")
     valid = "label is not null and vec_id is not null and embedding is not null"
     same = rows.where(valid).withColumn("label", F.xxhash64(F.col("label").cast("string"))).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     same = written(same, "vectors")
@@ -182,18 +191,21 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float = 1.0) -> Da
     for batch in sample.to_batches():
         for u in usable(batch)[1]:
             by_length.setdefault(len(u), []).append(u)
+    words = CODEWORDS
+    while words < MOST_CODEWORDS and COARSE_ROWS * (2 * words // CODEWORDS) ** 3 <= same.count():
+        words *= 2
     for length, own in by_length.items():
         x = np.array(own)
-        books[length] = fit_codebook(x[:, : length // 2], CODEWORDS, 1), fit_codebook(x[:, length // 2 :], CODEWORDS, 2)
+        books[length] = fit_codebook(x[:, : length // 2], words, 1), fit_codebook(x[:, length // 2 :], words, 2)
     shared = spark.sparkContext.broadcast(books)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    visits = same.mapInArrow(_assign(shared, radius, reach), "label long, rep long, copies long, cell long, home boolean, unit array<double>")
+    visits = same.mapInArrow(_assign(shared, radius, reach), f"label long, rep long, copies long, cell long, home boolean, embedding {kind}")
     visits = written(visits, "visits")
     # what meets in a cell is dealt to parts of bounded size, and each part meets each
     parts = visits.groupBy("label", "cell").agg((F.floor((F.count("*") - 1) / PART) + 1).alias("parts"))
     dealt = visits.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("label", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "copies", "home", "part", "unit")
+    dealt = dealt.select("label", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "copies", "home", "part", "embedding")
     found = written(dealt.groupBy("label", "cell", "p", "q").applyInArrow(_compare(least), "rep long, links long, low long"), "links")
     near = found.groupBy("rep").agg(F.sum("links").alias("links"))
     at = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
