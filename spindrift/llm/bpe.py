@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings of short pieces that a worker keeps at most.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 CACHED_BYTES = 48
 
 
@@ -96,17 +96,21 @@ class PrefixTable:
         self._fill(len(self.last), len(self.data))
 
     def _fill(self, start: int, end: int) -> None:
-        for i in range(start, end):
-            self.last.append(self._entry(i + 1))
-
-    def _entry(self, end: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
-        ranks, stands = v.ranks, v.stands
-        for begin in range(max(0, end - v.longest), end):
-            token = ranks.get(data[begin:end])
-            if token is not None and (begin == 0 or stands(last[begin - 1], token)) and (len(data[begin:end]) == 1 or token in v.halves):
-                return token
-        raise ValueError(f"byte {data[end - 1]:#x} is not in the vocabulary")
+        get, beside, halves, longest = v.ranks.get, v.beside, v.halves, v.longest
+        for stop in range(start + 1, end + 1):
+            for begin in range(stop - longest if stop > longest else 0, stop):
+                token = get(data[begin:stop])
+                if token is None or (stop - begin > 1 and token not in halves):
+                    continue
+                if not begin:
+                    break
+                stands = beside.get((last[begin - 1], token))
+                if stands or (stands is None and v.stands(last[begin - 1], token)):
+                    break
+            else:
+                raise ValueError(f"byte {data[stop - 1]:#x} is not in the vocabulary")
+            last.append(token)
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts ``data`` in place of data[start:end]; returns how many entries were made anew."""
@@ -118,7 +122,7 @@ class PrefixTable:
             if i >= start + len(data) and alike >= self.vocabulary.longest:
                 self.last += old[i - shift :]
                 return i - start
-            self.last.append(self._entry(i + 1))
+            self._fill(i, i + 1)
             alike = alike + 1 if i >= start + len(data) and self.last[i] == old[i - shift] else 0
         return len(self.data) - start
 
