@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by the numpy kernels; bounds their temporary arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 4096
 
 
 def shared_dir(spark: SparkSession) -> str:

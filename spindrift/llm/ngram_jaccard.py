@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
@@ -34,6 +34,12 @@ BLOCK_BITS = 18
 #: A list up to this long gives its pairs at once; a longer one is first compared with its leaders.
 SHORT_LIST = 8
 LEADERS = 2
+#: Turns of MORE_LEADERS more while long lists of several components have more open pairs than this, or than this
+#: many times their sets.  What is open after the last turn is compared all the same.
+TURNS = 2
+MORE_LEADERS = 32
+OPEN_PAIRS = 50_000
+OPEN_SHARE = 8
 #: Partners of one set that one task compares.
 PARTNERS = 4096
 U = np.uint64
@@ -77,11 +83,21 @@ def sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, any_rows = np.zeros(1 << SKETCH_BITS, np.int64), False
+        counters, waiting, any_rows = np.zeros(1 << SKETCH_BITS, np.int64), [], False
+
+        def add() -> None:
+            nonlocal counters
+            if waiting:
+                counters += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS)
+                waiting.clear()
+
         for batch in batches:
             for _, out, _ in grams(batch["text"], width):
                 any_rows = True
-                counters += np.bincount((out & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                waiting.append((out & U((1 << SKETCH_BITS) - 1)).astype(np.int64))
+                if sum(map(len, waiting)) > 1 << 20:
+                    add()
+        add()
         if any_rows:
             blocks = np.minimum(counters, 2**32 - 1).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)
             yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counters": pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())})
@@ -273,6 +289,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(_overlaps, "a long, b long, shared long, sizes long")
 
 
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select("b", "a"))
+
+
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text, anything more).
 
@@ -299,12 +319,33 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = first.where(enough).select("a", "b")
     at = components(links)
 
-    # long lists whose sets are still in different components: bounds from what is known with the leader
-    members = found.where("long_list").select("token", F.col("a").alias("leader"), F.col("b").alias("doc"), F.col("na").alias("n_leader"), F.col("nb").alias("n"), F.col("pb").alias("pos"))
-    members = members.join(at.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    # long lists whose sets are still in different components
+    listed = found.where("long_list").select("token", F.col("a").alias("leader"), F.col("b").alias("doc"), F.col("na").alias("n_leader"), F.col("nb").alias("n"), F.col("pb").alias("pos"))
+    tested, turn = first, 0
+    while True:
+        members = listed.join(at.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        per = members.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).where("m * m > s")
+        per = written(per, "mixed")
+        rows, open_pairs = per.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0))).first()
+        members = members.join(per.select("token"), "token", "left_semi")
+        if turn == TURNS or open_pairs <= max(OPEN_PAIRS, OPEN_SHARE * rows):
+            break
+        # more leaders, others each turn, meet those of other components; every turn joins components further
+        turn += 1
+        by = Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(turn)))
+        members = written(members, "members")
+        listed = members.drop("component")  # lists of one component are done
+        leads = members.withColumn("k", F.row_number().over(by)).where(F.col("k") <= MORE_LEADERS).select("token", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("component_a"))
+        met = leads.join(members, "token").where(f"a <> doc and component <> component_a and (1 + least(n_a - pos_a, n - pos) - 1) * {100 + percent} >= {percent} * (n_a + n)")
+        met = met.select("a", F.col("doc").alias("b")).distinct().join(_either_way(tested), ["a", "b"], "left_anti")
+        more = written(_verified(docs, written(met, "met"), width), "overlaps")
+        tested = tested.unionByName(more)
+        links = links.union(more.where(enough).select("a", "b"))
+        at = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(enough).select("a", "b")))
+
+    # what is left, with the bounds that follow from the lists' leaders
     shared = first.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "shared")
-    members = members.join(mixed, "token", "left_semi").join(shared, ["leader", "doc"], "left")
+    members = members.join(shared, ["leader", "doc"], "left")
     members = written(members.withColumn("shared", F.when(F.col("leader") == F.col("doc"), F.col("n")).otherwise(F.col("shared"))), "members")
     if members.isEmpty():
         rest = links
@@ -315,8 +356,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         near = x.join(y, "token").where(f"doc_x < doc_y and component_x <> component_y and (1 + least(n_x - pos_x, n_y - pos_y) - 1) * {100 + percent} >= {need} and coalesce({upper}, least(n_x, n_y)) * {100 + percent} >= {need}")
         near = near.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.max(F.expr(f"coalesce((shared_x + shared_y - n_leader_x) * {100 + percent} >= {need}, false)")).alias("sure"))
         near = written(near, "near")
-        more = near.where("not sure").select("a", "b").join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = near.where("not sure").select("a", "b").join(_either_way(tested), ["a", "b"], "left_anti")
         rest = links.union(near.where("sure").select("a", "b"))
+        more = written(more, "pairs")
         if not more.isEmpty():
             rest = rest.union(written(_verified(docs, more, width), "overlaps").where(enough).select("a", "b"))
     final = components(rest.union(copies))
