@@ -55,15 +55,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), component being the smallest node reachable.
 
     Each task first contracts its own edges to stars; then large-star and small-star steps alternate until nothing
-    changes.  No step gathers a node's neighbours: minima are aggregates and are joined back, so a node with very
-    many neighbours only makes a skewed join, which Spark splits.  Loops and null ends are left out.
+    changes, or until the edges left are so few that one task contracts them at once (CONTRACT_ROWS, counted first),
+    which ends it whatever their shape.  No step gathers a node's neighbours: minima are aggregates and are joined
+    back, so a node with very many neighbours only makes a skewed join, which Spark splits.  Loops and null ends are
+    left out.
     """
-    e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a <> b").distinct()
+    e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a <> b")
     e = written(e.mapInArrow(_contract, "hi long, lo long"), "edges")
     seen = None
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if now[0] == 0 or now == seen:
+        if (few := 0 < now[0] <= CONTRACT_ROWS) and now != seen:
+            e = written(e.coalesce(1).mapInArrow(_contract, "hi long, lo long"), "edges")
+        if now[0] == 0 or now == seen or few:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))

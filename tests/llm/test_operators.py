@@ -70,10 +70,13 @@ def test_jaccard_nulls_repeats_and_empty_table(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in ngram_jaccard.one_of_each(rows).collect()) == [(False, 1), (True, None)]
 
 
+@pytest.mark.parametrize("rows_at_once", [0, 1 << 20], ids=["steps", "one_task"])
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=20))
-def test_components_equal_forest(spark, pairs):
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+def test_components_equal_forest(spark, rows_at_once, pairs):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(components, "CONTRACT_ROWS", rows_at_once)
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     top = components.forest(pairs)
     assert got == {x: top.get(x, x) for p in pairs if p[0] != p[1] for x in p}
 
