@@ -20,6 +20,8 @@ from spindrift.llm.common import slices, utf8, written
 #: Buckets of the models: fixed, so a model is 2 * 8 bytes each, whatever the input.
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
+#: Labelled rows that the target model is fitted on at most; their ids are broadcast.
+MOST_LABELLED = 1 << 17
 U = np.uint64
 
 
@@ -46,6 +48,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"bucket": pa.array(found, pa.int32()), "n": pa.array(counts[found], pa.int64())})
 
 
+def labelled_texts(docs: DataFrame, ids: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """(text) of the rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id), to fit a model on.
+
+    At most ``most`` distinct ids are used, those of smallest hash, so reruns agree; null ids match nothing.  Thus what is
+    broadcast is bounded, and no text is shuffled however many labels there are.
+    """
+    ids = ids.select(F.col("doc_id").alias("_labelled")).where("_labelled is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("_labelled"), "_labelled").limit(most)
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled"), "left_semi").select("text")
+
+
 def model(texts: DataFrame) -> np.ndarray:
     """Log share of each bucket in all of ``texts`` (text)."""
     counts = np.zeros(BUCKETS)

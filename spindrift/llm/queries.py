@@ -38,9 +38,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1").select("doc_id").distinct()
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0] or 0.0
-    return importance.resample(docs, docs.join(good, "doc_id", "left_semi").select("text"), share)
+    return importance.resample(docs, importance.labelled_texts(docs, labels.where("quality = 1")), share)
 
 
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

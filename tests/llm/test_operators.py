@@ -193,6 +193,9 @@ def test_importance(spark):
     odd = docs_of(spark, [None, "", "a", "a", "b c"])
     assert importance.resample(odd, odd.select("text"), 0.4).where("kept").count() == 2
     assert importance.resample(odd.where("false"), odd.select("text"), 0.4).count() == 0
+    ids = spark.createDataFrame([(2,), (2,), (3,), (None,), (99,)], "doc_id long")
+    assert sorted(r.text for r in importance.labelled_texts(odd, ids).collect()) == ["a", "a"]
+    assert importance.labelled_texts(odd, ids, most=1).count() <= 1 and importance.labelled_texts(odd, ids.where("false")).count() == 0
     assert importance._kth(spark.range(30_000).selectExpr("cast(id % 7 as double) as key"), 10_000) == 4.0
 
 
