@@ -18,9 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encodings of short pieces that a worker keeps at most.
-CACHED_PIECES = 600_000
+#: Encodings of short pieces that a worker keeps in each of two generations; of token pairs, whether they stand.
+CACHED_PIECES = 200_000
 CACHED_BYTES = 48
+CACHED_PAIRS = 300_000
 
 
 class Vocabulary:
@@ -61,6 +62,8 @@ class Vocabulary:
         have been joined by a merge that comes before the next one inside, the border would not have stood."""
         known = self.beside.get((left, right))
         if known is None:
+            if len(self.beside) >= CACHED_PAIRS:
+                self.beside.clear()
             known = self.beside[left, right] = self._stands(left, right)
         return known
 
@@ -135,34 +138,48 @@ class PrefixTable:
 
 
 class Codec:
-    """Splits texts by a pattern and encodes each match on its own, as a rank file's own library does."""
+    """Splits texts by a pattern and encodes each match on its own, as a rank file's own library does.
+
+    Pieces are kept as decimal ids joined by a space.  Those asked for lately move to the young generation; the old one
+    goes as a whole when the young one is full."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.split = vocabulary, regex.compile(pattern)
-        self.pieces: dict[str, tuple[list[int], str]] = {}
-
-    def piece(self, text: str) -> tuple[list[int], str]:
-        data = text.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-        out = ids, " ".join(map(str, ids))
-        if len(data) <= CACHED_BYTES:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[text] = out
-        return out
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same as decimals joined by a space."""
-        get, piece, ids, said = self.pieces.get, self.piece, [], []
+        self.said = {rank: str(rank) for rank in vocabulary.bytes}
+        self.bytes = {self.said[rank]: token for rank, token in vocabulary.bytes.items()}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def piece(self, text: str) -> str:
+        said = self.old.get(text)
+        if said is None:
+            data = text.encode("utf-8", "surrogatepass")
+            whole = self.vocabulary.ranks.get(data)
+            if whole is not None:
+                said = self.said[whole]
+            else:
+                said = " ".join(map(self.said.__getitem__, PrefixTable(self.vocabulary, data).tokens()))
+                if len(data) > CACHED_BYTES:
+                    return said
+        if len(self.young) >= CACHED_PIECES:
+            self.old, self.young = self.young, {}
+        self.young[text] = said
+        return said
+
+    def encode(self, text: str) -> list[str]:
+        """Ids as decimals."""
+        get, piece = self.young.get, self.piece
+        said = []
         for match in self.split.findall(text):
-            own, words = get(match) or piece(match)
-            ids += own
-            said.append(words)
-        return ids, " ".join(said)
+            own = get(match)
+            if own is None:
+                own = piece(match)
+                get = self.young.get  # a new generation may have begun
+            said.append(own)
+        return " ".join(said).split()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+    def decode(self, ids: list[str]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -176,11 +193,11 @@ def _coded(path: str, pattern: str, with_ids: bool):
         for batch in batches:
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
             for text in batch["text"]:
-                ids, said = own.encode(text.as_py() or "")
+                ids = own.encode(text.as_py() or "")
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                all_ids.append(ids if with_ids else None)
+                all_ids.append(list(map(int, ids)) if with_ids else None)
             yield pa.record_batch({"row": batch["row"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string()), "token_ids": pa.array(all_ids, pa.list_(pa.int32()))})
 
     return run

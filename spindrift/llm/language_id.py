@@ -146,7 +146,7 @@ def _predict(shared):
                         best = away, k
                 preds[row] = names[best[1]]
                 scores[row] = 1 - best[0] / (PROFILE * len(own))
-            yield pa.record_batch({"row": batch["row"], "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores)})
+            yield pa.record_batch({"row": batch["row"], "text": batch["text"], "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores)})
 
     return run
 
@@ -161,9 +161,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
     shared = docs.sparkSession.sparkContext.broadcast(dict(sorted(profiles.items())))
     names = list(docs.columns)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text"))
-    out = packed.mapInArrow(_predict(shared), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "lang_pred", "score")
+    # texts are the bulk of a batch and go to the workers once
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("row"), F.col("text"))
+    out = packed.mapInArrow(_predict(shared), f"row {packed.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "lang_pred", "score")
 
 
 #: Below this score a text resembles no learned language.
