@@ -13,11 +13,14 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import lists, sliced
+
 #: Encodings of short pieces that a worker keeps in each of two generations; of token pairs, whether they stand.
 CACHED_PIECES = 200_000
 CACHED_BYTES = 48
@@ -190,15 +193,17 @@ def codec(path: str, pattern: str) -> Codec:
 def _coded(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            n, ids_sha, decoded_sha, all_ids = [], [], [], []
-            for text in batch["text"]:
+        for batch in sliced(batches):
+            n, ids_sha, decoded_sha, all_ids = np.zeros(batch.num_rows, np.int64), [], [], []
+            for row, text in enumerate(batch["text"]):
                 ids = own.encode(text.as_py() or "")
-                n.append(len(ids))
+                n[row] = len(ids)
                 ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                all_ids.append(list(map(int, ids)) if with_ids else None)
-            yield pa.record_batch({"row": batch["row"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string()), "token_ids": pa.array(all_ids, pa.list_(pa.int32()))})
+                if with_ids:
+                    all_ids.append(np.fromiter(map(int, ids), np.int32, len(ids)))
+            token_ids = lists(np.concatenate(all_ids), n, pa.int32()) if all_ids else pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.record_batch({"row": batch["row"], "n_tokens": pa.array(n), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string()), "token_ids": token_ids})
 
     return run
 

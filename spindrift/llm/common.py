@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy kernels; bounds their temporary arrays.
 SLICE_BYTES = (1 << 20) - 4096
@@ -80,6 +81,19 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def all_but_text(names: list[str]):
+    """A struct of these columns without the texts, which are the bulk of a batch and go to the workers once."""
+    return F.struct(*([F.col(f"`{c}`") for c in names if c != "text"] or [F.lit(0).alias("_")]))
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of text: what is made of a part bounds a worker's memory."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in slices(np.concatenate(([0], np.cumsum(lengths)))):
+            yield batch.slice(lo, hi - lo)
+
+
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column of consecutive runs of ``values``."""
     at = np.zeros(len(lengths) + 1, np.int32)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import slices, utf8
+from spindrift.llm.common import all_but_text, slices, utf8
 
 #: N-grams of 1 to LONGEST letters; of a profile, the first PROFILE.
 LONGEST = 3
@@ -161,8 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
     shared = docs.sparkSession.sparkContext.broadcast(dict(sorted(profiles.items())))
     names = list(docs.columns)
-    # texts are the bulk of a batch and go to the workers once
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("row"), F.col("text"))
+    packed = docs.select(all_but_text(names).alias("row"), F.col("text"))
     out = packed.mapInArrow(_predict(shared), f"row {packed.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
     return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "lang_pred", "score")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import slices, utf8, written
+from spindrift.llm.common import all_but_text, sliced, slices, utf8, written
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 20
@@ -163,10 +163,11 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     plan = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
     rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_rounds")))).where("_copy < _rounds or size(_spans) > 0")
-    kind = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r")).schema["r"].dataType.simpleString()
+    row = all_but_text(names)
+    kind = rows.select(row.alias("row")).schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for text, spans, copy, rounds in zip(batch["text"], batch["_spans"], batch["_copy"].to_pylist(), batch["_rounds"].to_pylist(), strict=True):
                 own = text.as_py()
@@ -176,7 +177,7 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
                 texts.append(own)
             yield pa.record_batch({"row": batch["row"], "text": pa.array(texts, pa.string())})
 
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "text", "_spans", "_copy", "_rounds")
+    packed = rows.select(row.alias("row"), "text", "_spans", "_copy", "_rounds")
     out = packed.mapInArrow(cut, f"row {kind}, text string")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return out.select(*((new[c] if new.get(c) is not None else F.col("row").getField(c)).alias(c) for c in names))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import lists, slices, utf8, written
+from spindrift.llm.common import all_but_text, lists, sliced, slices, utf8, written
 
 U = np.uint64
 _COUNTED = "h1 long, h2 long, key long, pos int, sure boolean"
@@ -197,7 +197,7 @@ def repeated_windows(texts: DataFrame, length: int = 35) -> DataFrame | None:
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, digests, texts = [], [], [], []
             places, place_at = batch["places"].values.to_numpy(), batch["places"].offsets.to_numpy()
             known = batch["places"].is_valid().to_numpy(zero_copy_only=False)
@@ -223,7 +223,7 @@ def _cut(length: int):
                 kept = b" ".join(parts)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(own if removed[-1] == 0 else kept.decode())
-            yield pa.record_batch({"row_id": batch["row_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string())})
+            yield pa.record_batch({"row_id": batch["row_id"], "text": batch["text"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string())})
 
     return run
 
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     rows = keyed.join(equal, "key", "left")
     rows = rows.join(places, "key", "left") if places is not None else rows.withColumn("places", F.lit(None).cast("array<int>"))
     names = [c for c in docs.columns]
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row_id"), F.col("text"), F.coalesce("copied", F.lit(False)).alias("copied"), "places")
+    packed = rows.select(all_but_text(names).alias("row_id"), F.col("text"), F.coalesce("copied", F.lit(False)).alias("copied"), "places")
     kind = packed.schema["row_id"].dataType.simpleString()
-    out = packed.mapInArrow(_cut(length), f"row_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select(*(F.col("row_id").getField(c).alias(c) for c in names), *added)
+    out = packed.mapInArrow(_cut(length), f"row_id {kind}, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out.select(*(F.col("text") if c == "text" else F.col("row_id").getField(c).alias(c) for c in names), *added)
