@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindrift.llm import bpe, chat_format, components, embedding_dedup, importance, language_id, mixing, ngram_jaccard, substring_dedup, vector_search, warc
 from spindrift.llm import queries as Q
 
@@ -115,6 +116,19 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def test_known_language_drops_junk_and_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(4)
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(60)), "".join(rng.choice(signs) for _ in range(800)), "".join(rng.choice("0123456789abcdef") for _ in range(800))]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."]
+    clean = ["The cat sat on the mat.", "This is the end of the story.", *(r.text for r in docs.where("n_chars < 150").collect())]
+    assert len(clean) > 4
+    odd = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate([*junk, *clean])], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id - 10**6 for r in corpus_pipeline.known_language(spark, docs.unionByName(odd.select(docs.columns)), SMALL).where("doc_id >= 1000000").collect()}
+    assert kept == set(range(len(junk), len(junk) + len(clean)))
+
+
 def test_vectors_link_as_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
