@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
@@ -72,15 +72,16 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch["text"])
         n = [W.counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
-        yield pa.record_batch({"doc_id": batch["doc_id"], "source": batch["source"], "size": pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())})
+        more = {c: batch[c] for c in batch.schema.names if c not in ("doc_id", "text", "source")}
+        yield pa.record_batch({"doc_id": batch["doc_id"], "source": batch["source"], "size": pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()), **more})
 
 
-def _chosen(seed: int):
+def _chosen(seed: int, marks: list[str]):
     """Of one shard: for each text whole takes, chosen words, and where they lie in it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         quota = int(rows["quota"].iloc[0])
-        rows = rows.sort_values(["place", "doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["place", "doc_id", "size", *marks], na_position="last", kind="stable").reset_index(drop=True)
         size = rows["size"].to_numpy(np.int64)
         end = np.cumsum(size)
         start, words = end - size, int(end[-1]) if len(end) else 0
@@ -109,7 +110,7 @@ def _chosen(seed: int):
                         else:
                             own += [a, b]
             spans.append(own)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "size": size, "source_size": rows["source_size"], "target": rows["target"], "taken": rounds * size + part, "rounds": rounds, "spans": spans})
+        return pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "size": size, "source_size": rows["source_size"], "target": rows["target"], "taken": rounds * size + part, "rounds": rounds, "spans": spans, **{c: rows[c] for c in marks}})
 
     return run
 
@@ -124,8 +125,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     MOST_SHARDS for each; sources without words have target 0 and keep their place in the order of weights.  Columns
     other than these three are not read.
     """
+    return _plan(docs, weights, most, seed)
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, marks: tuple[str, ...] = ()) -> DataFrame:
+    """mix, with the columns ``marks`` of docs, non-null longs, passed on; they order rows of equal doc_id and size."""
     spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "text", "source").mapInArrow(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long"), "sizes")
+    marked = "".join(f", {c} long" for c in marks)
+    sized = written(docs.select("doc_id", "text", "source", *marks).mapInArrow(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long{marked}"), "sizes")
     totals = sorted(((s, int(n)) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     own = [weights[i % len(weights)] for i in range(len(totals))]
     goal = targets([n for _, n in totals], own, most)
@@ -147,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     quotas = spark.createDataFrame(quotas, "_source string, _shard int, quota long")
     dealt = dealt.join(quotas, key & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard", "shards")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("source", "shard").applyInPandas(_chosen(seed), f"doc_id {kind}, source string, size long, source_size long, target double, taken long, rounds int, spans array<long>")
+    return dealt.groupBy("source", "shard").applyInPandas(_chosen(seed, list(marks)), f"doc_id {kind}, source string, size long, source_size long, target double, taken long, rounds int, spans array<long>{marked}")
 
 
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -157,11 +164,24 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time that a text is taken whole, and one with the
     chosen stretches of words, joined by a line end, where a part is taken; n_chars, if there, is of the new text.
 
-    Rows that the mix does not take go.  doc_id must be a row's own; a null or repeated one takes what its equals take.
+    Each row takes what mix plans for it, also where its doc_id is null or repeated; rows that the mix does not take go.
+    Plans and rows meet by doc_id, source and 128 bits of the text; rows equal in these are numbered on both sides.
     """
     names = docs.columns
-    plan = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    marks = ("_mark_a", "_mark_b")
+    marked = docs.withColumns({"_mark_a": F.xxhash64("text"), "_mark_b": F.xxhash64(F.lit(1), F.col("text"))})
+    plan = written(_plan(marked, **how, marks=marks).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "taken", *(F.col(c).alias(f"_{c}") for c in marks), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")), "plan")
+    theirs = ["_id", "_source", *(f"_{c}" for c in marks)]
+    repeated = not plan.groupBy(*theirs).count().where("count > 1").isEmpty()
+    plan = plan.where("taken > 0").drop("taken")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    for c in marks:
+        on &= F.col(c) == F.col(f"_{c}")
+    if repeated:
+        marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", *marks).orderBy("_mark_a")))
+        plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy(*theirs).orderBy(F.desc("_rounds"), "_spans")))
+        on &= F.col("_nth") == F.col("__nth")
+    rows = marked.join(plan, on)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_rounds")))).where("_copy < _rounds or size(_spans) > 0")
     row = all_but_text(names)
     kind = rows.select(row.alias("row")).schema["row"].dataType.simpleString()

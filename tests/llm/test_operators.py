@@ -194,6 +194,26 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixed_texts_follow_each_row_where_ids_are_null_or_repeated(spark):
+    sizes = [400, 3, 90, 1, 250, 30, 700, 12, 5]
+    text = lambda k, n: " ".join(f"r{k}w{j}" for j in range(n))
+    rows = [(doc_id, text(f"{doc_id}{s}{k}", n), s, k) for doc_id in (None, 7) for s in ("a", "b", None) for k, n in enumerate(sizes)]
+    rows += [(None, text("same", 300), "c", 100 + k) for k in range(4)] + [(8, text("same", 300), "c", 200 + k) for k in range(3)] + [(9, text("own", 200), "c", 300), (None, None, "c", 301)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    planned = Counter()
+    for r in mixing.mix(docs).collect():
+        planned[r.doc_id, r.source, r["size"]] += r.taken
+    assert any(0 < v % k[2] for k, v in planned.items() if k[2])  # some text is taken in part
+    mixed, whole, got = mixing.mixed_texts(docs).collect(), {(r[0], r[2], r[3]): r[1] for r in rows}, Counter()
+    for r in mixed:
+        own = words(whole[r.doc_id, r.source, r.n])
+        assert set(words(r.text)) <= set(own) and len(set(words(r.text))) == len(words(r.text))
+        got[r.doc_id, r.source, len(own)] += len(words(r.text))
+    assert got == +planned
+    texts = lambda rows: sorted(str((r.doc_id, r.source, r.text)) for r in rows)
+    assert texts(mixed) == texts(mixing.mixed_texts(docs.repartition(5)).collect())
+
+
 def test_importance(spark):
     rows = Q.op5_importance(spark, SMALL).collect()
     again = {r.doc_id: r.gumbel_key for r in Q.op5_importance(spark, SMALL).collect()}
