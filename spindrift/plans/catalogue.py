@@ -199,6 +199,11 @@ def slugify(spark, d):
     return table(spark, d, "documents").where(~head.rlike(r"[^\p{L}\p{N}\p{P}\p{S}\p{Z}\s]")).select("doc_id", text.slugify(head).alias("slug"))
 
 
+@query()
+def slugify_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
 @query(r"SELECT doc_id, coalesce(nullif(regexp_extract('Release ' || CASE WHEN doc_id % 3 = 0 THEN 'v' || (doc_id % 9)::VARCHAR || '.' || (doc_id % 5)::VARCHAR || '.x' ELSE 'notes' END, 'v?(\d+\.\d+(?:\.\d+)?(?:\.x)?)', 1), ''), nullif(regexp_extract(substr(text, 1, 200), 'v?(\d+\.\d+(?:\.\d+)?(?:\.x)?)', 1), ''), '') AS version FROM documents")
 def version_extract(spark, d):
     v = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("v"), (F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 5).cast("string"), F.lit(".x"))).otherwise("notes")

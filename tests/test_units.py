@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import chat, html, text, url
 from spindrift.operators import chunks, crawl, evaluate, maintain, search
+from spindrift.plans import catalogue
 from spindrift.sources import sitemaps
 from spindrift.streaming import chat as streams
 
@@ -127,3 +129,15 @@ def test_streamed_markers(spark, tmp_path):
     asked = streams.filter_markers(stream).writeStream.format("memory").queryName("marked").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     asked.awaitTermination(120)
     assert {tuple(r) for r in spark.sql("select * from marked").collect()} == {(1, "hello"), (2, "plain")}
+
+
+def slug_of(whole):
+    return None if whole is None else re.sub(r"[\s_]+", "-", re.sub(r"[^\w\s-]", "", whole.lower().strip()))
+
+
+def test_slugs_of_whole_texts_equal_brute_force(spark, tmp_path):
+    odd = [None, "", " \n\t", "\u00a0 Hello, Wörld_x!\n", "cafe\u0301 na\u00efve \u0939\u093f\u0928\u094d\u0926\u0940 \u0e44\u0e17\u0e22", "x\u200by\x1cz\u2028a \u00b2\u2167\u24b6 a\u203fb \u2014 🎉", "\u0130\u03a3 \u039f\u03a3 " + "long text, " * 50]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {r.doc_id: slug_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    assert {r.doc_id: r.slug for r in catalogue.QUERIES["slugify_texts"](spark, str(tmp_path)).collect()} == expected
