@@ -250,9 +250,14 @@ def parents_without_children(spark, d):
 
 
 def _queries(spark, d) -> DataFrame:
-    """Benchmark passages as queries; their vectors are those of rows with their number."""
+    """All benchmark passages as queries."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+
+
+def _vector_queries(spark, d) -> DataFrame:
+    """The queries that have a vector, which is that of the row with their number."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text").join(vectors, "query")
+    return _queries(spark, d).join(vectors, "query")
 
 
 def _docs(spark, d) -> DataFrame:
@@ -285,12 +290,12 @@ def bm25_topk(spark, d):
 
 @query(_BM25 + "SELECT query, doc, score, rank::INTEGER AS rank FROM kn")
 def knn_topk(spark, d):
-    return search.nearest(_vectors(spark, d), _queries(spark, d), 15)
+    return search.nearest(_vectors(spark, d), _vector_queries(spark, d), 15)
 
 
 @query(_BM25.replace("0.3 AS w", "0.3::DOUBLE AS w").replace("0.7, 1048576", "0.7::DOUBLE, 1048576") + "SELECT query, doc, score, rank FROM rr WHERE rank <= 5")
 def rrf_hybrid(spark, d):
-    return search.hybrid(search.bm25_index(_docs(spark, d)), _vectors(spark, d), _queries(spark, d))
+    return search.hybrid(search.bm25_index(_docs(spark, d)), _vectors(spark, d), _vector_queries(spark, d))
 
 
 @query(_BM25 + """, c AS (SELECT bm.query, bm.rank, bm.doc, len(list_intersect(list_distinct(qx.ts), dx.ts))::DOUBLE / len(list_distinct(qx.ts)) AS s FROM bm

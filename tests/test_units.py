@@ -1,5 +1,6 @@
 import json
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,14 @@ def test_slugs_of_whole_texts_equal_brute_force(spark, tmp_path):
     docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     expected = {r.doc_id: slug_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     assert {r.doc_id: r.slug for r in catalogue.QUERIES["slugify_texts"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_bm25_queries_need_no_vector(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    for name in ("documents", "benchmark"):
+        shutil.copy(f"{small}/{name}.parquet", tmp_path)
+    spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 2 = 0").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = lambda name, d: sorted(map(str, catalogue.QUERIES[name](spark, str(d)).collect()))
+    for name in ("bm25_topk", "rerank_minmax", "relevance_metrics", "eval_summary", "ab_compare"):
+        assert rows(name, tmp_path) == rows(name, small) != []
+    assert {r["query"] % 2 for r in catalogue.QUERIES["knn_topk"](spark, str(tmp_path)).collect()} == {0}
