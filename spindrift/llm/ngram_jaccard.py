@@ -5,7 +5,8 @@ prefix of each set is indexed: two sets of similarity t share a gram within both
 read with two kinds of skipping:
 
 * By position: an entry carries the set's size and the gram's position in it, so sizes and positions alone bound the
-  overlap still possible, and whole runs of a list are passed over without reading a set.
+  overlap still possible, and a pair is dropped by them without reading a set.  This is a filter of each pair: lists
+  are not ordered by size and position, and no run of a list is passed over as a block.
 * By answers: a long list is first compared with two of its own sets, the leaders.  What a leader shares with Y and
   with Z bounds what Y and Z share, from above and from below, so the answers of Y follow from those of the leader:
   pairs of one component are done, pairs whose upper bound is too low are dropped, pairs whose lower bound suffices
