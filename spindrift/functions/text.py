@@ -65,7 +65,7 @@ def version(headings: Column, content: Column) -> Column:
 
 def code_identifiers(code: Column, most: int = 20) -> Column:
     """Names called, long options and constants, distinct, in code point order, the first ``most`` joined by a blank."""
-    calls = F.regexp_extract_all(code, F.lit(r"(?i)\b([a-z_][a-z0-9_]*)\s*\("), F.lit(1))
+    calls = F.regexp_extract_all(code, F.lit(rf"(?i)\b([a-z_][a-z0-9_]*)[{_WHITE}]*\("), F.lit(1))
     options = F.regexp_extract_all(code, F.lit(r"--([a-z][a-z0-9-]+)"), F.lit(1))
     constants = F.regexp_extract_all(code, F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))
     return F.array_join(F.slice(F.sort_array(F.array_distinct(F.concat(calls, options, constants))), 1, most), " ")

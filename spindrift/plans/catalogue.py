@@ -217,6 +217,11 @@ def code_identifiers(spark, d):
     return table(spark, d, "documents").select("doc_id", text.code_identifiers(code).alias("identifiers"))
 
 
+@query()
+def code_identifiers_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.code_identifiers(F.col("text")).alias("identifiers"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<context>' || chr(10) || 'From ' || source || ' in ' || lang || chr(10) || '</context>' || chr(10, 10) || text ELSE text END AS content,
 doc_id::VARCHAR || ':' || substr(sha256(text), 1, 16) AS cache_key FROM documents""".replace("chr(10, 10)", "chr(10) || chr(10)"))
 def context_prefix(spark, d):

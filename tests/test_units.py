@@ -153,3 +153,19 @@ def test_bm25_queries_need_no_vector(spark, tmp_path):
     for name in ("bm25_topk", "rerank_minmax", "relevance_metrics", "eval_summary", "ab_compare"):
         assert rows(name, tmp_path) == rows(name, small) != []
     assert {r["query"] % 2 for r in catalogue.QUERIES["knn_topk"](spark, str(tmp_path)).collect()} == {0}
+
+
+def identifiers_of(code):
+    if code is None:
+        return ""
+    found = re.findall(r"\b([a-z_][a-z0-9_]*)\s*\(", code, re.IGNORECASE) + re.findall(r"--([a-z][a-z0-9-]+)", code) + re.findall(r"\b([A-Z][A-Z0-9_]{2,})\b", code)
+    return " ".join(sorted(set(found))[:20])
+
+
+def test_identifiers_of_whole_texts_equal_brute_force(spark, tmp_path):
+    odd = [None, "", " ".join(f"call_{k}(x, MAX_{k}) --opt-{k}" for k in range(30)), "A_B (1) éabc(2) été(3) a\u00a0(4) x\n\t(5) ÉABC ABCÉ _x() 9y() --A --a --ab- f(g(h()))", "word " * 5000 + "last_call(1)"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {r.doc_id: identifiers_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    got = {r.doc_id: r.identifiers or "" for r in catalogue.QUERIES["code_identifiers_texts"](spark, str(tmp_path)).collect()}
+    assert got == expected and len(expected[-3].split()) == 20 and expected[-5] == "last_call"
