@@ -54,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: Rank-order profiles, seeded blocks and BPE merges are beyond SQL; the tests hold brute-force versions.
+#: Rank-order profiles, seeded blocks and BPE merges are beyond SQL.  The tests hold the rows of the first three stages
+#: against brute-force versions and BPE against the library; of the mix they hold each text's words against the plan.
 ORACLE_SQL = None
 
 

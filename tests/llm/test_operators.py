@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spindrift.llm import bpe, chat_format, components, embedding_dedup, importance, language_id, mixing, ngram_jaccard, substring_dedup, vector_search, warc
 from spindrift.llm import queries as Q
+from spindrift.llm import words as W
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string"
@@ -116,6 +120,53 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def brute_languages(rows, longest=3, most=300):
+    """(predicted, score) of each text by profiles of the labelled ones that are not held out; rows are (doc_id, text, lang)."""
+
+    def grams(text):
+        shown = re.sub(" +", " ", " " + "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in text or "") + " ")
+        return Counter(g for n in range(1, longest + 1) for k in range(len(shown) - n + 1) if " " not in (g := shown[k : k + n])[1:-1] and g[0] + g[-1] != "  ")  # a blank at one end at most
+
+    first = lambda counts: sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * k for k, c in enumerate(g[::-1]))))[:most]
+    seen = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and (doc_id is None or zlib.crc32(str(doc_id).encode()) % 4 != 2):
+            seen.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(first(counts))} for lang, counts in sorted(seen.items())}
+    out = {}
+    for doc_id, text, _ in rows:
+        own = first(grams(text))
+        away = {lang: sum(min(abs(p[g] - k), most) if g in p else most for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(away, key=away.get) if own else "und"
+        out[doc_id] = (best, 1 - away[best] / (most * len(own)) if own else 0.0)
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    expected = brute_languages([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in Q.op2_language_id(spark, SMALL).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
+    assert all(got[k][1] == pytest.approx(expected[k][1], abs=1e-12) for k in expected)
+
+
+def test_first_stages_of_the_pipeline_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == docs.count()
+    found = brute_languages([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    rows = {k: t for k, t in sorted(rows.items()) if found[k][0] != "und" and found[k][1] >= language_id.LEAST_SCORE}
+    at = corpus_pipeline.known_language(spark, docs, SMALL)
+    assert {r.doc_id: r.text for r in at.collect()} == rows
+    ids = list(rows)
+    rows = {ids[k]: rows[ids[k]] for k, (_, top) in brute_components(list(rows.values())).items() if top == k}
+    at = spark.createDataFrame(corpus_pipeline.one_of_each_group(spark, at, SMALL).toPandas(), docs.schema)
+    assert {r.doc_id: r.text for r in at.collect()} == rows
+    cut = dict(zip(rows, brute_cut(list(rows.values())).values(), strict=True))
+    kept = {k: digest for k, (n, gone, digest) in cut.items() if n == 0 or gone < n}
+    assert {r.doc_id: hashlib.sha256(" ".join(words(r.text)).encode()).hexdigest() for r in corpus_pipeline.without_repeats(spark, at, SMALL).collect()} == kept
+
+
 def test_known_language_drops_junk_and_unlearned_languages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rng = random.Random(4)
@@ -233,6 +284,35 @@ def test_importance(spark):
     assert importance._kth(spark.range(30_000).selectExpr("cast(id % 7 as double) as key"), 10_000) == 4.0
 
 
+def test_importance_equals_brute_force(spark):
+    m, codes = 1 << 64, [int(x) for x in W.FOLDED_CODES]
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % m
+        return x ^ x >> 31
+
+    def features(text):
+        own = [mix(sum(codes[b] * pow(W.BYTE_BASE, k, m) for k, b in enumerate(w.encode())) % m) for w in words(text)]
+        return [x % importance.BUCKETS for x in own + [mix((a + b * W.WINDOW_BASES[0] + 2) % m) for a, b in zip(own, own[1:], strict=False)]]
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place")).collect()
+    good, own = {r.doc_id for r in labels if r.quality == 1}, {r.doc_id: features(r.text) for r in rows}
+    fits = []
+    for ids in (good, set(own)):
+        n = Counter(b for k in own if k in ids for b in own[k])
+        fits.append([math.log((n[b] + 1) / (n.total() + importance.BUCKETS)) for b in range(importance.BUCKETS)])
+    weight = {k: sum(fits[0][b] - fits[1][b] for b in f) for k, f in own.items()}
+    key = {r.doc_id: weight[r.doc_id] - math.log(-math.log(((mix((r.place + 29) % m) >> 11) + 0.5) * 2.0**-53)) for r in rows}
+    kept = set(sorted(key, key=key.get)[-round(len(rows) * sum(r.quality for r in labels) / len(labels)) :])
+    got = Q.op5_importance(spark, SMALL).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == kept
+    for r in got:
+        assert r.n_features == len(own[r.doc_id])
+        assert (r.log_weight, r.gumbel_key) == pytest.approx((weight[r.doc_id], key[r.doc_id]), abs=1e-6)
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(k, [float(x) for x in rng.normal(size=12)]) for k in range(120)] + [(120 + k, [1.0] * 12) for k in range(8)] + [(200, None), (201, [None]), (202, [float("inf")] * 12), (203, [0.5]), (None, [1.0] * 12)]
