@@ -4,13 +4,16 @@ Every text is the set of its distinct word n-grams.  Sets are put in one global
 prefix of each set is indexed: two sets of similarity t share a gram within both prefixes.  The index lists are then
 read with two kinds of skipping:
 
-* By position: an entry carries the set's size and the gram's position in it, so sizes and positions alone bound the
-  overlap still possible, and a pair is dropped by them without reading a set.  This is a filter of each pair: lists
-  are not ordered by size and position, and no run of a list is passed over as a block.
-* By answers: a long list is first compared with two of its own sets, the leaders.  What a leader shares with Y and
-  with Z bounds what Y and Z share, from above and from below, so the answers of Y follow from those of the leader:
-  pairs of one component are done, pairs whose upper bound is too low are dropped, pairs whose lower bound suffices
-  are links; only what is left between different components is compared in full.
+* By position: a list is sorted by set size and by the gram's position in the set, and sets of one size and position
+  are a block.  For a set, only blocks of sizes within t and 1 / t of its own can hold a partner, and of each size only
+  the blocks up to a position that follows from the two sizes.  So what is read of a list is one run for each size, found
+  by binary search; all other blocks are skipped unread.  No pair is filtered afterwards.
+* By answers: where a list has more possible pairs than a few for each set, as lists of many near copies have, its sets
+  are first compared with a few of them, the leaders.  The answers of all others follow from these: sets of one
+  component are done, whatever they share; of a set's overlap with its reference R, |X & R| + |Y & R| - |R| bounds
+  |X & Y| from below and min(|X & R|, |Y & R|) + min(|X - R|, |Y - R|) from above, so pairs are links or not without
+  reading a set.  Only sets outside a list's largest component are read again, against what is left, a few partners at
+  first and, when components have grown, all.
 
 The order comes from a count sketch of fixed size over all grams of all texts.  Any common order gives the same
 links; the sketch only decides how long the lists get.
@@ -23,24 +26,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
 from spindrift.llm.common import lists, slices, utf8, written
 from spindrift.llm.components import components
+from spindrift.llm.index_lists import changes, first_pairs, open_pairs
 
 SKETCH_BITS = 22
 BLOCK_BITS = 18
-#: A list up to this long gives its pairs at once; a longer one is first compared with its leaders.
-SHORT_LIST = 8
+#: A list with up to so many possible pairs for each of its sets gives them all at once.
+DENSE = 4
+#: Leaders that the sets of another list are first compared with, of each class of sizes.
 LEADERS = 2
-#: Turns of MORE_LEADERS more while long lists of several components have more open pairs than this, or than this
-#: many times their sets.  What is open after the last turn is compared all the same.
-TURNS = 2
-MORE_LEADERS = 32
-OPEN_PAIRS = 50_000
-OPEN_SHARE = 8
+#: Leaders that the sets outside its list's largest component are compared with in each turn; after these turns, all.
+TURNS = (8, 64)
+#: Entries that a reader holds at a time, and entries of a list that are compared with others in one task.
+HELD = 1 << 17
+PART = 1 << 13
 #: Partners of one set that one task compares.
 PARTNERS = 4096
 U = np.uint64
@@ -148,84 +153,102 @@ def _prefixes(width: int, percent: int, ranks):
     return run
 
 
-_CANDIDATES = "token long, a long, b long, na long, nb long, pa long, pb long, long_list boolean, possible boolean"
-_FIELDS = ("token", "a", "b", "na", "nb", "pa", "pb")
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hi, lo, n, doc): each with the first of its equals in this task, and the set's head on that only.
 
+    The firsts of a task's first and last class come once more as border rows, as others of the class may be elsewhere."""
+    keys = ("hi", "lo", "n")
+    held: tuple | None = None  # key and first of the class that may go on
+    borders: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {k: batch[k].to_numpy() for k in (*keys, "doc")}
+        start = changes(*(cols[k] for k in keys))
+        same = held is not None and held[:3] == tuple(cols[k][0] for k in keys)
+        first = np.repeat(cols["doc"][start], np.diff(np.append(start, batch.num_rows)))
+        head = np.ones(batch.num_rows, bool)
+        head[start] = False
+        if same:
+            first[: start[1] if len(start) > 1 else None] = held[3]
+            head[0] = True
+        held = (*(cols[k][-1] for k in keys), first[-1])
+        if not borders:
+            borders.append((*(cols[k][0] for k in keys), first[0]))
+        yield pa.record_batch({**{k: batch[k] for k in (*keys, "doc")}, "first": pa.array(first), "border": pa.array(np.zeros(len(head), bool)), "head": pc.if_else(pa.array(head), pa.scalar(None, batch["head"].type), batch["head"])})
+    if held is not None:
+        borders = list(dict.fromkeys([*borders, held]))
+        cols = [pa.array(list(c), pa.int64()) for c in zip(*borders, strict=True)]
+        n = len(borders)
+        yield pa.record_batch([*cols, cols[3], pa.array([True] * n), pa.nulls(n, pa.list_(pa.int64()))], names=[*keys, "doc", "first", "border", "head"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
+    """Columns of sorted rows, about HELD at a time, cut between groups of equal keys; whether the first group may have
+    begun before these rows of the task, and whether the last may go on.  Only a group beyond HELD is cut."""
+    parts: list[dict[str, np.ndarray]] = []
+    size, open_before = 0, True
+
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([p[k] for p in parts]) for k in names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append({k: batch[k].to_numpy(zero_copy_only=False) for k in names})
+        size += batch.num_rows
+        if size >= HELD:
+            rows = joined()
+            cut = int(changes(*(rows[k] for k in keys))[-1])
+            if cut:
+                yield {k: v[:cut] for k, v in rows.items()}, open_before, False
+                parts, size, open_before = [{k: v[cut:] for k, v in rows.items()}], size - cut, False
+            else:
+                yield rows, True, True
+                parts, size, open_before = [], 0, True
+    if size:
+        yield joined(), open_before, True
 
-def possible(na, nb, pa_, pb, percent: int):
-    """Whether sizes and positions still allow the similarity: a gram at these positions is the first in common."""
-    most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-    return most * (100 + percent) >= percent * (na + nb)
 
+def _numbers(*columns: np.ndarray) -> np.ndarray:
+    """A running number for each group of equal rows."""
+    first = changes(*columns)
+    return np.repeat(np.arange(len(first)), np.diff(np.append(first, len(columns[0]))))
 
-def _read_lists(percent: int):
-    """Reads index lists sorted by gram and then by a random rank of the set.
 
-    Short lists give all their possible pairs; a long list gives each of its sets with the list's leaders, and is
-    passed through as a stream: only its leaders are held."""
+_READ = "token long, a long, b long, n long, pos long"
+
+
+def _read_lists(percent: int):
+    """Reads index lists sorted by gram, set size and position: pairs (a, b) to compare, and entries (token, a, n, pos) of the
+    lists that go on.  A list that may go on in another task does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ("token", "doc", "n", "pos")
-        carry = {k: np.zeros(0, np.int64) for k in keys}
-        lead: dict[str, np.ndarray] = {}  # leaders of the long list that goes on
-
-        def pairs(x: dict, y: dict, long_list: bool) -> dict:
-            return {"token": x["token"], "a": x["doc"], "b": y["doc"], "na": x["n"], "nb": y["n"], "pa": x["pos"], "pb": y["pos"], "long_list": np.full(len(x["doc"]), long_list)}
-
-        def out(parts: list[dict]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                cols = {k: np.concatenate([p[k] for p in parts]) for k in (*_FIELDS, "long_list")}
-                ok = possible(cols["na"], cols["nb"], cols["pa"], cols["pb"], percent) & (cols["a"] != cols["b"])
-                keep = ok | cols["long_list"]
-                if keep.any():
-                    yield pa.record_batch({k: pa.array(v[keep]) for k, v in (cols | {"possible": ok}).items()})
-
-        def star(rows: dict, own_lead: dict) -> list[dict]:
-            size, parts = len(rows["doc"]), []
-            for k in range(len(own_lead["doc"])):
-                parts.append(pairs({c: np.full(size, own_lead[c][k]) for c in keys}, rows, k == 0))
-            return parts
-
-        def handle(rows: dict, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal carry, lead
-            token, parts = rows["token"], []
-            cut = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            ends = np.append(cut[1:], len(token))
-            if not last:  # the last list may go on
-                open_at, cut, ends = cut[-1], cut[:-1], ends[:-1]
-            else:
-                open_at = len(token)
-            if lead and len(token) and token[0] == lead["token"][0] and (len(cut) and cut[0] == 0):
-                parts += star({k: v[: ends[0]] for k, v in rows.items()}, lead)
-                cut, ends, lead = cut[1:], ends[1:], {}
-            lengths = ends - cut
-            for length in range(2, SHORT_LIST + 1):
-                at = cut[lengths == length]
-                for i in range(length if len(at) else 0):
-                    for j in range(i + 1, length):
-                        parts.append(pairs({k: v[at + i] for k, v in rows.items()}, {k: v[at + j] for k, v in rows.items()}, False))
-            for s, e in zip(cut[lengths > SHORT_LIST], ends[lengths > SHORT_LIST], strict=True):
-                own = {k: v[s:e] for k, v in rows.items()}
-                parts += star(own, {k: v[:LEADERS] for k, v in own.items()})
-            carry = {k: v[open_at:] for k, v in rows.items()}
-            if len(carry["doc"]) > SHORT_LIST:
-                if not lead or lead["token"][0] != carry["token"][0]:
-                    lead = {k: v[:LEADERS] for k, v in carry.items()}
-                parts += star(carry, lead)
-                carry = {k: v[:0] for k, v in carry.items()}
-            yield from out(parts)
+        for rows, before, after in _groups(batches, ("token",), ("token", "n", "pos", "doc")):
+            rows["of"] = _numbers(rows["token"])
+            border = [*([0] if before else []), *([int(rows["of"][-1])] if after else [])]
+            pairs, more = first_pairs(rows, np.array(border, np.int64), percent, DENSE, LEADERS)
+            for x, y in pairs:
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.record_batch([none, pa.array(rows["doc"][x]), pa.array(rows["doc"][y]), none, none], names=["token", "a", "b", "n", "pos"])
+            if more.any():
+                yield pa.record_batch([pa.array(rows["token"][more]), pa.array(rows["doc"][more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(rows["n"][more]), pa.array(rows["pos"][more])], names=["token", "a", "b", "n", "pos"])
 
-        for batch in batches:
-            if batch.num_rows:
-                fresh = {k: batch[k].to_numpy() for k in keys}
-                if lead and len(carry["doc"]) == 0 and fresh["token"][0] != lead["token"][0]:
-                    lead = {}
-                if lead and fresh["token"][-1] == lead["token"][0]:  # all of it goes on with the same long list
-                    yield from out(star(fresh, lead))
-                    continue
-                yield from handle({k: np.concatenate((carry[k], fresh[k])) for k in keys}, False)
-        if len(carry["doc"]):
-            yield from handle(carry, True)
+    return run
+
+
+def _read_open(percent: int, leading: int | None, seed: int):
+    """Reads what is open of lists sorted by (token, p, q), size and position: pairs that are links (sure), or to compare."""
+    names = ("token", "p", "q", "n", "pos", "doc", "component", "major", "visitor", "ref", "n_ref", "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _ in _groups(batches, ("token", "p", "q"), names):
+            rows["of"] = _numbers(rows["token"], rows["p"], rows["q"])
+            pairs, more = open_pairs(rows, percent, DENSE, leading, seed)
+            for x, y, sure in pairs:
+                yield pa.record_batch({"a": pa.array(rows["doc"][x]), "b": pa.array(rows["doc"][y]), "sure": pa.array(sure), "more": pa.array(np.zeros(len(x), bool))})
+            if more:
+                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([False]), pa.array([True])], names=["a", "b", "sure", "more"])
 
     return run
 
@@ -235,7 +258,7 @@ def _whole_sets(width: int, wanted):
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch["slot"].to_numpy(zero_copy_only=False) - 1]))
-            for lo, hi in slices(utf8(batch["text"])[1], 8 << 20):
+            for lo, hi in slices(utf8(batch["text"])[1]):
                 part = batch.slice(lo, hi - lo)
                 own = [s for _, s in sets(part["text"], width)]
                 flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
@@ -252,26 +275,30 @@ def _slot(column: str):
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (a, salt), the set of a first, then its partners'."""
-    key, held = None, np.zeros(0, np.int64)
+    """Rows of (a, salt), the sets of a first (more than one if its doc_id is repeated), then its partners'."""
+    key, held = None, []
     for batch in batches:
         a, salt, b = (batch[k].to_pylist() for k in ("a", "salt", "b"))
         flat, at = batch["grams"].values.to_numpy(), batch["grams"].offsets.to_numpy()
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         for i in range(batch.num_rows):
             own = flat[at[i] : at[i + 1]].view(np.uint64)
             if b[i] is None:
-                key, held = (a[i], salt[i]), own.copy()
+                if key != (a[i], salt[i]):
+                    key, held = (a[i], salt[i]), []
+                if not any(np.array_equal(own, h) for h in held):
+                    held.append(own.copy())
             elif key == (a[i], salt[i]):
-                at_held = np.searchsorted(held, own)
-                at_held[at_held == len(held)] = 0
-                out.append((a[i], b[i], int((held[at_held] == own).sum()) if len(held) else 0, len(held) + len(own)))
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "sizes"])
+                for h in held:
+                    at_held = np.searchsorted(h, own)
+                    at_held[at_held == len(h)] = 0
+                    out.append((a[i], b[i], len(h), len(own), int((h[at_held] == own).sum()) if len(h) else 0))
+        cols = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n_a", "n_b", "shared"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, shared, sizes): for distinct pairs the size of the intersection and the sum of the sizes.
+    """(a, b, n_a, n_b, shared): for distinct pairs the sizes of the sets and of the intersection.
 
     Sets are made anew for the texts in a pair only: a bitmap of fixed size first passes over the others, then a join
     is exact.  Each partner's set goes to the set that it is paired with; one with many partners is salted."""
@@ -287,13 +314,40 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     left = whole.join(salts.withColumnRenamed("a", "doc"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "grams")
     right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(whole, F.col("b") == F.col("doc")).select("a", "salt", "b", "grams")
     rows = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_overlaps, "a long, b long, shared long, sizes long")
+    return rows.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
 
 
 def _either_way(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select("b", "a"))
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the set of smaller hash first: leaders have small ones, so their partners come to them."""
+    ahead = F.xxhash64("a") <= F.xxhash64("b")
+    return pairs.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
+def _references(tested: DataFrame, percent: int) -> DataFrame:
+    """(doc, ref, n_ref, shared): of the sets that each was compared with, one that is rather similar and of smallest hash,
+    so that the sets of a group mostly have the same.  Pairs with a repeated doc_id, which have several rows, are left out."""
+    sole = tested.groupBy("a", "b").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "shared"))).where("rows = 1")
+    both = sole.select(F.col("a").alias("doc"), F.col("b").alias("ref"), F.col("n_b").alias("n_ref"), "shared", F.col("n_a").alias("n"))
+    both = both.union(sole.select("b", "a", "n_a", "shared", "n_b"))
+    rank = F.struct(F.expr(f"shared * {200 + percent} < {percent} * (n + n_ref)"), F.xxhash64("ref", F.lit(0)))
+    return both.groupBy("doc").agg(F.min_by(F.struct("ref", "n_ref", "shared"), rank).alias("r")).select("doc", "r.ref", "r.n_ref", "r.shared")
+
+
+def _dealt(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Entries of lists of several components, dealt to cells (token, p, q): a home to its part p, and to each part q of the
+    visitors; a set outside the major component also as a visitor to each part of the homes."""
+    rows = members.join(mixed, "token")
+    home = lambda q: F.struct(F.pmod(F.xxhash64("doc"), F.col("homes")).alias("p"), q.alias("q"), F.lit(False).alias("visitor"))
+    guest = lambda p: F.struct(p.alias("p"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("guests")).alias("q"), F.lit(True).alias("visitor"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cells = F.when(F.col("component") == F.col("major"), F.transform(upto("guests"), home)).otherwise(F.concat(F.transform(upto("guests"), home), F.transform(upto("homes"), guest)))
+    return rows.withColumn("cell", F.explode(cells)).select("token", "cell.p", "cell.q", "n", "pos", "doc", "component", "major", "cell.visitor", "ref", "n_ref", "shared")
+
+
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text, anything more).
 
@@ -302,74 +356,58 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reachable.  A null or empty text has no gram and links with nothing.  A null doc_id links with nothing and keeps
     component_id null.  Rows that repeat a doc_id count as one node and come out as often as they came in.  Other
     columns are not read.
+
+    Copies and index lists are dealt by range, so one class or list of very many sets is read by several tasks.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     ranks = spark.sparkContext.broadcast(gram_ranks(docs, width).tobytes())
     own = written(docs.mapInArrow(_prefixes(width, percent, ranks), "doc_id long, n long, hi long, lo long, head array<long>"), "sets")
-    usable = own.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = written(usable.select("doc_id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
-    index = usable.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").select(F.posexplode("head").alias("pos", "token"), F.col("doc_id").alias("doc"), "n")
-    index = index.select("token", "doc", "n", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token", F.xxhash64("doc"))
-    found = written(index.mapInArrow(_read_lists(percent), _CANDIDATES), "candidates")
-
-    oriented = found.where("possible").select("a", "b").distinct()
-    first = written(_verified(docs, oriented, width), "overlaps")
-    enough = f"shared * {100 + percent} >= {percent} * sizes"
-    links = first.where(enough).select("a", "b")
+    # equal sets: each task links its rows of a class to the first of them, and the firsts of classes that tasks share meet
+    by = ("hi", "lo", "n", "doc")
+    usable = own.where("n > 0 and doc_id is not null").select("hi", "lo", "n", F.col("doc_id").alias("doc"), "head")
+    firsts = written(usable.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_firsts, "hi long, lo long, n long, doc long, first long, border boolean, head array<long>"), "classes")
+    shared_firsts = firsts.where("border").groupBy("hi", "lo", "n").agg(F.min("doc").alias("b"), F.collect_set("doc").alias("firsts"))
+    copies = firsts.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).union(shared_firsts.select(F.explode("firsts").alias("a"), "b"))
+
+    index = firsts.where("head is not null").select(F.posexplode("head").alias("pos", "token"), "doc", "n").select("token", "n", F.col("pos").cast("long").alias("pos"), "doc")
+    order = ("token", "n", "pos", "doc")
+    found = written(index.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_read_lists(percent), _READ), "lists")
+    tested = written(_verified(docs, written(_distinct(found.where("b is not null")), "pairs"), width), "overlaps")
+    enough = f"shared * {100 + percent} >= {percent} * (n_a + n_b)"
+    links = tested.where(enough).select("a", "b")
     at = components(links)
 
-    # long lists whose sets are still in different components
-    listed = found.where("long_list").select("token", F.col("a").alias("leader"), F.col("b").alias("doc"), F.col("na").alias("n_leader"), F.col("nb").alias("n"), F.col("pb").alias("pos"))
-    tested, turn = first, 0
-    while True:
-        members = listed.join(at.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        per = members.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).where("m * m > s")
-        per = written(per, "mixed")
-        rows, open_pairs = per.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0))).first()
-        members = members.join(per.select("token"), "token", "left_semi")
-        if turn == TURNS or open_pairs <= max(OPEN_PAIRS, OPEN_SHARE * rows):
+    open_lists = found.where("b is null").select("token", "n", "pos", F.col("a").alias("doc"))
+    for turn, leading in enumerate((*TURNS, None), 1):
+        about = at.withColumnRenamed("node", "doc").join(_references(tested, percent), "doc", "full")
+        members = open_lists.join(about, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        # a set that was compared with nothing is its own reference
+        members = members.withColumns({"n_ref": F.coalesce("n_ref", "n"), "shared": F.coalesce("shared", "n"), "ref": F.coalesce("ref", "doc")})
+        members = written(members.select("token", "n", "pos", "doc", "component", "ref", "n_ref", "shared"), "members")
+        mixed = members.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("major")).where("most < m")
+        parts = lambda n: F.floor((F.col(n) - 1) / PART) + 1
+        mixed = written(mixed.withColumn("rest", F.expr("m - most")).select("token", "major", parts("m").alias("homes"), parts("rest").alias("guests")), "mixed")
+        if mixed.isEmpty():
+            break
+        dealt = _dealt(members, mixed).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "pos", "doc")
+        met = written(dealt.mapInArrow(_read_open(percent, leading, turn), "a long, b long, sure boolean, more boolean"), "open")
+        more = met.where("not sure and a is not null").select("a", "b").join(_either_way(tested), ["a", "b"], "left_anti")
+        fresh = written(_verified(docs, written(_distinct(more), "pairs"), width), "overlaps")
+        new = met.where("sure").select("a", "b").union(fresh.where(enough).select("a", "b"))
+        tested, links = tested.unionByName(fresh), links.union(new)
+        at = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        if met.where("more").isEmpty():
             break
-        # more leaders, others each turn, meet those of other components; every turn joins components further
-        turn += 1
-        by = Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(turn)))
-        members = written(members, "members")
-        listed = members.drop("component")  # lists of one component are done
-        leads = members.withColumn("k", F.row_number().over(by)).where(F.col("k") <= MORE_LEADERS).select("token", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("component_a"))
-        met = leads.join(members, "token").where(f"a <> doc and component <> component_a and (1 + least(n_a - pos_a, n - pos) - 1) * {100 + percent} >= {percent} * (n_a + n)")
-        met = met.select("a", F.col("doc").alias("b")).distinct().join(_either_way(tested), ["a", "b"], "left_anti")
-        more = written(_verified(docs, written(met, "met"), width), "overlaps")
-        tested = tested.unionByName(more)
-        links = links.union(more.where(enough).select("a", "b"))
-        at = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(enough).select("a", "b")))
-
-    # what is left, with the bounds that follow from the lists' leaders
-    shared = first.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "shared")
-    members = members.join(shared, ["leader", "doc"], "left")
-    members = written(members.withColumn("shared", F.when(F.col("leader") == F.col("doc"), F.col("n")).otherwise(F.col("shared"))), "members")
-    if members.isEmpty():
-        rest = links
-    else:
-        x, y = (members.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("leader", "doc", "n_leader", "n", "pos", "component", "shared"))) for s in "xy")
-        need = f"{percent} * (n_x + n_y)"
-        upper = "least(shared_x, shared_y) + least(n_x - shared_x, n_y - shared_y)"
-        near = x.join(y, "token").where(f"doc_x < doc_y and component_x <> component_y and (1 + least(n_x - pos_x, n_y - pos_y) - 1) * {100 + percent} >= {need} and coalesce({upper}, least(n_x, n_y)) * {100 + percent} >= {need}")
-        near = near.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.max(F.expr(f"coalesce((shared_x + shared_y - n_leader_x) * {100 + percent} >= {need}, false)")).alias("sure"))
-        near = written(near, "near")
-        more = near.where("not sure").select("a", "b").join(_either_way(tested), ["a", "b"], "left_anti")
-        rest = links.union(near.where("sure").select("a", "b"))
-        more = written(more, "pairs")
-        if not more.isEmpty():
-            rest = rest.union(written(_verified(docs, more, width), "overlaps").where(enough).select("a", "b"))
-    final = components(rest.union(copies))
+        open_lists = members.join(mixed.select("token"), "token", "left_semi").select("token", "n", "pos", "doc")
+    final = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(copies))
     return own.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest: one document of each near-duplicate group.
 
-    Rows with a null doc_id stay; rows that repeat a kept doc_id stay as one."""
+    Rows with a null doc_id stay; of rows that repeat a kept doc_id one stays, that of smallest text hash."""
     keep = link_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -59,10 +59,10 @@ def brute_components(texts, width=5, percent=80):
 def test_jaccard_equals_brute_force(spark, monkeypatch):
     texts = odd_texts()
     expected = brute_components(texts)
-    for turns in (0, 3):
+    for dense, turns, part in ((4, (8, 64), 1 << 13), (0, (), 1 << 13), (0, (1,), 5), (1, (1, 2, 3), 4)):
+        monkeypatch.setattr(ngram_jaccard, "DENSE", dense)
         monkeypatch.setattr(ngram_jaccard, "TURNS", turns)
-        monkeypatch.setattr(ngram_jaccard, "OPEN_PAIRS", 0)
-        monkeypatch.setattr(ngram_jaccard, "OPEN_SHARE", 0)
+        monkeypatch.setattr(ngram_jaccard, "PART", part)
         got = {r[0]: (r[1], r[2]) for r in ngram_jaccard.link_components(docs_of(spark, texts)).collect()}
         assert got == expected
 
@@ -72,6 +72,10 @@ def test_jaccard_nulls_repeats_and_empty_table(spark):
     got = sorted(ngram_jaccard.link_components(rows).collect(), key=str)
     assert [tuple(r) for r in got] == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None)], key=str)
     assert ngram_jaccard.link_components(rows.where("false")).count() == 0
+    # one doc_id with two texts is one node that has the links of both
+    base = [f"w{k}" for k in range(60)]
+    two = [(5, " ".join(base)), (5, " ".join(f"v{k}" for k in range(60))), (6, " ".join([*base[:-1], "x"])), (7, " ".join([*(f"v{k}" for k in range(59)), "y"])), (8, " ".join(f"u{k}" for k in range(60)))]
+    assert sorted(tuple(r) for r in ngram_jaccard.link_components(spark.createDataFrame(two, "doc_id long, text string")).collect()) == [(5, 56, 5), (5, 56, 5), (6, 56, 5), (7, 56, 5), (8, 56, 8)]
     assert sorted((r.doc_id is None, r.doc_id) for r in ngram_jaccard.one_of_each(rows).collect()) == [(False, 1), (True, None)]
 
 
