@@ -2,16 +2,16 @@
 
 Each source is cut into shards and each shard, as one stream of its texts in a seeded order, into blocks of equally
 many words.  Blocks are the seats: highest quotients (votes / (2 * seats + 1)) give every source an integer number of
-blocks for its target, and every shard of a source its part of these.  A shard with more seats than blocks takes all of
-them as often as that goes, and a seeded choice of its blocks for the rest.
+blocks for its target, every group of a source's shards its part of these, and every shard its part of the group's.  A
+shard with more seats than blocks takes all of them as often as that goes, and a seeded choice of its blocks for the rest.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -21,9 +21,11 @@ from spindrift.llm import words as W
 from spindrift.llm.common import all_but_text, sliced, slices, utf8, written
 
 BLOCK_WORDS = 64
+#: Words and rows of a shard, about: what one task holds of the plan.
 SHARD_WORDS = 1 << 20
-#: Shards of a source at most; the driver holds one number for each shard.
-MOST_SHARDS = 4096
+SHARD_ROWS = 1 << 17
+#: Groups that a source's shards are dealt to; the driver holds one number for each group, tasks those of its shards.
+GROUPS = 1024
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
@@ -31,7 +33,7 @@ MOST_REPEATS = 3
 def apportion(votes: list[float], seats: int, most: list[int] | None = None) -> list[int]:
     """Sainte-Lague: seats go one by one to the highest votes / (2 * seats so far + 1), ties to the earlier.
 
-    Found by bisection on the quotient, so it takes no step per seat.  ``most`` closes a list at that many seats."""
+    Found by bisection on the quotient, so it takes a few steps per list, none per seat.  ``most`` closes a list at that many seats."""
     v = np.asarray(votes, float)
     cap = np.asarray(most if most is not None else [seats] * len(v), np.int64)
     cap = np.where(v > 0, cap, 0)
@@ -45,11 +47,19 @@ def apportion(votes: list[float], seats: int, most: list[int] | None = None) ->
         if mid in (low, high):
             break
         low, high = (mid, high) if won(mid).sum() >= seats else (low, mid)
-    out = won(high)
-    while (missing := seats - int(out.sum())) > 0:
-        quotient = np.where(out < cap, v / (2 * out + 1), -1)
-        out[np.argsort(-quotient, kind="stable")[:missing][quotient[np.argsort(-quotient, kind="stable")[:missing]] > 0]] += 1
-    return [int(x) for x in out]
+    # bisection may be off by rounding: the last seats of each are given one by one
+    out = np.maximum(won(high) - 2, 0).tolist()
+    v, cap = v.tolist(), cap.tolist()
+    next_up = [(-v[i] / (2 * n + 1), i) for i, n in enumerate(out) if n < cap[i]]
+    heapq.heapify(next_up)
+    for _ in range(seats - sum(out)):
+        i = next_up[0][1]
+        out[i] += 1
+        if out[i] < cap[i]:
+            heapq.heapreplace(next_up, (-v[i] / (2 * out[i] + 1), i))
+        else:
+            heapq.heappop(next_up)
+    return out
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
@@ -64,7 +74,8 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS)
         if not full:
             break
         left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        done = set(full)
+        open_ = [i for i in open_ if i not in done]
     return out
 
 
@@ -79,15 +90,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(seed: int, marks: list[str]):
     """Of one shard: for each text whole takes, chosen words, and where they lie in it."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        quota = int(rows["quota"].iloc[0])
-        rows = rows.sort_values(["place", "doc_id", "size", *marks], na_position="last", kind="stable").reset_index(drop=True)
-        size = rows["size"].to_numpy(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        quota = rows["quota"][0].as_py()
+        rows = rows.sort_by([(c, "ascending") for c in ("place", "doc_id", "size", *marks)])
+        size = rows["size"].to_numpy()
         end = np.cumsum(size)
-        start, words = end - size, int(end[-1]) if len(end) else 0
+        start, words = end - size, int(end[-1])
         blocks = -(-words // BLOCK_WORDS)
         rounds, rest = divmod(quota, blocks) if blocks else (0, 0)
-        order = W.mix(np.arange(blocks, dtype=np.uint64) + W.mix(np.array([seed ^ (int(rows["shard"].iloc[0]) << 20) ^ len(rows)], np.uint64)))
+        order = W.mix(np.arange(blocks, dtype=np.uint64) + W.mix(np.array([seed ^ (rows["shard"][0].as_py() << 20) ^ len(rows)], np.uint64)))
         taken = np.zeros(blocks, bool)
         taken[np.argsort(order, kind="stable")[:rest]] = True
         edges = np.arange(blocks + 1, dtype=np.int64) * words // max(blocks, 1)  # of equal size, to a word
@@ -110,7 +121,21 @@ def _chosen(seed: int, marks: list[str]):
                         else:
                             own += [a, b]
             spans.append(own)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "size": size, "source_size": rows["source_size"], "target": rows["target"], "taken": rounds * size + part, "rounds": rounds, "spans": spans, **{c: rows[c] for c in marks}})
+        passed = {c: rows[c] for c in ("doc_id", "source", "size", "source_size", "target")}
+        made = {"taken": pa.array(rounds * size + part), "rounds": pa.array([rounds] * len(rows), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))}
+        return pa.table({**passed, **made, **{c: rows[c] for c in marks}})
+
+    return run
+
+
+def _shard_quotas(most: int):
+    """Of one group: its seats apportioned to its shards."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        blocks = rows["blocks"].to_pylist()
+        quota = apportion(blocks, rows["seats"][0].as_py(), [most * n for n in blocks])
+        return pa.table({"_source": rows["source"], "_shard": rows["shard"], "quota": pa.array(quota, pa.int64())})
 
     return run
 
@@ -121,9 +146,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     size counts words ``[^\\x20\\x09-\\x0D]+`` (null text: 0).  Sources, in code point order with null last, have the
     weights in turn; a source's target is its share of all words, at most ``most`` times its own.  taken is the number of
     words that the mix takes: ``rounds`` times the whole text and the words of ``spans`` (start, end, ...).  The choice
-    depends on seed, doc_id and size alone, so reruns agree.  The driver holds the sources and their shards, at most
-    MOST_SHARDS for each; sources without words have target 0 and keep their place in the order of weights.  Columns
-    other than these three are not read.
+    depends on seed, doc_id and text alone, so reruns agree; ids pass as they are, null and repeated ones too.  A source
+    has as many shards as its words and rows need; the driver holds one number a source and GROUPS more for each.  Sources
+    without words have target 0 and keep their place in the order of weights.  Columns other than these three are not read.
     """
     return _plan(docs, weights, most, seed)
 
@@ -131,30 +156,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 def _plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, marks: tuple[str, ...] = ()) -> DataFrame:
     """mix, with the columns ``marks`` of docs, non-null longs, passed on; they order rows of equal doc_id and size."""
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     marked = "".join(f", {c} long" for c in marks)
-    sized = written(docs.select("doc_id", "text", "source", *marks).mapInArrow(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long{marked}"), "sizes")
-    totals = sorted(((s, int(n)) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("place")
+    sized = written(docs.select("doc_id", "text", "source", place, *marks).mapInArrow(_sizes, f"doc_id {kind}, source string, size long, place long{marked}"), "sizes")
+    totals = sorted(((s, int(n), int(rows)) for s, n, rows in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     own = [weights[i % len(weights)] for i in range(len(totals))]
-    goal = targets([n for _, n in totals], own, most)
-    shards = [max(1, min(MOST_SHARDS, -(-n // SHARD_WORDS))) for _, n in totals]
-    plan = spark.createDataFrame([(s, n, t, k) for (s, n), t, k in zip(totals, goal, shards, strict=True)], "source string, source_size long, target double, shards int")
+    goal = targets([n for _, n, _ in totals], own, most)
+    shards = [max(1, -(-n // SHARD_WORDS), -(-rows // SHARD_ROWS)) for _, n, rows in totals]
+    plan = spark.createDataFrame([(s, n, t, k) for (s, n, _), t, k in zip(totals, goal, shards, strict=True)], "_source string, source_size long, target double, shards long")
     key = F.col("source").eqNullSafe(F.col("_source"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    dealt = sized.join(plan.withColumnRenamed("source", "_source"), key).drop("_source").withColumn("place", place).withColumn("shard", F.pmod(F.shiftrightunsigned("place", 8), F.col("shards")).cast("int"))
-    per_shard: dict = {}
-    for s, k, n in dealt.groupBy("source", "shard").agg(F.sum("size")).collect():
-        per_shard.setdefault(s, []).append((k, int(n)))
-    blocks = {s: sum(-(-n // BLOCK_WORDS) for _, n in own) for s, own in per_shard.items()}
-    wanted = [t * blocks.get(s, 0) / n if n else 0.0 for (s, n), t in zip(totals, goal, strict=True)]
-    seats = apportion(wanted, round(sum(wanted)), [most * blocks.get(s, 0) for s, _ in totals])
-    quotas = []
-    for (s, _), n in zip(totals, seats, strict=True):
-        of = sorted(per_shard.get(s, []))
-        quotas += [(s, k, q) for (k, _), q in zip(of, apportion([-(-m // BLOCK_WORDS) for _, m in of], n, [most * -(-m // BLOCK_WORDS) for _, m in of]), strict=True)]
-    quotas = spark.createDataFrame(quotas, "_source string, _shard int, quota long")
-    dealt = dealt.join(quotas, key & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard", "shards")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("source", "shard").applyInPandas(_chosen(seed, list(marks)), f"doc_id {kind}, source string, size long, source_size long, target double, taken long, rounds int, spans array<long>{marked}")
+    dealt = sized.join(plan, key).drop("_source").withColumn("shard", F.pmod(F.shiftrightunsigned("place", 8), F.col("shards"))).drop("shards")
+    per_shard = dealt.groupBy("source", "shard").agg(F.floor((F.sum("size") + (BLOCK_WORDS - 1)) / BLOCK_WORDS).alias("blocks"))
+    per_shard = written(per_shard.withColumn("group", F.pmod("shard", F.lit(GROUPS))), "shards")
+    groups: dict = {}
+    for s, group, n in per_shard.groupBy("source", "group").agg(F.sum("blocks")).collect():
+        groups.setdefault(s, []).append((group, int(n)))
+    blocks = {s: sum(n for _, n in own) for s, own in groups.items()}
+    wanted = [t * blocks[s] / n if n else 0.0 for (s, n, _), t in zip(totals, goal, strict=True)]
+    seats = apportion(wanted, round(sum(wanted)), [most * blocks[s] for s, _, _ in totals])
+    of_groups = []
+    for (s, _, _), n in zip(totals, seats, strict=True):
+        own = sorted(groups[s])
+        of_groups += [(s, k, q) for (k, _), q in zip(own, apportion([m for _, m in own], n, [most * m for _, m in own]), strict=True)]
+    of_groups = spark.createDataFrame(of_groups, "_source string, _group long, seats long")
+    quotas = per_shard.join(of_groups, key & (F.col("group") == F.col("_group"))).drop("_source", "_group")
+    quotas = quotas.groupBy("source", "group").applyInArrow(_shard_quotas(most), "_source string, _shard long, quota long")
+    dealt = dealt.join(quotas, key & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
+    return dealt.groupBy("source", "shard").applyInArrow(_chosen(seed, list(marks)), f"doc_id {kind}, source string, size long, source_size long, target double, taken long, rounds long, spans array<long>{marked}")
 
 
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -182,7 +211,7 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
         plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy(*theirs).orderBy(F.desc("_rounds"), "_spans")))
         on &= F.col("_nth") == F.col("__nth")
     rows = marked.join(plan, on)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_rounds")))).where("_copy < _rounds or size(_spans) > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rounds")))).where("_copy < _rounds or size(_spans) > 0")
     row = all_but_text(names)
     kind = rows.select(row.alias("row")).schema["row"].dataType.simpleString()
 
