@@ -54,18 +54,36 @@ def _minima(values: np.ndarray, span: int) -> np.ndarray:
     return low
 
 
-def _counted(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows to be counted.  A window that repeats within the slice is sure: one row of it goes on to be met by its equals
-    elsewhere, and the rest are dealt out by their place, so a very common window is a few rows from each slice."""
-    by = np.argsort(h1, kind="stable")
-    s1, s2 = h1[by], h2[by]
-    same = np.zeros(len(by) + 1, bool)
-    same[1:-1] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-    sure = same[:-1] | same[1:]
-    later = same[:-1]
-    key, pos = key[by], pos[by]
-    s1 = np.where(later, W.mix(key.view(np.uint64) ^ (pos.astype(np.uint64) << U(33))), s1)
-    return pa.record_batch({"h1": pa.array(s1.view(np.int64)), "h2": pa.array(s2.view(np.int64)), "key": pa.array(key), "pos": pa.array(pos.astype(np.int32)), "sure": pa.array(sure)})
+#: Windows that a task remembers to have passed on.
+REMEMBERED_BITS = 18
+
+
+class _Counter:
+    """Rows to be counted, of one task.
+
+    A window that repeats within a slice is sure, and so is one that the task remembers.  Two rows of it go on to be met by
+    its equals elsewhere, and the rest are dealt out by their place, so a very common window is a few rows from each task.
+    A window is remembered in the place of another that came once only."""
+
+    def __init__(self) -> None:
+        self.h1, self.h2, self.times = (np.zeros(1 << REMEMBERED_BITS, t) for t in (np.uint64, np.uint64, np.int8))
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(h1, kind="stable")
+        s1, s2 = h1[by], h2[by]
+        same = np.zeros(len(by) + 1, bool)
+        same[1:-1] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+        sure, later = same[:-1] | same[1:], same[:-1]
+        slot = (s1 >> U(64 - REMEMBERED_BITS)).astype(np.int64)
+        times = np.where((self.h1[slot] == s1) & (self.h2[slot] == s2), self.times[slot], 0)
+        sure |= times > 0
+        dealt = later | (times > 1)
+        new = np.flatnonzero(~later & ((times > 0) | (self.times[slot] < 2)))
+        self.h1[slot[new]], self.h2[slot[new]] = s1[new], s2[new]
+        self.times[slot[new]] = np.minimum(times[new] + 1 + same[1:][new], 2)
+        key, pos = key[by], pos[by]
+        s1 = np.where(dealt, W.mix(key.view(np.uint64) ^ (pos.astype(np.uint64) << U(33))), s1)
+        return pa.record_batch({"h1": pa.array(s1.view(np.int64)), "h2": pa.array(s2.view(np.int64)), "key": pa.array(key), "pos": pa.array(pos.astype(np.int32)), "sure": pa.array(sure)})
 
 
 def _flat(column: pa.Array, lo: int, hi: int, at: np.ndarray, each: int = 1) -> np.ndarray:
@@ -97,7 +115,7 @@ def _places(batch: pa.RecordBatch, allowed: bool):
 
 def _sampled(width: int, length: int, allowed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = length - width + 1
+        span, counted = length - width + 1, _Counter()
         for batch in batches:
             for _, hashed, at, keys, ok in _places(batch, allowed):
                 if len(hashed) < length:
@@ -110,20 +128,21 @@ def _sampled(width: int, length: int, allowed: bool):
                     marks[shift : shift + len(low)] |= (short[shift : shift + len(low)] == low) & longs
                 place = np.flatnonzero(marks)
                 row = np.searchsorted(at, place, "right") - 1
-                yield _counted(short[place], W.windows(hashed, width, 1)[place], keys[row], place - at[row])
+                yield counted(short[place], W.windows(hashed, width, 1)[place], keys[row], place - at[row])
 
     return run
 
 
 def _every(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _Counter()
         for batch in batches:
             for _, hashed, at, keys, ok in _places(batch, True):
                 if len(hashed) < length:
                     continue
                 place = np.flatnonzero(_starts(at, length) & ok)
                 row = np.searchsorted(at, place, "right") - 1
-                yield _counted(W.windows(hashed, length)[place], W.windows(hashed, length, 1)[place], keys[row], place - at[row])
+                yield counted(W.windows(hashed, length)[place], W.windows(hashed, length, 1)[place], keys[row], place - at[row])
 
     return run
 
@@ -228,6 +247,27 @@ def _cut(length: int):
     return run
 
 
+def first_key():
+    """The key that stands for a text at first."""
+    return F.xxhash64("text")
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a 64-bit ``key`` that only equal texts share, and (key, copied) of the texts that have an equal.
+
+    Equal means equal in 128 bits.  Where texts that differ share a key, they get other ones, until none do."""
+    keyed, turn = docs.withColumns({"key": first_key(), "key2": F.xxhash64(F.lit(1), F.col("text"))}), 1
+    while True:
+        shared = keyed.where("text is not null").groupBy("key").agg(F.min("key2").alias("least"), F.max("key2").alias("most"), F.count("*").alias("copies"))
+        shared = written(shared.where("copies > 1").select("key", (F.col("least") == F.col("most")).alias("copied")), "copies")
+        clash = shared.where("not copied")
+        if clash.isEmpty():
+            return keyed.drop("key2"), shared
+        turn += 1
+        other = F.when(F.col("copied").isNull(), F.col("key")).otherwise(F.xxhash64(F.lit(turn), F.col("key2")))
+        keyed = keyed.join(clash, "key", "left").withColumn("key", other).drop("copied")
+
+
 def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     """``docs`` (text, anything more) with n_words, n_removed, kept_sha256 and kept_text.
 
@@ -240,16 +280,15 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     """
     added = ("n_words", "n_removed", "kept_sha256", "kept_text")
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    names = docs.columns
+    keyed, equal = _keyed(docs.select(all_but_text(names).alias("row_id"), F.col("text")))
     # texts that have an equal are known to repeat wholly; one of them stands for all
-    keyed = docs.withColumn("key", F.xxhash64("text"))
-    equal = written(keyed.where("text is not null").groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key", F.lit(True).alias("copied")), "copies")
     texts = keyed.where("text is not null").select("key", "text")
     single = texts.join(equal, "key", "left_anti").unionByName(texts.join(equal.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     places = repeated_windows(single, length)
     rows = keyed.join(equal, "key", "left")
     rows = rows.join(places, "key", "left") if places is not None else rows.withColumn("places", F.lit(None).cast("array<int>"))
-    names = [c for c in docs.columns]
-    packed = rows.select(all_but_text(names).alias("row_id"), F.col("text"), F.coalesce("copied", F.lit(False)).alias("copied"), "places")
+    packed = rows.select("row_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "places")
     kind = packed.schema["row_id"].dataType.simpleString()
     out = packed.mapInArrow(_cut(length), f"row_id {kind}, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(*(F.col("text") if c == "text" else F.col("row_id").getField(c).alias(c) for c in names), *added)
