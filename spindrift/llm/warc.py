@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     marked = written(rows.mapInArrow(_digests, "page_id long, url string, bytes long, digest string"), "digests")
     last = marked.where("page_id is not null").groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
     decided = marked.join(last, ["digest", "bytes"], "left")
-    # only pages that revisit need to meet their text again
+    # which rows revisit is found from digests alone; then each text goes once to its record's archive
     revisits = decided.where(F.col("first").isNotNull() & (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first", "first_url", F.col("page_id").alias("_page"))
     revisits = revisits.dropDuplicates(["_digest", "_bytes", "_page"])
     # the digest of a row is made again beside its text: Spark's sha1 in hexadecimal would need another base
@@ -223,7 +223,9 @@ def _rows(cols: dict[str, list]) -> pa.RecordBatch:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of the records in the archives that
-    ``manifest`` (folder, archive) lists, each read in one pass.  payload_bytes and payload_digest are of the full payload,
-    of revisits too."""
-    dealt = manifest.select("folder", "archive").repartition("archive")
+    ``manifest`` (folder, archive) lists, each read in one pass and by a task of its own.  payload_bytes and payload_digest
+    are of the full payload, of revisits too."""
+    listed = manifest.select("folder", "archive")
+    # a stated number of ranges is not merged again at run time, small as the names are
+    dealt = listed.repartitionByRange(max(1, listed.count()), "folder", "archive")
     return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
