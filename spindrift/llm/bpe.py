@@ -37,10 +37,15 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.beside: dict[tuple[int, int], bool] = {}
+        tails: dict[bytes, set[int]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (parts := self._merged(token, rank)):
                 self.halves[rank] = parts
                 self.joined[parts] = rank
+                if len(token) > 2:
+                    tails.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths of the tokens that end in three bytes, longest first.
+        self.tails = {tail: tuple(sorted(found, reverse=True)) for tail, found in tails.items()}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -103,11 +108,15 @@ class PrefixTable:
 
     def _fill(self, start: int, end: int) -> None:
         v, data, last = self.vocabulary, self.data, self.last
-        get, beside, halves, longest = v.ranks.get, v.beside, v.halves, v.longest
+        get, beside, halves, tails = v.ranks.get, v.beside, v.halves, v.tails.get
         for stop in range(start + 1, end + 1):
-            for begin in range(stop - longest if stop > longest else 0, stop):
+            # only lengths of tokens that end as the prefix does: 2 and 1 are always tried
+            for length in (*tails(data[stop - 3 : stop], ()), 2, 1) if stop > 2 else (2, 1):
+                if length > stop:
+                    continue
+                begin = stop - length
                 token = get(data[begin:stop])
-                if token is None or (stop - begin > 1 and token not in halves):
+                if token is None or (length > 1 and token not in halves):
                     continue
                 if not begin:
                     break
