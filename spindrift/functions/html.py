@@ -89,10 +89,17 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+class Rejected(ValueError):
+    """A page that the parser gives up on."""
+
+
 def parse(html: str | None) -> Node:
     builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
+    try:
+        builder.feed(html or "")
+        builder.close()
+    except AssertionError as broken:  # a declaration that is none
+        raise Rejected(str(broken)) from broken
     return builder.open[0]
 
 
@@ -141,32 +148,38 @@ def sections(html: str | None, slug: Callable[[str], str], repeat_nested: bool =
     root.prune(is_boilerplate)
     out = [Section([])]
 
-    def visit(node: Node, inside: bool) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if child.strip() and (repeat_nested or not inside):
-                    out[-1].blocks.append(("text", child.strip()))
-                continue
-            if child.tag in HEADINGS:
-                level, text = HEADINGS[child.tag], child.text()
-                path = [p for p in out[-1].path if p[0] < level]
-                out.append(Section([*path, (level, text, child.attrs.get("id") or slug(text))]))
-            elif child.tag == "pre":
-                code = child.find(lambda n: n.tag == "code")
-                classes = ((code or child).attrs.get("class") or child.attrs.get("class", "")).split()
-                out[-1].blocks.append(("code", f"```{classes[0].removeprefix('language-') if classes else ''}\n{child.raw().strip()}\n```"))
-            elif child.tag == "table":
-                out[-1].blocks.append(("table", child.text()))
-            elif child.tag in BLOCKS:
-                nested = child.find(lambda n, own=child: n is not own and (n.tag in BLOCKS or n.tag in HEADINGS or n.tag in ("pre", "table"))) is not None
-                if repeat_nested or not nested:
-                    if text := child.text():
-                        out[-1].blocks.append(("text", text))
-                    visit(child, True) if repeat_nested else None
-                else:
-                    visit(child, False)
-            else:
-                visit(child, inside)
-
-    visit(root.find(lambda n: n.tag == "body") or root, False)
+    # whether a block or heading lies in a node; descendants come first
+    holds: dict[int, bool] = {}
+    for node in reversed(list(root.walk())):
+        holds[id(node)] = any(holds[id(c)] or c.tag in BLOCKS or c.tag in HEADINGS or c.tag in ("pre", "table") for c in node.children if isinstance(c, Node))
+
+    # a stack of its own, as pages nest deeper than Python's
+    open_nodes = [(iter((root.find(lambda n: n.tag == "body") or root).children), False)]
+    while open_nodes:
+        children, inside = open_nodes[-1]
+        child = next(children, None)
+        if child is None:
+            open_nodes.pop()
+        elif isinstance(child, str):
+            if child.strip() and (repeat_nested or not inside):
+                out[-1].blocks.append(("text", child.strip()))
+        elif child.tag in HEADINGS:
+            level, text = HEADINGS[child.tag], child.text()
+            path = [p for p in out[-1].path if p[0] < level]
+            out.append(Section([*path, (level, text, child.attrs.get("id") or slug(text))]))
+        elif child.tag == "pre":
+            code = child.find(lambda n: n.tag == "code")
+            classes = ((code or child).attrs.get("class") or child.attrs.get("class", "")).split()
+            out[-1].blocks.append(("code", f"```{classes[0].removeprefix('language-') if classes else ''}\n{child.raw().strip()}\n```"))
+        elif child.tag == "table":
+            out[-1].blocks.append(("table", child.text()))
+        elif child.tag not in BLOCKS:
+            open_nodes.append((iter(child.children), inside))
+        elif not repeat_nested and holds[id(child)]:
+            open_nodes.append((iter(child.children), False))
+        else:
+            if text := child.text():
+                out[-1].blocks.append(("text", text))
+            if repeat_nested:
+                open_nodes.append((iter(child.children), True))
     return [s for s in out if s.blocks or s.path]

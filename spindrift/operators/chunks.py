@@ -97,12 +97,16 @@ def page_chunks(url: str, page: str | None, limits: Limits, repeat_nested: bool
         if count("\n\n".join(v for _, v in blocks)) <= limits.parent_most:
             groups = [blocks]
         else:
+            held = 0  # tokens of the last group
             for kind, value in blocks:
-                pieces = [value] if count(value) <= limits.part_most else [t for t, _ in packed(_SENTENCE.split(value), limits.parent_most)]
-                for piece in pieces:
-                    if groups[-1] and sum(count(v) for _, v in groups[-1]) + count(piece) > limits.parent_most:
+                whole = count(value)
+                pieces = [(value, whole)] if whole <= limits.part_most else [(t, count(t)) for t, _ in packed(_SENTENCE.split(value), limits.parent_most)]
+                for piece, n in pieces:
+                    if groups[-1] and held + n > limits.parent_most:
                         groups.append([])
+                        held = 0
                     groups[-1].append((kind, piece))
+                    held += n
         section_id = section.path[-1][2] if section.path else ""
         for number, group in enumerate(g for g in groups if g):
             content = "\n\n".join(v for _, v in group)
@@ -114,13 +118,20 @@ def page_chunks(url: str, page: str | None, limits: Limits, repeat_nested: bool
 
 
 def chunk_pages(pages: DataFrame, limits: Limits = Limits(), repeat_nested: bool = False) -> DataFrame:
-    """Rows of SCHEMA with doc_type, version and code_identifiers, for pages (url, html)."""
+    """Rows of SCHEMA with doc_type, version and code_identifiers, for pages (url, html).  A page that cannot be parsed gives
+    none, nor does one without html."""
     from spindrift.functions.url import doc_type, normalize_url
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for part in parts:
-            yield pd.DataFrame([row for url, page in zip(part["url"], part["html"], strict=True) for row in page_chunks(url, page, limits, repeat_nested)], columns=names)
+            rows: list[tuple] = []
+            for url, page in zip(part["url"], part["html"], strict=True):
+                try:
+                    rows += page_chunks(url, page, limits, repeat_nested)
+                except html.Rejected:
+                    continue
+            yield pd.DataFrame(rows, columns=names)
 
     rows = pages.select(normalize_url(F.col("url")).alias("url"), "html").mapInPandas(run, SCHEMA)
     return rows.withColumns({"heading_path": text.heading_path(F.col("headings")), "doc_type": doc_type(F.col("url")), "version": text.version(F.col("headings"), F.col("content")), "code_identifiers": text.code_identifiers(F.col("code"))}).drop("code")
@@ -133,11 +144,18 @@ def parents_without_children(rows: DataFrame) -> DataFrame:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(url, text, place, main) of pages (url, html): plain text, and main content with where it was found."""
+    """(url, text, place, main) of pages (url, html): plain text, and main content with where it was found; nulls for a page
+    that cannot be parsed."""
+
+    def of(page: str | None) -> tuple:
+        try:
+            return (html.page_text(page), *html.main_content(page))
+        except html.Rejected:
+            return None, None, None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [html.main_content(h) for h in part["html"]]
-            yield pd.DataFrame({"url": part["url"], "text": [html.page_text(h) for h in part["html"]], "place": [p for p, _ in found], "main": [t for _, t in found]})
+            found = [of(h) for h in part["html"]]
+            yield pd.DataFrame({"url": part["url"], "text": [f[0] for f in found], "place": [f[1] for f in found], "main": [f[2] for f in found]})
 
     return pages.select("url", "html").mapInPandas(run, "url string, text string, place string, main string")

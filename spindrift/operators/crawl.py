@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.store import shared_folder
+
 
 def last_value_first_place(urls: DataFrame) -> DataFrame:
     """One row a URL of (url, lastmod, ord): the last row's lastmod at the first row's place."""
@@ -65,13 +67,21 @@ def fetch_set(urls: DataFrame, failed: DataFrame, indexed: DataFrame | None = No
 def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth) within ``depth`` steps of ``start`` (node) along ``links`` (src, dst), breadth first.
 
-    Each level joins only the level before and leaves out what was seen, so no path is walked twice."""
-    seen = frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
+    Each level joins only the level before and leaves out what was seen, so no path is walked twice.  Levels are written, so
+    the plan does not grow with the depth; it ends early where a level is empty."""
+    spark = links.sparkSession
+    folder = shared_folder(spark, "levels")
+    level_at = lambda n: f"{folder}/depth={n}"
+    read = lambda last: spark.read.option("basePath", folder).parquet(*(level_at(n) for n in range(last + 1)))
+    start.select("node").distinct().write.parquet(level_at(0))
+    last = 0
     for level in range(1, depth + 1):
-        frontier = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = spark.read.parquet(level_at(last)).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier.join(read(last).select("node"), "node", "left_anti").write.parquet(level_at(level))
+        last = level
+        if spark.read.parquet(level_at(level)).isEmpty():
+            break
+    return read(last).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def robots_sitemaps(lines: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import chat, text, url
-from spindrift.operators import chunks, crawl, evaluate, maintain, search
+from spindrift.operators import build, chunks, crawl, evaluate, index, maintain, search
 from spindrift.sources import sitemaps
+from spindrift.sources.store import shared_folder
 from spindrift.streaming import chat as chat_streams
 from spindrift.streaming import events as event_streams
+from spindrift.streaming import updater
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -321,6 +323,153 @@ def parent_context_join(spark, d):
     return search.with_parents(rows, docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content")), 80).select("doc_id", "parent_text")
 
 
+# ---- the stored index
+
+_ASK = """ts AS (SELECT doc_id, {doc} AS doc, text FROM documents),
+{found}
+li AS (SELECT query, text, ts.doc, rank, 0.3::DOUBLE AS w, 0 AS s FROM bm JOIN ts USING (doc) UNION ALL SELECT query, text, ts.doc, rank, 0.7::DOUBLE, 1048576 FROM kn JOIN ts USING (doc)),
+fu AS (SELECT query, min_by(doc, s + rank) AS doc, round(sum(w / (60 + rank)), 9) AS score, min(s + rank) AS seen FROM li GROUP BY query, text),
+rr AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen) AS rank FROM fu QUALIFY rank <= 15),
+c AS (SELECT query, rank, doc_id, len(list_intersect(list_distinct({low_q}), {low_t}))::DOUBLE / len(list_distinct({low_q})) AS cover, ts.text AS body FROM rr JOIN ts USING (doc) JOIN benchmark b ON b.item_id = rr.query WHERE doc_id % 13 <> 0),
+m AS (SELECT *, min(cover) OVER (PARTITION BY query) AS a, max(cover) OVER (PARTITION BY query) AS z FROM c),
+x AS (SELECT *, CASE WHEN a = z THEN 1.0::DOUBLE ELSE round((cover - a) / (z - a), 6) END AS score FROM m),
+y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank)::INTEGER AS place FROM x)
+SELECT query, place AS rank, score, doc_id::VARCHAR AS chunk_id, 'u' || doc_id % 13 AS url, sha256(body) AS text_sha256, 'parent ' || doc_id % 50 AS parent_text FROM y WHERE place <= 5"""
+
+
+def _stored_sql(doc: str) -> str:
+    low = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda t: t <> '')"
+    found = _BM25[len("WITH ") : _BM25.index("fu AS (")].replace("SELECT doc_id AS doc,", f"SELECT {doc} AS doc,").replace("c.vec_id AS doc", "c.doc AS doc")
+    found = found.replace("embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings c)", f"embeddings a JOIN benchmark ON item_id = a.vec_id, (SELECT {doc} AS doc, embedding FROM embeddings JOIN documents ON doc_id = vec_id) c)")
+    return "WITH " + _ASK.format(doc=doc, found=found.strip(), low_q=low("b.text"), low_t=low("ts.text"))
+
+
+def _index_chunks(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+    name = lambda k, n: F.concat(F.lit(k), (F.col("doc_id") % n).cast("string"))
+    rows = rows.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), name("u", 13).alias("url"), name("", 50).alias("parent_id"), F.col("lang").alias("heading_path"), "text", "vector")
+    parents = spark.range(50).select(F.col("id").cast("string").alias("parent_id"), F.concat(F.lit("parent "), F.col("id").cast("string")).alias("content"))
+    return rows, parents
+
+
+def _searched(spark, d, built: index.SearchIndex) -> DataFrame:
+    gone = spark.createDataFrame([("u0",)], "url string")
+    found = built.without(gone).search(_vector_queries(spark, d))
+    return found.select("query", "rank", "score", "chunk_id", "url", F.sha2("text", 256).alias("text_sha256"), "parent_text")
+
+
+@query(_stored_sql("doc_id::VARCHAR || '@0'"))
+def index_search(spark, d):
+    rows, parents = _index_chunks(spark, d)
+    return _searched(spark, d, index.SearchIndex.build(spark, shared_folder(spark, "index"), rows.drop("doc_id"), parents))
+
+
+@query(_stored_sql("doc_id::VARCHAR || CASE WHEN doc_id % 10 < 7 THEN '@0' ELSE '@1' END"))
+def index_append(spark, d):
+    rows, parents = _index_chunks(spark, d)
+    folder = shared_folder(spark, "index")
+    index.SearchIndex.build(spark, folder, rows.where("doc_id % 10 < 7").drop("doc_id"), parents)
+    return _searched(spark, d, index.SearchIndex.load(spark, folder).append(rows.drop("doc_id")))
+
+
+# ---- crawling
+
+_SITE = "https://docs.example.com/"
+
+
+def _fetched(spark, d) -> DataFrame:
+    k = F.col("page_id")
+    status = F.when(k % 20 == 0, 404).when(k % 20 == 1, 500).when(k % 20 == 2, -1).when(k % 20 == 3, 0).otherwise(200)
+    rows = table(spark, d, "pages").withColumn("url", F.concat(F.lit(_SITE), k.cast("string")))
+    return rows.select("page_id", "url", F.when(k % 17 == 0, F.concat(F.lit("https://other.org/"), k.cast("string"))).otherwise(F.col("url")).alias("final_url"), F.when(k % 13 == 0, "application/pdf").otherwise("Text/HTML; charset=utf-8").alias("content_type"), status.alias("status"), F.col("html").alias("body"))
+
+
+_OK = "(page_id % 20 >= 4 AND page_id % 17 <> 0 AND page_id % 13 <> 0)"
+_STATUS = "CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN -1 WHEN 3 THEN 0 ELSE 200 END"
+
+
+@query(f"SELECT page_id, CASE WHEN {_OK} THEN length(html) ELSE 0 END::INTEGER AS n_chars, {_STATUS}::INTEGER AS status FROM pages")
+def fetch_accept(spark, d):
+    return crawl.accepted(_fetched(spark, d), F.lit(_SITE)).select("page_id", F.length("html").alias("n_chars"), "status")
+
+
+_DAY = "CASE WHEN page_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + (page_id % 30)::INTEGER, '%Y-%m-%d') END"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {_DAY} AS lastmod, page_id % 3 = 0 AND (page_id % 5 = 0 OR page_id % 9 <> 0) AS hit FROM pages WHERE page_id % 11 <> 0)
+SELECT page_id, hit AS from_cache, CASE WHEN NOT hit THEN {_STATUS} END::INTEGER AS status, CASE WHEN hit OR {_OK} THEN length(html) END::INTEGER AS n_chars,
+page_id % 3 = 0 OR (NOT hit AND {_OK}) AS cached FROM p""")
+def crawl_refresh(spark, d):
+    k = F.col("page_id")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")), "yyyy-MM-dd")
+    rows = _fetched(spark, d).withColumn("lastmod", F.when(k % 5 != 0, day))
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    cache = rows.where("page_id % 3 = 0").select("url", F.col("body").alias("html"), F.when(k % 9 == 0, F.concat(F.lit("old "), "lastmod")).otherwise(F.col("lastmod")).alias("lastmod"), now.alias("cached_at"))
+    failed = rows.where("page_id % 11 = 0").select("url", F.lit(3).alias("failure_count"))
+    wanted = crawl.fetch_set(rows.select("url", "lastmod"), failed)
+    done = build.read_pages(wanted, cache, lambda asked: rows.drop("lastmod").join(asked.select("url"), "url"), F.lit(_SITE), now)
+    out = wanted.join(rows.select("url", "page_id"), "url").join(done.pages.select("url", "from_cache", F.length("html").alias("n_chars")), "url", "left").join(done.log.select("url", "status"), "url", "left").join(done.cache.select("url", F.lit(True).alias("cached")), "url", "left")
+    return out.select("page_id", F.coalesce("from_cache", F.lit(False)).alias("from_cache"), "status", "n_chars", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id // 50 AS s, CASE WHEN page_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + (page_id % 30)::INTEGER, '%Y-%m-%d') END AS lastmod FROM pages),
+s AS (SELECT DISTINCT s, s // 50 AS m, CASE WHEN s % 3 <> 0 THEN strftime(DATE '2024-02-01' + (s % 28)::INTEGER, '%Y-%m-%d') END AS sm FROM p),
+r AS (SELECT s, m, sm, row_number() OVER (PARTITION BY m ORDER BY coalesce(sm, '') DESC, s) AS place FROM s),
+m AS (SELECT m, row_number() OVER (ORDER BY m) AS place FROM (SELECT DISTINCT m FROM s))
+SELECT page_id, lastmod, CASE WHEN s % 3 <> 0 AND s % 4 = 1 THEN true ELSE false END AS from_cache, m.place::INTEGER AS at_index, r.place::INTEGER AS at_set,
+row_number() OVER (PARTITION BY s ORDER BY coalesce(lastmod, '') DESC, page_id)::INTEGER AS at_url FROM p JOIN r USING (s) JOIN m USING (m)""")
+def sitemap_recursion(spark, d):
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", F.floor(k / 50).alias("s"), F.when(k % 5 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")), "yyyy-MM-dd")).alias("lastmod"))
+    entry = lambda kind, loc, day: F.concat(F.lit(f"<{kind}><loc> "), loc, F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>")), F.lit("")), F.lit(f"</{kind}>"))
+    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("v")))), lambda x: x["v"]), "")
+    head, space = F.lit('<?xml version="1.0"?>'), "xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'"
+    name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    # 50 URLs a set and 50 sets an index
+    leaves = rows.groupBy("s").agg(ordered("page_id", entry("url", name("https://docs.example.com/", k), F.col("lastmod"))).alias("body"))
+    leaves = leaves.withColumn("day", F.when(F.col("s") % 3 != 0, F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("s") % 28).cast("int")), "yyyy-MM-dd")))
+    sets = leaves.select(name("set", F.col("s")).alias("sitemap"), F.concat(head, F.lit(f"<urlset {space}>"), "body", F.lit("</urlset>")).alias("xml"))
+    middle = leaves.groupBy(F.floor(F.col("s") / 50).alias("m")).agg(ordered("s", entry("sitemap", name("set", F.col("s")), F.col("day"))).alias("body"))
+    indexes = middle.select(name("index", F.col("m")).alias("sitemap"), F.concat(head, F.lit(f"<sitemapindex {space}>"), "body", F.lit("<sitemap><loc>missing</loc></sitemap></sitemapindex>")).alias("xml"))
+    cached = rows.where("s % 4 = 1").groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "lastmod"))), lambda x: F.struct(F.concat(F.lit("https://docs.example.com/"), x["page_id"].cast("string")).alias("loc"), x["lastmod"].alias("lastmod"))).alias("urls"))
+    cache = cached.join(leaves.select("s", "day"), "s").select(name("set", F.col("s")).alias("sitemap"), F.col("day").alias("lastmod"), "urls")
+    found = sitemaps.resolve(sets.unionByName(indexes), indexes.select("sitemap"), cache)
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "lastmod", "from_cache", F.col("place")[0].alias("at_index"), F.col("place")[1].alias("at_set"), F.col("place")[2].alias("at_url"))
+
+
+@query("""WITH s AS (SELECT k, page_id, 'v' || (page_id * k) % 3 AS lastmod FROM pages, range(3) AS r(k) WHERE page_id % 7 <> k + 1),
+c AS (SELECT a.k, count(*) FILTER (WHERE b.page_id IS NULL) AS n_new, count(*) FILTER (WHERE b.lastmod <> a.lastmod) AS n_updated, count(*) FILTER (WHERE b.lastmod = a.lastmod) AS n_unchanged FROM s a LEFT JOIN s b ON b.page_id = a.page_id AND b.k = a.k - 1 GROUP BY a.k),
+g AS (SELECT a.k + 1 AS k, count(*) AS n_removed FROM s a LEFT JOIN s b ON b.page_id = a.page_id AND b.k = a.k + 1 WHERE b.page_id IS NULL AND a.k < 2 GROUP BY a.k)
+SELECT k::BIGINT AS check_id, n_new::BIGINT AS n_new, n_updated::BIGINT AS n_updated, coalesce(n_removed, 0)::BIGINT AS n_removed, n_unchanged::BIGINT AS n_unchanged FROM c LEFT JOIN g USING (k)""")
+def stream_updater(spark, d):
+    folder = shared_folder(spark, "updater")
+    for k in range(3):
+        snapshot = table(spark, d, "pages").where(f"page_id % 7 <> {k + 1}").select(F.concat(F.lit(_SITE), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("v"), ((F.col("page_id") * k) % 3).cast("string")).alias("lastmod"))
+        snapshot.coalesce(1).write.mode("append").parquet(f"{folder}/snapshots")
+    stream = spark.readStream.schema("url string, lastmod string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/snapshots")
+    own = updater.Updater(spark, f"{folder}/state")
+    own.start(stream, f"{folder}/checkpoint").awaitTermination()
+    return own.log().select("check_id", "n_new", "n_updated", "n_removed", "n_unchanged")
+
+
+# ---- contexts
+
+
+@query("""WITH c AS (SELECT *, doc_id % 3 = 0 AS kept FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, CASE WHEN kept THEN 'cached context ' || doc_id ELSE 'page ' || doc_id || ' of ' || source END AS context, kept AS from_cache, sha256('<context>' || chr(10) || CASE WHEN kept THEN 'cached context ' || doc_id ELSE 'page ' || doc_id || ' of ' || source END || chr(10) || '</context>' || chr(10) || chr(10) || text) AS content_sha256 FROM c WHERE kept OR doc_id % 5 <> 0
+UNION ALL SELECT doc_id, NULL, NULL, sha256(text) FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 3 <> 0 AND doc_id % 5 = 0)""")
+def contextualize(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "text", "source")
+    # pages of some chunks are missing, contexts of some are cached, and the writer says too little about some
+    pages = rows.where("doc_id % 7 <> 0").select("url", F.concat(F.lit("page "), "chunk_id", F.lit(" of "), "source").alias("document"))
+    cache = rows.where("doc_id % 3 = 0 and doc_id % 7 <> 0").select(text.context_key(F.col("chunk_id"), F.col("text")).alias("cache_key"), F.concat(F.lit("cached context "), "chunk_id").alias("context"))
+    write = lambda asked: asked.select("chunk_id", F.when(F.col("chunk_id").cast("long") % 5 == 0, "short").otherwise(F.col("document")).alias("context"))
+    made = build.contexts_of(rows, pages, cache, write)
+    out = build.contextualized(rows, made).select("doc_id", "chunk_id", F.sha2("text", 256).alias("content_sha256"))
+    return out.join(made.select("chunk_id", "context", "from_cache"), "chunk_id", "left").select("doc_id", "context", "from_cache", "content_sha256")
+
+
 # ---- tombstones and updates
 
 

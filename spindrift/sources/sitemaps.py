@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.store import stored
+
 _ENTRY = "array<struct<loc:string,lastmod:string>>"
 
 
@@ -27,11 +29,41 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     return rows.where("coalesce(loc, '') <> ''")
 
 
+def newest_rank(group: list[str]) -> Column:
+    """Place within the group by lastmod, newest first, none last, ties in order (ord)."""
+    return F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce("lastmod", F.lit("")).desc(), "ord"))
+
+
 def to_fetch(subs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Sub-sitemaps (sitemap, lastmod) with fetch: not cached under an equal lastmod; newest first."""
+    """Sub-sitemaps (sitemap, lastmod) with fetch: not cached under an equal lastmod; else the cached urls."""
     joined = subs.join(cache.select("sitemap", F.col("lastmod").alias("cached"), "urls"), "sitemap", "left")
     fresh = F.col("lastmod").isNotNull() & F.coalesce(F.col("cached") == F.col("lastmod"), F.lit(False))
-    return joined.select("sitemap", "lastmod", (~fresh).alias("fetch"), F.when(fresh, F.col("urls")).alias("urls"))
+    return joined.withColumns({"fetch": ~fresh, "urls": F.when(fresh, F.col("urls"))}).drop("cached")
+
+
+def resolve(files: DataFrame, roots: DataFrame, cache: DataFrame | None = None, most_depth: int = 8) -> DataFrame:
+    """(url, lastmod, place, from_cache) of the URL sets under ``roots`` (sitemap): files (sitemap, xml) are read level by level.
+
+    Sub-sitemaps of an index stand newest first and so do the URLs of a set; ordering by ``place`` gives that order.  A
+    sub-sitemap cached under an equal lastmod, in cache (sitemap, lastmod, urls: array of loc and lastmod), gives its cached
+    URLs; others are looked up in files, and one that is not there or does not parse gives none.  Indexes deeper than
+    ``most_depth`` are not followed, so those that refer to each other end."""
+    spark = files.sparkSession
+    cache = cache if cache is not None else spark.createDataFrame([], f"sitemap string, lastmod string, urls {_ENTRY}")
+    at = roots.select("sitemap", F.lit(None).cast("string").alias("lastmod"), F.array(F.row_number().over(Window.orderBy("sitemap"))).alias("place"))
+    found = None
+    for _ in range(most_depth + 1):
+        known = stored(to_fetch(at, cache), "sitemaps")
+        kept = known.where("not fetch").select(F.posexplode("urls").alias("ord", "e"), "place").select("place", "ord", F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"), F.lit(True).alias("from_cache"))
+        read = known.where("fetch").select("sitemap", "place").join(files, "sitemap")
+        entries = stored(sitemap_entries(read).join(read.select("sitemap", "place"), "sitemap"), "entries")
+        own = entries.where("kind = 'url'").select("place", "ord", "loc", "lastmod", F.lit(False).alias("from_cache")).unionByName(kept)
+        found = own if found is None else found.unionByName(own)
+        subs = entries.where("kind = 'sitemap'").withColumn("rank", newest_rank(["place"]))
+        at = subs.select(F.col("loc").alias("sitemap"), "lastmod", F.concat("place", F.array("rank")).alias("place"))
+        if entries.where("kind = 'sitemap'").isEmpty():
+            break
+    return found.withColumn("rank", newest_rank(["place"])).select(F.col("loc").alias("url"), "lastmod", F.concat("place", F.array("rank")).alias("place"), "from_cache")
 
 
 def first_filled(candidates: DataFrame) -> DataFrame:

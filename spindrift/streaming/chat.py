@@ -42,11 +42,16 @@ class MarkerFilter:
         return out
 
 
-def filter_markers(stream: DataFrame) -> DataFrame:
-    """(conv_id, text) of a stream of pieces (conv_id, seq, piece, last): state is one buffer for each conversation."""
+def filter_markers(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """(conv_id, text) of a stream of pieces (conv_id, seq, piece, last): state is one buffer for each conversation, which
+    ends with its last piece, or when none has come for ``idle_ms``."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = MarkerFilter(*state.get) if state.exists else MarkerFilter()
+        if state.hasTimedOut:  # nothing came for long: what is held is the end
+            state.remove()
+            yield pd.DataFrame({"conv_id": [key[0]], "text": [own.finish()]})
+            return
         rows = pd.concat(parts).sort_values("seq")
         out = "".join(own.push(p or "") for p in rows["piece"])
         if rows["last"].any():
@@ -54,9 +59,10 @@ def filter_markers(stream: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((own.held, own.stage))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"conv_id": [key[0]], "text": [out]})
 
-    return stream.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, text string", "held string, stage int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, text string", "held string, stage int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def filter_markers_batch(pieces: DataFrame) -> DataFrame:
