@@ -45,7 +45,7 @@ LEADERS = 2
 TURNS = (8, 64)
 #: Entries that a reader holds at a time, and entries of a list that are compared with others in one task.
 HELD = 1 << 17
-PART = 1 << 13
+PART = 1 << 11
 #: Partners of one set that one task compares.
 PARTNERS = 4096
 U = np.uint64
@@ -253,16 +253,14 @@ def _read_open(percent: int, leading: int | None, seed: int):
     return run
 
 
-def _whole_sets(width: int, wanted):
+def _wanted(bitmap):
+    """Passes on the rows whose slot is in a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch["slot"].to_numpy(zero_copy_only=False) - 1]))
-            for lo, hi in slices(utf8(batch["text"])[1]):
-                part = batch.slice(lo, hi - lo)
-                own = [s for _, s in sets(part["text"], width)]
-                flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                yield pa.record_batch({"doc": part["doc_id"].cast(pa.int64()), "grams": lists(flat.view(np.int64), np.array([len(s) for s in own], np.int64), pa.int64())})
+            yield pa.record_batch({"doc": batch["doc_id"].cast(pa.int64()), "text": batch["text"]})
 
     return run
 
@@ -274,34 +272,37 @@ def _slot(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << WANTED_BITS)) + 1
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (a, salt), the sets of a first (more than one if its doc_id is repeated), then its partners'."""
-    key, held = None, []
-    for batch in batches:
-        a, salt, b = (batch[k].to_pylist() for k in ("a", "salt", "b"))
-        flat, at = batch["grams"].values.to_numpy(), batch["grams"].offsets.to_numpy()
-        out: list[tuple[int, int, int, int, int]] = []
-        for i in range(batch.num_rows):
-            own = flat[at[i] : at[i + 1]].view(np.uint64)
-            if b[i] is None:
-                if key != (a[i], salt[i]):
-                    key, held = (a[i], salt[i]), []
-                if not any(np.array_equal(own, h) for h in held):
-                    held.append(own.copy())
-            elif key == (a[i], salt[i]):
-                for h in held:
-                    at_held = np.searchsorted(h, own)
-                    at_held[at_held == len(h)] = 0
-                    out.append((a[i], b[i], len(h), len(own), int((h[at_held] == own).sum()) if len(h) else 0))
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n_a", "n_b", "shared"])
+def _overlaps(width: int):
+    """Rows of (a, salt), the texts of a first (more than one if its doc_id is repeated), then its partners'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            a, salt, b = (batch[k].to_pylist() for k in ("a", "salt", "b"))
+            out: list[tuple[int, int, int, int, int]] = []
+            for i, own in sets(batch["text"], width):
+                if b[i] is None:
+                    if key != (a[i], salt[i]):
+                        key, held = (a[i], salt[i]), []
+                    if not any(np.array_equal(own, h) for h in held):
+                        held.append(own)
+                elif key == (a[i], salt[i]):
+                    for h in held:
+                        at_held = np.searchsorted(h, own)
+                        at_held[at_held == len(h)] = 0
+                        out.append((a[i], b[i], len(h), len(own), int((h[at_held] == own).sum()) if len(h) else 0))
+            cols = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n_a", "n_b", "shared"])
+
+    return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(a, b, n_a, n_b, shared): for distinct pairs the sizes of the sets and of the intersection.
 
-    Sets are made anew for the texts in a pair only: a bitmap of fixed size first passes over the others, then a join
-    is exact.  Each partner's set goes to the set that it is paired with; one with many partners is salted."""
+    Only texts in a pair are dealt out: a bitmap of fixed size first passes over the others, then a join is exact.  Each
+    partner's text, which is smaller than its set, goes to the text that it is paired with; one with many partners is
+    salted."""
     spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).select(_slot("doc").alias("s"))
     bitmap = ids.groupBy(F.expr("bitmap_bucket_number(s)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits")).collect()
@@ -309,12 +310,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     for k, own in bitmap:  # bucket k holds one bit for each of the slots 32768 * (k - 1) + 1 to 32768 * k
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(own), np.uint8)
     wanted = spark.sparkContext.broadcast(bits.tobytes())
-    whole = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_whole_sets(width, wanted), "doc long, grams array<long>")
+    whole = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_wanted(wanted), "doc long, text string")
     salts = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts"))
-    left = whole.join(salts.withColumnRenamed("a", "doc"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "grams")
-    right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(whole, F.col("b") == F.col("doc")).select("a", "salt", "b", "grams")
+    left = whole.join(salts.withColumnRenamed("a", "doc"), "doc").select(F.col("doc").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(whole, F.col("b") == F.col("doc")).select("a", "salt", "b", "text")
     rows = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
+    return rows.mapInArrow(_overlaps(width), "a long, b long, n_a long, n_b long, shared long")
 
 
 def _either_way(pairs: DataFrame) -> DataFrame:
