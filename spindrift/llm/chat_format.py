@@ -83,6 +83,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv = rows["conv_id"].to_pylist()
         first = np.flatnonzero([k == 0 or conv[k] != conv[k - 1] for k in range(len(conv))])
         out, at, begin, end = assemble(rows["role"].combine_chunks(), rows["text"].combine_chunks())
+        if len(out) >= 2**31:
+            raise ValueError("a conversation is longer than a text can be")
         turn_bounds = np.append(first, len(conv))
         conv_at = at[turn_bounds]
         text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(conv_at.astype(np.int64)), pa.py_buffer(out))
@@ -94,7 +96,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(turn_bounds[:-1], turn_bounds[1:], strict=True):
             own = np.flatnonzero(loss[s:e]) + s
             spans.append(np.stack((points[begin[own]], points[end[own]]), 1).ravel() - points[at[s]])
-        return pa.record_batch({"conv_id": pa.array([conv[k] for k in first], pa.int64()), "n_turns": pa.array(np.diff(turn_bounds)), "text": text.cast(pa.string()) if len(out) < 2**31 - 1 else text, "loss_spans": pa.array([x.tolist() for x in spans], pa.list_(pa.int64()))})
+        return pa.record_batch({"conv_id": pa.array([conv[k] for k in first], pa.int64()), "n_turns": pa.array(np.diff(turn_bounds)), "text": text.cast(pa.string()), "loss_spans": pa.array([x.tolist() for x in spans], pa.list_(pa.int64()))})
 
     held: list[pa.Table] = []
     size = 0

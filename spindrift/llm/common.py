@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,12 @@ SLICE_BYTES = (1 << 20) - 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one if all
+    run in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spindrift-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -55,7 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where written tables lie, as long as they are in use.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing needs any more: what was made of them has been written itself."""
+    for table in tables:
+        if (path := _paths.pop(table, None)) is not None:
+            delete(table.sparkSession, path)
+            _written.remove((table.sparkSession, path))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import forget, written
 
 #: Edges that one task contracts at a time.
 CONTRACT_ROWS = 1 << 20
@@ -66,7 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if (few := 0 < now[0] <= CONTRACT_ROWS) and now != seen:
-            e = written(e.coalesce(1).mapInArrow(_contract, "hi long, lo long"), "edges")
+            e, old = written(e.coalesce(1).mapInArrow(_contract, "hi long, lo long"), "edges"), e
+            forget(old)
         if now[0] == 0 or now == seen or few:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = now
@@ -75,4 +76,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", "m")).distinct()
-        e = written(small, "edges")
+        e, old = written(small, "edges"), e
+        forget(old)

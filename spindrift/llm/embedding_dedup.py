@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import vectors, written
+from spindrift.llm.common import forget, vectors, written
 from spindrift.llm.components import components, forest
 
 #: Vectors of a label in a cell, about: the grid grows with the table, up to the most codewords of a half.
@@ -218,6 +218,7 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float | None = Non
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("label", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "copies", "home", "part", "embedding")
     found = written(dealt.groupBy("label", "cell", "p", "q").applyInArrow(_compare(least), "rep long, links long, low long"), "links")
+    forget(visits)
     near = found.groupBy("rep").agg(F.sum("links").alias("links"))
     at = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     # usable vectors link with their equals

@@ -116,7 +116,7 @@ def learn_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     return {lang: np.array(own, np.int64) for lang, own in profiles.items()}
 
 
-def _predict(shared):
+def _predict(shared, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         sorted_profiles = []
@@ -146,13 +146,14 @@ def _predict(shared):
                         best = away, k
                 preds[row] = names[best[1]]
                 scores[row] = 1 - best[0] / (PROFILE * len(own))
-            yield pa.record_batch({"row": batch["row"], "text": batch["text"], "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores)})
+            texts = {"text": batch["text"]} if with_text else {}
+            yield pa.record_batch({"row": batch["row"], **texts, "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores)})
 
     return run
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` (text, anything more) with lang_pred and score.
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, anything more), or its columns ``keep``, with lang_pred and score.
 
     lang_pred is a learned language, the first by name among equally near ones, or ``und`` where the text is null or
     has no letter, or where nothing was learned; then score is 0.  score is 1 - distance / greatest distance, in 0 to
@@ -160,9 +161,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
     shared = docs.sparkSession.sparkContext.broadcast(dict(sorted(profiles.items())))
-    names = list(docs.columns)
+    names = [c for c in docs.columns if keep is None or c in keep]
     packed = docs.select(all_but_text(names).alias("row"), F.col("text"))
-    out = packed.mapInArrow(_predict(shared), f"row {packed.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
+    text = "text string, " if "text" in names else ""
+    out = packed.mapInArrow(_predict(shared, bool(text)), f"row {packed.schema['row'].dataType.simpleString()}, {text}lang_pred string, score double")
     return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "lang_pred", "score")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import lists, slices, utf8, written
+from spindrift.llm.common import forget, lists, slices, utf8, written
 from spindrift.llm.components import components
 from spindrift.llm.index_lists import changes, first_pairs, open_pairs
 
@@ -376,8 +376,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = written(index.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_read_lists(percent), _READ), "lists")
     tested = written(_verified(docs, written(_distinct(found.where("b is not null")), "pairs"), width), "overlaps")
     enough = f"shared * {100 + percent} >= {percent} * (n_a + n_b)"
-    links = tested.where(enough).select("a", "b")
-    at = components(links)
+    at = components(tested.where(enough).select("a", "b"))
 
     open_lists = found.where("b is null").select("token", "n", "pos", F.col("a").alias("doc"))
     for turn, leading in enumerate((*TURNS, None), 1):
@@ -396,9 +395,11 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = met.where("not sure and a is not null").select("a", "b").join(_either_way(tested), ["a", "b"], "left_anti")
         fresh = written(_verified(docs, written(_distinct(more), "pairs"), width), "overlaps")
         new = met.where("sure").select("a", "b").union(fresh.where(enough).select("a", "b"))
-        tested, links = tested.unionByName(fresh), links.union(new)
+        tested = tested.unionByName(fresh)
         at = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-        if met.where("more").isEmpty():
+        done = met.where("more").isEmpty()
+        forget(met)
+        if done:
             break
         open_lists = members.join(mixed.select("token"), "token", "left_semi").select("token", "n", "pos", "doc")
     final = components(at.select(F.col("node").alias("a"), F.col("component").alias("b")).union(copies))

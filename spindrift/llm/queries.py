@@ -25,7 +25,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn_profiles(docs.where(~language_id.held_out()))
-    return language_id.identify(docs.select("doc_id", "text"), profiles).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"]).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

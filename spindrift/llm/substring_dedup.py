@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import all_but_text, lists, sliced, slices, utf8, written
+from spindrift.llm.common import all_but_text, forget, lists, sliced, slices, utf8, written
 
 U = np.uint64
 _COUNTED = "h1 long, h2 long, key long, pos int, sure boolean"
@@ -207,7 +207,9 @@ def repeated_windows(texts: DataFrame, length: int = 35) -> DataFrame | None:
         rows = texts if spans is None else texts.join(spans, "key")
         found = rows.selectExpr("key", "text", *(["spans"] if spans is not None else [])).mapInArrow(_sampled(width, length, spans is not None), _COUNTED)
         joined = rows.join(_repeats(found), "key")
-        spans = written(joined.mapInArrow(_survivors(width, length, spans is not None), "key long, spans array<int>").where("size(spans) > 0"), "spans")
+        spans, old = written(joined.mapInArrow(_survivors(width, length, spans is not None), "key long, spans array<int>").where("size(spans) > 0"), "spans"), spans
+        if old is not None:
+            forget(old)
         if spans.isEmpty():
             return None
     rows = texts.join(spans, "key") if spans is not None else texts.withColumn("spans", F.array(F.lit(0), F.lit(2**31 - 1)))

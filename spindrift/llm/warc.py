@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import new_path, written
+from spindrift.llm.common import forget, new_path, written
 
 VERSION = b"WARC/1.1"
 #: A fixed date, so that equal pages give equal archives.
@@ -189,7 +189,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     joined = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
     out = joined.select("page_id", "url", "html", "digest", "first", "first_url", F.col("_digest").isNotNull().alias("revisit"))
     manifest = out.mapInArrow(_write(folder), "archive string, records long, bytes long").withColumn("folder", F.lit(folder))
-    return written(manifest.select("folder", "archive", "records", "bytes"), "manifest")
+    listed = written(manifest.select("folder", "archive", "records", "bytes"), "manifest")
+    forget(marked)
+    return listed
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
