@@ -6,6 +6,7 @@ import ast
 import math
 import operator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -58,11 +59,31 @@ def stream_delta(line: Column) -> Column:
     return F.when(F.trim(body) != "[DONE]", F.coalesce(F.try_element_at(parsed["choices"], F.lit(1))["delta"]["content"], parsed["message"]["content"]))
 
 
-def stream_chunk(content: Column, finish: Column, model: str = "local", chunk: str = "chatcmpl") -> Column:
+def _line(content: Column | None, finish: Column, chunk: str, model: str, created: Column) -> Column:
+    delta = F.struct(content.alias("content")) if content is not None else F.lit(None).cast("struct<content:string>")
+    choice = F.struct(F.lit(0).alias("index"), delta.alias("delta"), finish.alias("finish_reason"))
+    head = F.struct(F.lit(chunk).alias("id"), F.lit("chat.completion.chunk").alias("object"), created.alias("created"), F.lit(model).alias("model"), F.array(choice).alias("choices"))
+    body = F.to_json(head, {"ignoreNullFields": "false"})
+    return F.concat(F.lit("data: "), body if content is not None else F.replace(body, F.lit('"delta":null'), F.lit('"delta":{}')), F.lit("\n\n"))
+
+
+#: The last line of a stream.
+DONE = "data: [DONE]\n\n"
+
+
+def stream_chunk(content: Column, created: Column, model: str = "local", chunk: str = "chatcmpl") -> Column:
     """A line of streamed output."""
-    delta = F.struct(F.struct(F.lit(0).alias("index"), F.struct(content.alias("content")).alias("delta"), finish.alias("finish_reason")).alias("c"))
-    body = F.to_json(F.struct(F.lit(chunk).alias("id"), F.lit("chat.completion.chunk").alias("object"), F.lit(model).alias("model"), F.array(delta["c"]).alias("choices")))
-    return F.concat(F.lit("data: "), body, F.lit("\n\n"))
+    return _line(content, F.lit(None).cast("string"), chunk, model, created)
+
+
+def stream_lines(pieces: Column, created: Column, error: Column | None = None, model: str = "local", chunk: str = "chatcmpl") -> Column:
+    """All lines of a streamed answer: one for each piece of text that is not empty, one that says why it ended, and the last.
+    With an error, its text comes in the line that ends it."""
+    own = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: stream_chunk(p, created, model, chunk))
+    stop = _line(None, F.lit("stop"), chunk, model, created)
+    if error is not None:
+        stop = F.when(error.isNotNull(), _line(error, F.lit("error"), chunk, model, created)).otherwise(stop)
+    return F.concat(own, F.array(stop, F.lit(DONE)))
 
 
 def tool_definition(name: Column, description: Column, parameters: Column) -> Column:
@@ -78,7 +99,7 @@ def request_error(messages: Column) -> Column:
 
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
-#: A power's exponent at most, and digits of a result at most.
+#: A power's exponent at most: larger ones take a worker's time and memory.
 MOST_EXPONENT = 10_000
 
 
@@ -108,4 +129,7 @@ def evaluate(expression: str | None) -> str:
         return f"Error: {e if isinstance(e, ValueError) else 'invalid expression'}"
 
 
-calculate = F.udf(evaluate, StringType())
+
+@F.arrow_udf(StringType())
+def calculate(expressions: pa.Array) -> pa.Array:
+    return pa.array([evaluate(e) for e in expressions.to_pylist()], pa.string())

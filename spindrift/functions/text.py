@@ -53,6 +53,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(own, rf"[^\p{{L}}\p{{N}}_{_WHITE}-]", ""), rf"[{_WHITE}_]+", "-")
 
 
+# Fixed value: what counts as a version number.
 _VERSION = r"v?(\d+\.\d+(?:\.\d+)?(?:\.x)?)"
 
 
@@ -128,7 +129,7 @@ def spoken_time(ts: Column) -> Column:
 
 
 # HTTP statuses and what they mean.
-STATUS_NAMES = {-1: "Blocked by robots.txt", 0: "Network Error", 200: "OK", 201: "Created", 301: "Moved Permanently", 302: "Found (Redirect)", 304: "Not Modified", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 408: "Request Timeout", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout"}
+STATUS_NAMES = {-1: "Blocked (robots.txt)", 0: "Network Error", 200: "OK", 201: "Created", 301: "Moved Permanently", 302: "Found (Redirect)", 304: "Not Modified", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 408: "Request Timeout", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout"}
 STATUS_RANGES = ((200, "Success"), (300, "Redirect"), (400, "Client Error"), (500, "Server Error"))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote
+from urllib.robotparser import RobotFileParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.url import root_domain
 from spindrift.sources.store import shared_folder
 
 
@@ -84,24 +90,53 @@ def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return read(last).select("node", F.col("depth").cast("int").alias("depth"))
 
 
-def robots_sitemaps(lines: DataFrame) -> DataFrame:
-    """Sitemap URLs in robots files of (site, ord, line)."""
-    url = F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap:\s*(.*)$", 1))
-    return lines.withColumn("url", url).where("url <> ''").select("site", "ord", "url")
+def robots_places(url: Column) -> Column:
+    """Where a site's robots file may be: on its host, then on its root domain if the host has more labels."""
+    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("AUTHORITY"))
+    own = F.concat(scheme, F.lit("://"), host, F.lit("/robots.txt"))
+    return F.array_distinct(F.array(own, F.concat(scheme, F.lit("://"), root_domain(url), F.lit("/robots.txt"))))
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """(site, ord, url) of the sitemaps that robots files (site, text) name."""
+    lines = files.select("site", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("ord", "line"))
+    return lines.select("site", "ord", F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap:\s*(.*)$", 1)).alias("url")).where("url <> ''")
+
+
+# Where sitemaps are looked for when a robots file names none.
+SITEMAP_PLACES = ("/sitemap.xml", "/sitemap_index.xml", "/server-sitemap.xml")
+
+
+def sitemap_places(sites: DataFrame, named: DataFrame) -> DataFrame:
+    """(site, priority, sitemap) to try for sites (site, url): those that robots files name, (site, ord, url), come first."""
+    root = F.concat(F.try_parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("url", F.lit("AUTHORITY")))
+    usual = sites.select("site", F.posexplode(F.array(*(F.concat(root, F.lit(p)) for p in SITEMAP_PLACES))).alias("n", "sitemap"))
+    usual = usual.select("site", (F.col("n") + F.lit(1 << 40)).alias("priority"), "sitemap")
+    return named.select("site", F.col("ord").cast("long").alias("priority"), F.col("url").alias("sitemap")).unionByName(usual)
+
+
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """(site, rules) of robots files (site, text): the rules for ``agent``, each allow and path, in order.  A robots file is read
+    as Python's own parser does; one without rules for the agent gives an empty array."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for text in part["text"]:
+                parser = RobotFileParser()
+                parser.parse((text or "").splitlines())
+                entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+                found.append([(line.allowance, unquote(line.path)) for line in entry.rulelines] if entry else [])
+            yield pd.DataFrame({"site": part["site"], "rules": found})
 
-def robots_rules(lines: DataFrame, agent: str = "*") -> DataFrame:
-    """(site, allow, path) of the rules for ``agent`` in robots files of (site, ord, line)."""
-    field = F.lower(F.trim(F.regexp_extract("line", r"^([^:#]*):", 1)))
-    rows = lines.withColumn("field", field).withColumn("value", F.trim(F.regexp_extract("line", r"^[^:#]*:([^#]*)", 1)))
-    group = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), True).over(Window.partitionBy("site").orderBy("ord"))
-    rows = rows.withColumn("agent", group).where(F.col("field").isin("allow", "disallow") & (F.col("agent") == agent.lower()) & (F.col("value") != ""))
-    return rows.select("site", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"))
+    return files.select("site", "text").mapInPandas(run, "site string, rules array<struct<allow:boolean,path:string>>")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (site, url) with allowed: by the longest rule that the path starts with; allowed without any."""
-    path = F.concat(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/")))
-    rows = urls.withColumn("_path", F.when(path == "", "/").otherwise(path))
-    hit = rows.join(rules, "site").where("startswith(_path, path)").groupBy("site", "url").agg(F.max_by("allow", F.struct(F.length("path"), F.col("allow").cast("int"))).alias("rule"))
-    return urls.join(hit, ["site", "url"], "left").withColumn("allowed", F.coalesce("rule", F.lit(True))).drop("rule")
+    """``urls`` (site, url, ...) with allowed: by the first of the site's rules that the URL's path and query start with;
+    allowed without any, and on sites without a robots file."""
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    rows = urls.join(rules.select("site", F.col("rules").alias("_rules")), "site", "left")
+    rows = rows.withColumn("_path", F.when(path == "", "/").otherwise(path))
+    first = F.try_element_at(F.filter("_rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])), F.lit(1))
+    return rows.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_rules", "_path")

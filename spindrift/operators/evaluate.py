@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,23 @@ def response_issues(response: Column, least: Column, most: Column, expected: Col
     )
 
 
+def custom_issues(response: Column, check: Callable[[str], tuple[bool, list[str]]]) -> Column:
+    """Issues that a check of one's own finds in a response, to be added to the others; an error of the check is one."""
+
+    @F.arrow_udf("array<string>")
+    def found(responses: pa.Array) -> pa.Array:
+        out = []
+        for response in responses.to_pylist():
+            try:
+                passed, issues = check(response or "")
+                out.append([] if passed else list(issues))
+            except Exception as error:  # a check may raise anything
+                out.append([f"Custom validator error: {error}"])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return found(response)
+
+
 def mean_by_metadata(results: DataFrame, key: str) -> DataFrame:
     """Mean response time by a key of the free metadata map."""
     return results.groupBy(F.col("metadata")[key].alias(key)).agg(F.round(F.avg("response_time"), 6).alias("avg_response_time"), F.count("*").alias("n"))
@@ -87,11 +106,20 @@ def read_cases(spark, path: str) -> DataFrame:
     return rows.where(fine.isNull())
 
 
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Cases in the order of their queries as one JSON array, which read_cases reads; bounded by the test suite."""
+    names = [c.split()[0] for c in CASE_SCHEMA.split(", ")]
+    rows = [r.asDict(True) for r in cases.select(*names).orderBy("query").collect()]
+    Path(path).write_text(json.dumps(rows, indent=2))
+
+
 def json_report(results: DataFrame, path: str, generated_at: str) -> None:
     """A report of results (test rows, bounded by the test suite): summary and numbered results."""
     rows = [r.asDict(True) for r in results.collect()]
     passed = sum(bool(r["passed"]) for r in rows)
-    body = {"generated_at": generated_at, "summary": {"total": len(rows), "passed": passed, "failed": len(rows) - passed}, "results": [{"number": n, **r} for n, r in enumerate(rows, 1)]}
+    seconds = sum(r.get("response_time") or 0.0 for r in rows)
+    counts = {"total": len(rows), "passed": passed, "failed": len(rows) - passed, "success_rate": passed / len(rows) * 100 if rows else 0, "total_time": seconds, "avg_time": seconds / len(rows) if rows else 0}
+    body = {"generated_at": generated_at, "summary": counts, "results": [{"test_number": n, **r} for n, r in enumerate(rows, 1)]}
     Path(path).write_text(json.dumps(body, indent=2, default=str))
 
 

@@ -1,0 +1,66 @@
+"""Settings of a deployment, read from environment variables."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+from typing import Any
+
+# Words for true, and the values that some settings can have, of which the first stands for any other.
+TRUE = ("true", "1", "yes")
+CHOICES = {"DEBUG_LOG_FORMAT": ("text", "json", "yaml"), "FIRST_ITERATION_TOOL_CHOICE": ("auto", "required")}
+#: Variables that have another name than their setting, the first one set counting.
+VARIABLES = {"BACKEND_TYPE": ("BACKEND_TYPE", "BACKEND"), "DEFAULT_HOST": ("HOST",), "DEFAULT_PORT": ("PORT",), "DEFAULT_TEMPERATURE": ("TEMPERATURE",)}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Names and defaults are fixed values."""
+
+    BACKEND_TYPE: str = "lmstudio"
+    BACKEND_MODEL: str = "openai/gpt-oss-20b"
+    LMSTUDIO_ENDPOINT: str = "http://localhost:1234/v1"
+    OLLAMA_ENDPOINT: str = "http://localhost:11434"
+    OLLAMA_API_KEY: str = ""
+    DEFAULT_HOST: str = "127.0.0.1"
+    DEFAULT_PORT: int = 8000
+    DEFAULT_TEMPERATURE: float = 0.0
+    SYSTEM_PROMPT_PATH: str = "system_prompt.md"
+    THREADED: bool = True
+    WEBUI_PORT: int = 8001
+    DEBUG_TOOLS: bool = False
+    DEBUG_TOOLS_LOG_FILE: str = "tools_debug.log"
+    DEBUG_LOG_MAX_BYTES: int = 10485760
+    DEBUG_LOG_BACKUP_COUNT: int = 5
+    DEBUG_LOG_FORMAT: str = "text"
+    DEBUG_LOG_MAX_RESPONSE_LENGTH: int = 1000
+    BACKEND_CONNECT_TIMEOUT: int = 10
+    BACKEND_READ_TIMEOUT: int = 300
+    HEALTH_CHECK_ON_STARTUP: bool = True
+    HEALTH_CHECK_TIMEOUT: int = 5
+    BACKEND_RETRY_ATTEMPTS: int = 3
+    BACKEND_RETRY_INITIAL_DELAY: float = 1.0
+    RATE_LIMIT_ENABLED: bool = False
+    RATE_LIMIT_DEFAULT: str = "100 per minute"
+    RATE_LIMIT_STORAGE_URI: str = "memory://"
+    MAX_TOOL_ITERATIONS: int = 5
+    TOOL_LOOP_TIMEOUT: int = 120
+    FIRST_ITERATION_TOOL_CHOICE: str = "auto"
+
+    @classmethod
+    def read(cls, prefix: str = "", variables: Mapping[str, str] = os.environ) -> Settings:
+        """A variable with the prefix counts before the bare one.  A number that is none is an error."""
+        found: dict[str, Any] = {}
+        for one in fields(cls):
+            names = VARIABLES.get(one.name, (one.name,))
+            given = next((variables[n] for name in names for n in (prefix + name, name) if variables.get(n) is not None and (variables[n] or len(names) == 1)), None)
+            if given is None or (given == "" and isinstance(one.default, bool)):
+                continue
+            if isinstance(one.default, bool):
+                found[one.name] = given.lower() in TRUE
+            else:
+                found[one.name] = type(one.default)(given)
+            if one.name in CHOICES and given not in CHOICES[one.name]:
+                found[one.name] = CHOICES[one.name][0]
+        return cls(**found)

@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import settings
 from spindrift.functions import chat, html, text, url
 from spindrift.operators import chunks, crawl, evaluate, maintain, search
 from spindrift.plans import catalogue
@@ -30,11 +31,17 @@ def test_sitemaps_and_cache(spark):
 
 
 def test_robots(spark):
-    lines = [(0, "User-agent: *"), (1, "Disallow: /private"), (2, "Allow: /private/ok"), (3, "Sitemap: https://x/s.xml"), (4, "User-agent: z"), (5, "Disallow: /")]
-    rows = spark.createDataFrame([("x", o, line) for o, line in lines], "site string, ord int, line string")
-    assert [r.url for r in crawl.robots_sitemaps(rows).collect()] == ["https://x/s.xml"]
-    pages = spark.createDataFrame([("x", "https://x/a"), ("x", "https://x/private/1"), ("x", "https://x/private/ok")], "site string, url string")
-    assert {r.url[9:]: r.allowed for r in crawl.robots_allowed(pages, crawl.robots_rules(rows)).collect()} == {"/a": True, "/private/1": False, "/private/ok": True}
+    file = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /private/ok\nDisallow: /private\nDisallow: /find?q=\nSitemap: https://x/s.xml\n# end"
+    files = spark.createDataFrame([("s", file), ("open", "User-agent: *\nDisallow:"), ("empty", None)], "site string, text string")
+    assert [r.url for r in crawl.robots_sitemaps(files).collect()] == ["https://x/s.xml"]
+    pages = spark.createDataFrame([(s, f"https://x{p}") for s in ("s", "open", "empty", "none") for p in ("", "/a", "/private/1", "/private/ok", "/find?q=1", "/find")], "site string, url string")
+    refused = {(r.site, r.url[9:]) for r in crawl.robots_allowed(pages, crawl.robots_rules(files)).collect() if not r.allowed}
+    assert refused == {("s", "/private/1"), ("s", "/find?q=1")}
+    assert {r.allowed for r in crawl.robots_allowed(pages.where("site = 's'"), crawl.robots_rules(files, "other")).collect()} == {False}
+    places = spark.createDataFrame([("https://docs.x.org/a",), ("https://x.org/a",)], "url string").select(crawl.robots_places(F.col("url")).alias("p")).collect()
+    assert [r.p for r in places] == [["https://docs.x.org/robots.txt", "https://x.org/robots.txt"], ["https://x.org/robots.txt"]]
+    tried = crawl.sitemap_places(spark.createDataFrame([("s", "https://x/a/b")], "site string, url string"), crawl.robots_sitemaps(files)).orderBy("priority")
+    assert [r.sitemap for r in tried.collect()] == ["https://x/s.xml", "https://x/sitemap.xml", "https://x/sitemap_index.xml", "https://x/server-sitemap.xml"]
 
 
 def test_absolute_links(spark):
@@ -169,3 +176,41 @@ def test_identifiers_of_whole_texts_equal_brute_force(spark, tmp_path):
     expected = {r.doc_id: identifiers_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     got = {r.doc_id: r.identifiers or "" for r in catalogue.QUERIES["code_identifiers_texts"](spark, str(tmp_path)).collect()}
     assert got == expected and len(expected[-3].split()) == 20 and expected[-5] == "last_call"
+
+
+def test_tool_answers_and_stream_lines(spark):
+    rows = spark.createDataFrame([(1, 1, "u", "A > B", "t", "whole t"), (1, 2, "v", "", "w", "w")], "query int, rank int, url string, heading_path string, text string, parent_text string")
+    got = {r.query: r.text for r in search.formatted(rows, spark.createDataFrame([(1,), (2,)], "query int")).collect()}
+    assert got == {1: "**Result 1**\nSource: u\nSection: A > B\n\nt\n\n---\nBroader context:\nwhole t\n\n\n**Result 2**\nSource: v\n\nw\n", 2: "No relevant documentation found for your query."}
+    web = spark.createDataFrame([("q", [("T", "U", "D")] * 3), ("q", [])], "q string, r array<struct<title:string,url:string,description:string>>")
+    assert [r.x for r in web.select(search.web_results(F.col("q"), F.col("r"), 1).alias("x")).collect()] == ["Found 1 web result(s):\n\n\n1. T\n   URL: U\n   D\n", "No web results found for query: 'q'"]
+    lines = spark.range(1).select(chat.stream_lines(F.array(F.lit("a"), F.lit(""), F.lit("b")), F.lit(7)).alias("x"), chat.stream_lines(F.array(F.lit("a")), F.lit(7), F.lit("broken")).alias("y")).first()
+    bodies = [json.loads(x.removeprefix("data: ")) for x in lines.x[:-1]]
+    assert [b["choices"][0] for b in bodies] == [{"index": 0, "delta": {"content": "a"}, "finish_reason": None}, {"index": 0, "delta": {"content": "b"}, "finish_reason": None}, {"index": 0, "delta": {}, "finish_reason": "stop"}]
+    assert lines.x[-1] == "data: [DONE]\n\n" and bodies[0]["created"] == 7 and json.loads(lines.y[1][6:])["choices"][0] == {"index": 0, "delta": {"content": "broken"}, "finish_reason": "error"}
+
+
+def test_cases_and_checks_of_ones_own(spark, tmp_path):
+    cases = spark.createDataFrame([("q2", "d", ["u"], [], 3, {"k": "v"}), ("q1", None, [], ["w"], 5, None)], evaluate.CASE_SCHEMA)
+    evaluate.write_cases(cases, str(tmp_path / "cases.json"))
+    assert sorted(map(str, evaluate.read_cases(spark, str(tmp_path / "cases.json")).collect())) == sorted(map(str, cases.collect()))
+
+    def check(response):
+        if response == "bad":
+            raise RuntimeError("no")
+        return response == "fine", ["not fine"]
+
+    rows = spark.createDataFrame([("fine",), ("bad",), ("x",), (None,)], "r string").select(evaluate.custom_issues(F.col("r"), check).alias("i"))
+    assert [r.i for r in rows.collect()] == [[], ["Custom validator error: no"], ["not fine"], ["not fine"]]
+    evaluate.json_report(spark.createDataFrame([(True, 2.0), (False, None)], "passed boolean, response_time double"), str(tmp_path / "r.json"), "now")
+    assert json.loads((tmp_path / "r.json").read_text())["summary"] == {"total": 2, "passed": 1, "failed": 1, "success_rate": 50.0, "total_time": 2.0, "avg_time": 1.0}
+
+
+def test_settings():
+    read = settings.Settings.read
+    assert read(variables={}) == settings.Settings()
+    own = read("MY_", {"MY_PORT": "9", "PORT": "8", "BACKEND": "ollama", "MY_THREADED": "no", "DEBUG_TOOLS": "", "MY_DEBUG_LOG_FORMAT": "xml", "TEMPERATURE": "0.5", "FIRST_ITERATION_TOOL_CHOICE": "required"})
+    assert (own.DEFAULT_PORT, own.BACKEND_TYPE, own.THREADED, own.DEBUG_TOOLS, own.DEBUG_LOG_FORMAT, own.DEFAULT_TEMPERATURE, own.FIRST_ITERATION_TOOL_CHOICE) == (9, "ollama", False, False, "text", 0.5, "required")
+    assert read("MY_", {"BACKEND_TYPE": "a", "MY_BACKEND": "b"}).BACKEND_TYPE == "a"
+    with pytest.raises(ValueError):
+        read(variables={"PORT": "x"})
