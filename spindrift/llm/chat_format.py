@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import utf8
+from spindrift.llm.common import lists, utf8
 
 OPEN, CLOSE, END = b"<|", b"|>\n", b"</s>\n"
 MARKED = np.zeros(256, bool)
@@ -75,28 +76,32 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, at, begin, begin + text_n
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Rows at which a conversation begins; a null conv_id is one of its own."""
+    ids, known = pc.fill_null(rows["conv_id"], 0).to_numpy(), pc.is_valid(rows["conv_id"]).to_numpy()
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])
+    return np.flatnonzero(new)
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turns sorted by conversation; one that goes on in the next batch is kept until it ends."""
 
     def done(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        conv = rows["conv_id"].to_pylist()
-        first = np.flatnonzero([k == 0 or conv[k] != conv[k - 1] for k in range(len(conv))])
+        first = _starts(rows)
         out, at, begin, end = assemble(rows["role"].combine_chunks(), rows["text"].combine_chunks())
         if len(out) >= 2**31:
             raise ValueError("a conversation is longer than a text can be")
-        turn_bounds = np.append(first, len(conv))
-        conv_at = at[turn_bounds]
-        text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(conv_at.astype(np.int64)), pa.py_buffer(out))
+        bounds = np.append(first, rows.num_rows)
+        text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at[bounds]), pa.py_buffer(out))
         # places in code points: bytes that do not continue a character
         points = np.zeros(len(out) + 1, np.int64)
         np.cumsum((out & 0xC0) != 0x80, out=points[1:])
-        spans = []
-        loss = np.array([r == "assistant" for r in rows["role"].to_pylist()], bool)
-        for s, e in zip(turn_bounds[:-1], turn_bounds[1:], strict=True):
-            own = np.flatnonzero(loss[s:e]) + s
-            spans.append(np.stack((points[begin[own]], points[end[own]]), 1).ravel() - points[at[s]])
-        return pa.record_batch({"conv_id": pa.array([conv[k] for k in first], pa.int64()), "n_turns": pa.array(np.diff(turn_bounds)), "text": text.cast(pa.string()), "loss_spans": pa.array([x.tolist() for x in spans], pa.list_(pa.int64()))})
+        loss = np.flatnonzero(pc.equal(rows["role"], "assistant").to_numpy())
+        own = np.searchsorted(first, loss, "right") - 1
+        spans = np.stack((points[begin[loss]], points[end[loss]]), 1) - points[at[first]][own][:, None]
+        return pa.record_batch({"conv_id": rows["conv_id"].combine_chunks().take(pa.array(first)), "n_turns": pa.array(np.diff(bounds)), "text": text.cast(pa.string()), "loss_spans": lists(spans.ravel(), 2 * np.bincount(own, minlength=len(first)), pa.int64())})
 
     held: list[pa.Table] = []
     size = 0
@@ -107,10 +112,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.nbytes
         if size >= BUFFER_BYTES:
             rows = pa.concat_tables(held).combine_chunks()
-            conv = rows["conv_id"].to_pylist()
-            cut = len(conv) - 1
-            while cut and conv[cut - 1] == conv[-1]:
-                cut -= 1
+            cut = int(_starts(rows)[-1])
             if cut:
                 yield done(rows.slice(0, cut))
             held, size = [rows.slice(cut)], 0
