@@ -153,6 +153,12 @@ def test_language_id(spark):
     got = [(r.lang_pred, r.score) for r in language_id.identify(odd, language_id.learn_profiles(docs)).orderBy("doc_id").collect()]
     assert [g[0] for g in got[:3]] == ["und"] * 3 and [g[1] for g in got[:4]] == [0.0] * 4 and all(0 <= g[1] <= 1 for g in got)
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
+    assert language_id.learn_profiles(docs.where("false")) == {} and language_id.identify(docs.where("false"), {}).count() == 0
+    # a long text and its repeats have one answer each, and an equal number of all languages' texts ties to the first by name
+    profiles = language_id.learn_profiles(docs)
+    long = docs_of(spark, [(docs.where("lang = 'de'").first().text + " ") * 300] * 3)
+    assert len({(r.lang_pred, r.score) for r in language_id.identify(long, profiles, keep=["doc_id"]).collect()}) == 1
+    assert {r.lang_pred for r in language_id.identify(long, {"b": profiles["de"], "a": profiles["de"]}).collect()} == {"a"}
 
 
 def brute_languages(rows, longest=3, most=300):
@@ -351,6 +357,10 @@ def test_importance(spark):
     ids = spark.createDataFrame([(2,), (2,), (3,), (None,), (99,)], "doc_id long")
     assert sorted(r.text for r in importance.labelled_texts(odd, ids).collect()) == ["a", "a"]
     assert importance.labelled_texts(odd, ids, most=1).count() <= 1 and importance.labelled_texts(odd, ids.where("false")).count() == 0
+    long = docs_of(spark, ["word " * 200_000, "word " * 200_000, "other"])
+    assert sorted(r.n_features for r in importance.resample(long, long.select("text"), 0.4).collect()) == [1, 399_999, 399_999]
+    same = spark.createDataFrame([(1, "a b")] * 10, "doc_id long, text string")  # ties at the bar
+    assert importance.resample(same, same.select("text"), 0.4).where("kept").count() == 4
     assert importance._kth(spark.range(30_000).selectExpr("cast(id % 7 as double) as key"), 10_000) == 4.0
 
 
@@ -430,6 +440,19 @@ def test_chats(spark):
     assert chat_format.format_chats(rows.where("false")).count() == 0
 
 
+def test_long_chats_and_chats_across_buffers(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BUFFER_BYTES", 300)
+    rng = random.Random(6)
+    turns = [(c if c else None, k, rng.choice(["user", "assistant", "system"]), rng.choice(["", "é<[", "x" * 50, "日本\\\\<"])) for c in range(40) for k in range(rng.randrange(1, 9))]
+    turns += [(99, 0, "user", "long <[" * 200_000), (99, 1, "assistant", "answer\\ " * 100_000)]
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in {t[0] for t in turns}:
+        own = [t for t in turns if t[0] == conv]
+        loss = "".join(t[3] for t in own if t[2] == "assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in own).encode()).hexdigest()
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "u1", "same"), (2, None, "same"), (3, "a\r\nb", "é"), (4, "u4", None), (5, "u5", ""), (None, "n", "same"), (2, None, "same")], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).collect()], key=str)
@@ -504,6 +527,16 @@ def test_edit_of_a_long_text_is_local(codec):
     assert own.replace(5000, 5003, b"cat") < 1000
 
 
+def test_bpe_of_documents_equals_the_library(spark, reference_encoding):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3))
+    own = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_texts(docs, public_tokenizers.path(Q.RANKS), public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False).collect()}
+    for r in docs.collect():
+        ids = reference_encoding.encode_ordinary(r.text or "")
+        assert own[r.doc_id] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert bpe.encode_texts(docs.where("false"), public_tokenizers.path(Q.RANKS), public_tokenizers.PATTERN).count() == 0
+
+
 def test_bpe_rows(spark):
     rows = docs_of(spark, [None, "", "hello world", "hello " * 20_000]).withColumn("n_tokens", F.lit("clash"))
     got = {r.doc_id: r for r in bpe.encode_texts(rows, public_tokenizers.path(Q.RANKS), public_tokenizers.PATTERN).collect()}
