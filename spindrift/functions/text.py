@@ -120,6 +120,11 @@ def context_key(chunk: Column, original: Column) -> Column:
     return F.concat(chunk, F.lit(":"), content_hash(original, 16))
 
 
+def as_json(*columns: Column) -> Column:
+    """A result row as JSON: timestamps in ISO form, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
 def prompt(template: str, document: Column, chunk: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{document}"), document), F.lit("{chunk}"), chunk)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from urllib.robotparser import RobotFileParser
 
@@ -70,24 +70,27 @@ def fetch_set(urls: DataFrame, failed: DataFrame, indexed: DataFrame | None = No
     return out if indexed is None else out.join(indexed.select("url"), "url", "left_anti")
 
 
-def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+def reachable(links: DataFrame, start: DataFrame, depth: int, wanted: Callable[[Column], Column] | None = None, most: int | None = None) -> DataFrame:
     """(node, depth) within ``depth`` steps of ``start`` (node) along ``links`` (src, dst), breadth first.
 
-    Each level joins only the level before and leaves out what was seen, so no path is walked twice.  Levels are written, so
+    Nodes that are not ``wanted`` are neither given nor followed.  At most ``most`` nodes are given, those nearest to the start,
+    and of one depth the first by name.  Each level joins only the level before and leaves out what was seen, so no path is walked twice.  Levels are written, so
     the plan does not grow with the depth; it ends early where a level is empty."""
     spark = links.sparkSession
     folder = shared_folder(spark, "levels")
     level_at = lambda n: f"{folder}/depth={n}"
     read = lambda last: spark.read.option("basePath", folder).parquet(*(level_at(n) for n in range(last + 1)))
-    start.select("node").distinct().write.parquet(level_at(0))
+    fit = lambda rows: rows if wanted is None else rows.where(wanted(F.col("node")))
+    fit(start.select("node").distinct()).write.parquet(level_at(0))
     last = 0
     for level in range(1, depth + 1):
         frontier = spark.read.parquet(level_at(last)).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier.join(read(last).select("node"), "node", "left_anti").write.parquet(level_at(level))
+        fit(frontier).join(read(last).select("node"), "node", "left_anti").write.parquet(level_at(level))
         last = level
-        if spark.read.parquet(level_at(level)).isEmpty():
+        if spark.read.parquet(level_at(level)).isEmpty() or (most is not None and read(last).count() >= most):
             break
-    return read(last).select("node", F.col("depth").cast("int").alias("depth"))
+    out = read(last).select("node", F.col("depth").cast("int").alias("depth"))
+    return out if most is None else out.orderBy("depth", "node").limit(most)
 
 
 def robots_places(url: Column) -> Column:

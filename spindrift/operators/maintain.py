@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import as_json
+
 
 def lastmod_changed(old: Column, new: Column) -> Column:
     """A new date that differs; a date that is gone is no change."""
@@ -27,6 +29,16 @@ def change_counts(rows: DataFrame) -> DataFrame:
     return out.withColumn("has_changes", F.col("total_changes") > 0)
 
 
+def change_report(rows: DataFrame, checked_at: Column, error: Column | None = None) -> DataFrame:
+    """(report) of changes, as one JSON text: the URLs of each kind in order, updated ones with their new and old dates.  It is
+    as long as the changes are."""
+    of = lambda kind, value: F.array_sort(F.collect_list(F.when(F.col("change_type") == kind, value)))
+    total = F.count_if(F.col("change_type") != "unchanged")
+    values = [of("new", F.col("url")).alias("new_urls"), of("updated", F.array("url", "new_lastmod", "old_lastmod")).alias("updated_urls"), of("removed", F.col("url")).alias("removed_urls"), F.count_if(F.col("change_type") == "unchanged").alias("unchanged_count"), (total > 0).alias("has_changes"), total.alias("total_changes")]
+    out = rows.agg(*values)
+    return out.select(as_json(*out.columns, checked_at.alias("checked_at"), (error if error is not None else F.lit(None).cast("string")).alias("error")).alias("report"))
+
+
 def tombstone(chunks: DataFrame, urls: DataFrame) -> DataFrame:
     """(chunk_id, url, version) of the chunks (chunk_id, url, version) of ``urls``."""
     return chunks.join(urls.select("url"), "url", "left_semi").select("chunk_id", "url", "version")

@@ -195,14 +195,12 @@ def chunk_id(spark, d):
     return table(spark, d, "pages").select("page_id", text.chunk_id(url.normalize_url(F.col("url")), headings, F.col("page_id") % 5).alias("chunk_id"), url.url_key(F.col("url")).alias("url_key"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(trim(lower(substr(text, 1, 60))), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g') AS slug FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[^\p{L}\p{N}\p{P}\p{S}\p{Z}\s]')")
-def slugify(spark, d):
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents").where(~head.rlike(r"[^\p{L}\p{N}\p{P}\p{S}\p{Z}\s]")).select("doc_id", text.slugify(head).alias("slug"))
+#: Python's white space, as RE2 writes it.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-@query()
-def slugify_texts(spark, d):
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '\A[{_WHITE}]+|[{_WHITE}]+\z', '', 'g'), '[^\p{{L}}\p{{N}}_{_WHITE}-]', '', 'g'), '[{_WHITE}_]+', '-', 'g') AS slug FROM documents")
+def slugify(spark, d):
     return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
@@ -212,15 +210,8 @@ def version_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(text.version(F.array(F.concat(F.lit("Release "), v)), F.col("text")), F.lit("")).alias("version"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(c, '(?i)\b([a-z_][a-z0-9_]*)\s*\(', 1) || regexp_extract_all(c, '--([a-z][a-z0-9-]+)', 1) || regexp_extract_all(c, '\b([A-Z][A-Z0-9_]{2,})\b', 1)))[1:20], ' ') AS identifiers
-FROM (SELECT doc_id, source || '(1) --' || lang || '-x MAX_' || upper(lang) || ' ' || source || '_b (2)' AS c FROM documents)""")
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\b([a-z_][a-z0-9_]*)[{_WHITE}]*\(', 1) || regexp_extract_all(text, '--([a-z][a-z0-9-]+)', 1) || regexp_extract_all(text, '\b([A-Z][A-Z0-9_]{{2,}})\b', 1)))[1:20], ' ') AS identifiers FROM documents""")
 def code_identifiers(spark, d):
-    code = F.concat("source", F.lit("(1) --"), "lang", F.lit("-x MAX_"), F.upper("lang"), F.lit(" "), "source", F.lit("_b (2)"))
-    return table(spark, d, "documents").select("doc_id", text.code_identifiers(code).alias("identifiers"))
-
-
-@query()
-def code_identifiers_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", text.code_identifiers(F.col("text")).alias("identifiers"))
 
 
@@ -503,18 +494,18 @@ def incremental_apply(spark, d):
 
 
 def _judged(spark, d, k: int) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.concat(F.lit("https://"), "source", F.lit("/"), "lang").alias("url"))
     asked = _queries(spark, d)
     found = search.bm25(search.bm25_index(docs), asked, k).join(docs.withColumnRenamed("text", "found"), "doc").join(asked.select("query", "text"), "query")
-    empty = F.array().cast("array<string>")
-    judged = found.select("query", "rank", evaluate.relevant(F.lit(""), F.col("found"), empty, F.array("text")).alias("rel"))
-    return judged, asked.select("query", F.lit(0).alias("n_urls"), F.lit(True).alias("has_keywords"))
+    wanted = F.concat(F.lit("https://src"), (F.col("query") % 20).cast("string"), F.lit("/"))
+    judged = found.select("query", "rank", evaluate.relevant(F.col("url"), F.col("found"), F.array(wanted), F.array("text")).alias("rel"))
+    return judged, asked.select("query", F.lit(1).alias("n_urls"), F.lit(True).alias("has_keywords"))
 
 
-_JUDGED = _BM25 + """, j AS (SELECT bm.query, rank, contains(lower(d.text), lower(b.text))::INTEGER AS rel FROM bm JOIN documents d ON d.doc_id = bm.doc JOIN benchmark b ON b.item_id = bm.query WHERE rank <= {k}),
+_JUDGED = _BM25 + """, j AS (SELECT bm.query, rank, coalesce(contains(lower(d.text), lower(b.text)) OR contains('https://' || d.source || '/' || d.lang, 'https://src' || bm.query % 20 || '/'), false)::INTEGER AS rel FROM bm JOIN documents d ON d.doc_id = bm.doc JOIN benchmark b ON b.item_id = bm.query WHERE rank <= {k}),
 a AS (SELECT query, sum(rel) AS hits, count(*) AS n, min(rank) FILTER (WHERE rel = 1) AS first, sum(rel / log2(rank + 1)) AS dcg FROM j GROUP BY query),
 i AS (SELECT query, sum(1 / log2(g + 1)) AS ideal FROM a, unnest(range(1, hits::BIGINT + 1)) AS r(g) GROUP BY query),
-m AS (SELECT q.query, round(coalesce(hits, 0)::DOUBLE, 6) AS recall, round(coalesce(hits::DOUBLE / n, 0), 6) AS precision, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg, coalesce(hits, 0)::BIGINT AS n_found, 1 AS n_relevant, coalesce(hits, 0) > 0 AS passed FROM (SELECT DISTINCT query FROM q) q LEFT JOIN a USING (query) LEFT JOIN i USING (query))
+m AS (SELECT q.query, round(coalesce(hits, 0)::DOUBLE, 6) AS recall, round(coalesce(hits::DOUBLE / n, 0), 6) AS precision, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg, coalesce(hits, 0)::BIGINT AS n_found, 2 AS n_relevant, coalesce(hits, 0) > 0 AS passed FROM (SELECT DISTINCT query FROM q) q LEFT JOIN a USING (query) LEFT JOIN i USING (query))
 """
 
 

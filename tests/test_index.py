@@ -1,10 +1,12 @@
 """The stored index, crawls that are built and refreshed, sitemaps, contexts, the updater."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import html
-from spindrift.operators import build, chunks, crawl, index, search
+from spindrift.operators import build, chunks, crawl, index, maintain, search
 from spindrift.sources import sitemaps
 from spindrift.sources.store import Store, shared_folder
 from spindrift.streaming import updater
@@ -169,6 +171,15 @@ def test_breadth_first_plans_do_not_grow_with_depth(spark):
     size = lambda rows: len(rows._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert size(deep) == size(plan(2)) <= 4
     assert plan(3).schema["depth"].dataType.simpleString() == "int"
+    odd = crawl.reachable(links, spark.createDataFrame([(0,)], "node int"), 9, wanted=lambda n: n != 4)
+    assert {r.node for r in odd.collect()} == {0, 1, 2, 3}
+    assert [(r.node, r.depth) for r in crawl.reachable(links, spark.createDataFrame([(0,)], "node int"), 9, most=3).collect()] == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_change_report(spark):
+    rows = spark.createDataFrame([("b", "new", "1", None), ("a", "new", None, None), ("c", "updated", "2", "1"), ("d", "removed", None, "1"), ("e", "unchanged", "1", "1")], "url string, change_type string, new_lastmod string, old_lastmod string")
+    got = json.loads(maintain.change_report(rows, F.lit("2024-01-02 03:04:05").cast("timestamp")).first().report)
+    assert got == {"new_urls": ["a", "b"], "updated_urls": [["c", "2", "1"]], "removed_urls": ["d"], "unchanged_count": 1, "has_changes": True, "total_changes": 4, "checked_at": "2024-01-02T03:04:05.000000", "error": None}
 
 
 def test_pages_nested_deeper_than_the_stack(spark):

@@ -148,7 +148,7 @@ def test_slugs_of_whole_texts_equal_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     expected = {r.doc_id: slug_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
-    assert {r.doc_id: r.slug for r in catalogue.QUERIES["slugify_texts"](spark, str(tmp_path)).collect()} == expected
+    assert {r.doc_id: r.slug for r in catalogue.QUERIES["slugify"](spark, str(tmp_path)).collect()} == expected
 
 
 def test_bm25_queries_need_no_vector(spark, tmp_path):
@@ -174,7 +174,7 @@ def test_identifiers_of_whole_texts_equal_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     expected = {r.doc_id: identifiers_of(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
-    got = {r.doc_id: r.identifiers or "" for r in catalogue.QUERIES["code_identifiers_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.identifiers or "" for r in catalogue.QUERIES["code_identifiers"](spark, str(tmp_path)).collect()}
     assert got == expected and len(expected[-3].split()) == 20 and expected[-5] == "last_call"
 
 
