@@ -210,7 +210,12 @@ def version_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(text.version(F.array(F.concat(F.lit("Release "), v)), F.col("text")), F.lit("")).alias("version"))
 
 
-@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\b([a-z_][a-z0-9_]*)[{_WHITE}]*\(', 1) || regexp_extract_all(text, '--([a-z][a-z0-9-]+)', 1) || regexp_extract_all(text, '\b([A-Z][A-Z0-9_]{{2,}})\b', 1)))[1:20], ' ') AS identifiers FROM documents""")
+#: Letters, marks and numbers beyond ASCII: RE2 takes a word to end at them, so the SQL first puts signs in their place.
+_BEYOND = r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(calls, '(?i)\b([a-z_][a-z0-9_]*)[{_WHITE}]*\(', 1) || regexp_extract_all(text, '--([a-z][a-z0-9-]+)', 1) || regexp_extract_all(names, '\b([A-Z][A-Z0-9_]{{2,}})\b', 1)))[1:20], ' ') AS identifiers
+FROM (SELECT doc_id, text, regexp_replace(text, '{_BEYOND}[A-Za-z0-9_]*', '%', 'g') AS calls, regexp_replace(text, '{_BEYOND}', 'a', 'g') AS names FROM documents)""")
 def code_identifiers(spark, d):
     return table(spark, d, "documents").select("doc_id", text.code_identifiers(F.col("text")).alias("identifiers"))
 
