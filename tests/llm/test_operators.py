@@ -413,6 +413,16 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert [r.vec_id for r in vector_search.search(twice, frame.where("vec_id = 3"), k=200).collect()].count(3) == 0
     assert vector_search.search(frame, twice.where("vec_id = 3")).count() == 5
     assert vector_search.search(twice, frame.where("vec_id = 0"), k=200).where("vec_id = 3").count() == 2
+    # a vector that very many rows have, one id repeated: candidates stay few, and ties go to the smaller ids
+    hot = frame.unionByName(spark.range(1000, 4000).select(F.when(F.col("id") < 1300, 999).otherwise(F.col("id")).alias("vec_id"), F.array(*[F.lit(1.001)] * 12).alias("embedding"), F.lit("x").alias("score")))
+    answers = [(r.query_id, r.vec_id) for r in vector_search.search(hot, hot.where("vec_id in (120, 2000)")).orderBy("query_id", "rank").collect()]
+    assert answers == [(120, k) for k in range(121, 126)] + [(2000, k) for k in range(120, 125)]
+    alone = hot.where("vec_id >= 999")
+    answers = [(r.query_id, r.vec_id) for r in vector_search.search(alone, alone.where("vec_id in (2000, 1301)")).orderBy("query_id", "rank").collect()]
+    assert answers == [(1301, 999)] * 5 + [(2000, 999)] * 5
+    own = vector_search.search(alone, alone.where("vec_id = 999").limit(1)).orderBy("rank").collect()
+    assert [r.vec_id for r in own] == [1300, 1301, 1302, 1303, 1304]
+    assert vector_search.candidates(alone, alone.where("vec_id = 2000"), 5, 256).count() <= 30
     empty = spark.createDataFrame([(1, []), (2, []), (3, [0.5])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.vec_id, r.score) for r in vector_search.search(empty, empty).collect()) == sorted((a, b, 0) for a in (1, 2, 3) for b in (1, 2, 3) if a != b)
     few = frame.where("vec_id in (0, 10, 203)")
