@@ -404,6 +404,7 @@ def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "CHUNK", 16)
     monkeypatch.setattr(vector_search, "QUERIES", 4)
     monkeypatch.setattr(vector_search, "LANE", 2)
+    monkeypatch.setattr(vector_search, "PART", 3)
     assert {tuple(r) for r in vector_search.search(frame, frame.where("vec_id % 10 = 0")).collect()} == expected
     left = vector_search.candidates(frame, frame.where("vec_id % 10 = 0 and vec_id < 120"), 5, 256)
     assert left.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 16
