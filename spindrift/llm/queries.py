@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, chat_format, embedding_dedup, importance, language_id, mixing, ngram_jaccard, substring_dedup, vector_search, warc
+from spindrift.llm import bpe, chat_format, embedding_dedup, fill_in_middle, importance, language_id, mixing, ngram_jaccard, record_files, spelling, substring_dedup, vector_search, warc
 
 #: The rank file that texts are encoded by, and the pattern that splits them.
 RANKS = "byte_bpe_50k.tiktoken"
 
+#: The tokenizer whose ids go into record files, and the id that ends a document there.
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,7 +74,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False).drop("token_ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_mixing, op5_importance, op6_vector_search, op7_substring_dedup, op8_chat_format, op9_warc, op10_bpe)}
+def op11_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = record_files.write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    read = record_files.read_records(files, as_bytes=True)
+    n_tokens = F.octet_length("ids_bytes").cast("long") / 4
+    return read.select("doc_id", "start", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids_bytes").alias("ids_crc32"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"), seed=7, percent=100, percent_spm=50, keep=["doc_id"])
+    text = fill_in_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_mixing, op5_importance, op6_vector_search, op7_substring_dedup, op8_chat_format, op9_warc, op10_bpe, op11_record_files, op12_spelling, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -132,3 +152,33 @@ h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FRO
 d AS (SELECT page_id, payload_bytes, hex, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 10 * (g // 8), 10))::BIGINT >> (35 - 5 * (g % 8))) & 31)::INTEGER, 1), '' ORDER BY g) FROM range(32) AS r(g)) AS payload_digest FROM h),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM d)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
+
+# crc32 of the bytes of a string, four bits at a time; deletions stand for near words: two of equal length share one at the
+# same place, a shorter one is one of a longer one
+ORACLE_SQL["op12_spelling"] = r"""
+WITH RECURSIVE table16 AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS c FROM range(16) AS r(i))),
+r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL HAVING length(run) >= 7),
+b AS (SELECT doc_id, run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length(x) // 2), lambda i: [('0x' || x[2 * i + 2])::BIGINT, ('0x' || x[2 * i + 1])::BIGINT]))),
+       lambda a, d: xor(a >> 4, t[xor(a & 15, d) + 1])), 4294967295::BIGINT) AS h FROM b, table16),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+d AS (SELECT word, n, length(word) AS l, i, left(word, i) || substr(word, i + 2) AS less FROM w, unnest(range(length(word))) AS u(i)),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.l = b.l AND a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less),
+f AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM e GROUP BY word),
+g AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.most >= 10 * w.n THEN f.most END AS form_n, (SELECT min(e.near) FROM e WHERE e.word = w.word AND e.near_n = f.most AND f.most >= 10 * w.n) AS form FROM w LEFT JOIN f USING (word)),
+p AS (SELECT word, word AS root, 0 AS depth FROM g UNION ALL SELECT p.word, g.form, p.depth + 1 FROM p JOIN g ON g.word = p.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, q.root, g.n, g.n_near, g.form_n FROM g JOIN (SELECT word, arg_max(root, depth) AS root FROM p GROUP BY word) q USING (word)"""
+
+ORACLE_SQL["op13_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s"""
