@@ -3,10 +3,10 @@
 A unit vector's two halves are quantised by codebooks of their own, so the cells form a product grid.  A vector visits
 cells in order of how far they are from it, by the multi-sequence traversal of the two sorted lists of codewords.  How
 far a cell can be and still hold a near duplicate is known: a half y within d of the half x lies in codeword j's region
-only if x lies within d of the plane between j and x's own codeword.  So the traversal need not go on where the squares of
-these two distances exceed the squared radius.  It stops sooner, at a target recall: of the squared radius only a share by
-chance falls on the two directions that cross the planes, and cells are visited up to where the chance left is small.
-What it has found is verified.
+only if x lies within d of the plane between j and x's own codeword.  So with a target recall of 1 the traversal ends where
+the squares of these two distances exceed the squared radius, whatever the vectors and the grid are like, and no link is
+missed.  With a lower target it ends sooner: where the share of the links of some probe vectors, which are looked for among
+all vectors first, is reached.  What the traversal has found is verified.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import forget, vectors, written
 from spindrift.llm.components import components, forest
 
-#: Vectors of a label in a cell, about: the grid grows with the table, up to the most codewords of a half.
-CELL_ROWS = 64
+#: Vectors of a label in a cell, about: the grid grows with the table, up to the most codewords of a half.  A visit costs
+#: as much as some hundreds of comparisons, so cells are large.
+CELL_ROWS = 512
 MOST_CODEWORDS = 512
-#: How far the traversal goes, in standard deviations of one direction's part in a random offset of the radius.
-DEVIATIONS = 4.5
+#: Vectors whose links are counted to measure how far a traversal must go, and links of each that one task keeps.
+PROBES = 256
+PROBE_LINKS = 64
+#: With fewer links of probes than this the traversal goes on to the end.
+LEAST_LINKS = 200
 #: Vectors that the codebooks are fitted on (those of smallest hash).
 FIT_ROWS = 16384
 FIT_ROUNDS = 8
@@ -66,7 +70,8 @@ def plane_distances(points: np.ndarray, centres: np.ndarray, own: np.ndarray) ->
     far = squares(points, centres)
     apart = np.sqrt(squares(centres, centres))[own]
     gap = far - far[np.arange(len(points)), own][:, None]
-    return np.where(apart > 0, np.maximum(gap, 0) / np.maximum(2 * apart, 1e-300), 0)
+    # what rounding can add to the gap is left out
+    return np.where(apart > 0, np.maximum(gap - 1e-12, 0) / np.maximum(2 * apart, 1e-300), 0)
 
 
 def visit(first: np.ndarray, second: np.ndarray, limit: float) -> list[tuple[int, int]]:
@@ -97,15 +102,21 @@ def usable(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
     return rows, units
 
 
-def reached(length: int) -> float:
-    """The share of the radius up to which cells are visited.  An offset of the radius, in a random direction among
-    ``length``, has a standard deviation of radius / sqrt(length) in any one direction."""
-    return min(1.0, DEVIATIONS / max(length, 1) ** 0.5)
+Books = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _assign(shared, radius: float, reach: float | None):
+def homes_and_distances(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], int]:
+    """Own codewords of both halves, how far all codewords' regions are at least, and the second book's size."""
+    length = x.shape[1]
+    first, second = books.get(length) or (np.zeros((1, length // 2)), np.zeros((1, length - length // 2)))
+    halves = x[:, : length // 2], x[:, length // 2 :]
+    own = nearest(halves[0], first), nearest(halves[1], second)
+    return *own, (plane_distances(halves[0], first, own[0]), plane_distances(halves[1], second, own[1])), len(second)
+
+
+def _assign(shared, radius: float, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        limit = (reach * radius) ** 2 * (1 + 1e-9)
         for whole in batches:
             for start in range(0, whole.num_rows, ASSIGN_ROWS):
                 batch = whole.slice(start, ASSIGN_ROWS)
@@ -117,15 +128,10 @@ def _assign(shared, radius: float, reach: float | None):
                 cells: list[int] = []
                 homes: list[bool] = []
                 for length, ats in by_length.items():
-                    limit = ((reached(length) if reach is None else reach) * radius) ** 2 * (1 + 1e-9)
-                    x = np.array([units[at] for at in ats])
-                    first, second = books.get(length) or (np.zeros((1, length // 2)), np.zeros((1, length - length // 2)))
-                    halves = x[:, : length // 2], x[:, length // 2 :]
-                    own = nearest(halves[0], first), nearest(halves[1], second)
-                    far = plane_distances(halves[0], first, own[0]), plane_distances(halves[1], second, own[1])
+                    own1, own2, far, size = homes_and_distances(np.array([units[at] for at in ats]), shared.value)
                     for k, at in enumerate(ats):
-                        home = int(own[0][k]) * len(second) + int(own[1][k])
-                        found = {i * len(second) + j for i, j in visit(far[0][k], far[1][k], limit)} | {home}
+                        home = int(own1[k]) * size + int(own2[k])
+                        found = {i * size + j for i, j in visit(far[0][k], far[1][k], limit)} | {home}
                         found = sorted(c for c in found if c >= home)  # the other way round the partner visits this cell
                         taken += [rows[at]] * len(found)
                         cells += [c + (length << 32) for c in found]
@@ -136,6 +142,75 @@ def _assign(shared, radius: float, reach: float | None):
     return run
 
 
+def cost(x: np.ndarray, y: np.ndarray, books: Books) -> np.ndarray:
+    """How far the traversal must go to find each pair of rows: from the one of the lower cell to the other's cell."""
+    found = []
+    at = np.arange(len(x))
+    for a, b in ((x, y), (y, x)):
+        i, j, far, size = homes_and_distances(a, books)
+        p, q, *_ = homes_and_distances(b, books)
+        found.append((i * size + j, np.sqrt(far[0][at, p] ** 2 + far[1][at, q] ** 2)))
+    return np.where(found[0][0] <= found[1][0], found[0][1], found[1][1])
+
+
+def _probed(shared, probes, least: float, radius: float):
+    """Of each task and probe up to PROBE_LINKS links, with how many each stands for: (cost as a share of the radius, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = probes.value
+        found: dict[int, list] = {}
+        rng = np.random.default_rng(3)
+        for batch in batches:
+            rows, units = usable(batch)
+            reps, labels = batch["rep"].to_numpy(), batch["label"].to_numpy()
+            for length in {len(u) for u in units}:
+                those = [(r, u) for r, u in zip(rows, units, strict=True) if len(u) == length]
+                asked = [k for k, p in enumerate(own) if len(p[2]) == length]
+                if not asked:
+                    continue
+                at, x = np.array([r for r, _ in those]), np.array([u for _, u in those])
+                near = np.array([own[k][2] for k in asked]) @ x.T >= least
+                near &= np.array([own[k][1] for k in asked])[:, None] == labels[at]
+                near &= np.array([own[k][0] for k in asked])[:, None] != reps[at]
+                for row in np.flatnonzero(near.any(1)):
+                    held = found.setdefault(asked[row], [0, []])
+                    for k in np.flatnonzero(near[row]):  # a seeded sample of bounded size
+                        held[0] += 1
+                        if len(held[1]) < PROBE_LINKS:
+                            held[1].append(x[k])
+                        elif (place := int(rng.integers(held[0]))) < PROBE_LINKS:
+                            held[1][place] = x[k]
+        for k, (n, partners) in found.items():
+            y = np.array(partners)
+            costs = cost(np.repeat(own[k][2][None, :], len(y), 0), y, shared.value) / radius
+            yield pa.record_batch({"cost": pa.array(costs), "weight": pa.array(np.full(len(y), n / len(y)))})
+
+    return run
+
+
+def measured_reach(same: DataFrame, shared, least: float, radius: float, target: float) -> float:
+    """The share of the radius up to which cells must be visited so that ``target`` of the links are found, one standard error
+    and more on the safe side, from all links of PROBES vectors; 1 where these have too few links to tell."""
+    ok = same.where("size(embedding) > 0").select("rep", "label", "embedding", F.lit(0).alias("copies"), F.xxhash64("rep", F.lit(1)).alias("h")).orderBy("h").limit(PROBES)
+    probes = []
+    for batch in ok.toArrow().to_batches():
+        rows, units = usable(batch)
+        probes += [(batch["rep"][r].as_py(), batch["label"][r].as_py(), u) for r, u in zip(rows, units, strict=True)]
+    found = same.select("rep", "label", "embedding").mapInArrow(_probed(shared, same.sparkSession.sparkContext.broadcast(probes), least, radius), "cost double, weight double")
+    # costs in steps of a thousandth, rounded up: rows of a bounded number
+    steps = found.groupBy(F.ceil(F.col("cost") * 1000).cast("int").alias("step")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).orderBy("step").collect()
+    total, n = sum(r.w for r in steps), sum(r.n for r in steps)
+    if n < LEAST_LINKS:
+        return 1.0
+    wanted = min(1.0, target + 2 * (target * (1 - target) / n) ** 0.5) * total
+    reached = 0.0
+    for r in steps:
+        reached += r.w
+        if reached >= wanted * (1 - 1e-12):
+            return min(1.0, r.step / 1000)
+    return 1.0
+
+
 def _spanning(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the links of a block connect: labels spread over rows and columns until none changes."""
     top = max(near.shape) + sum(near.shape)
@@ -177,7 +252,7 @@ def _compare(least: float):
     return run
 
 
-def link_vectors(rows: DataFrame, least: float = 0.98, reach: float | None = None) -> DataFrame:
+def link_vectors(rows: DataFrame, least: float = 0.98, target: float = 1.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``rows`` (vec_id, embedding, label, anything more).
 
     Two rows link when their labels are equal and not null and the cosine of their vectors, in double precision, is at
@@ -185,8 +260,9 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float | None = Non
     vectors of different lengths; a null vec_id links with nothing and has component_id null and kept false.  Rows that
     repeat a vec_id count as links of each other if their vectors link.
 
-    Links that are returned hold exactly.  With ``reach`` 1 none is missed; by default the traversal stops at a target recall
-    (see ``reached``), which tests and figures show to be 0.999 and more.
+    Links that are returned hold exactly.  With ``target`` 1 none is missed, whatever the grid.  With a lower one cells are
+    visited as far as the links of PROBES vectors of the table say is needed for that recall (``measured_reach``): fewer
+    visits for large tables of many dimensions, where the bound of the exact traversal leaves out little.
 
     Equal vectors of one label are compared once, with their number as weight.  What meets in a cell is dealt
     to parts of bounded size, and two parts give sums and a forest, never their pairs.  Codebooks are fitted on FIT_ROWS vectors.
@@ -198,7 +274,7 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float | None = Non
     same = rows.where(valid).withColumn("label", F.xxhash64(F.col("label").cast("string"))).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     same = written(same, "vectors")
     sample = same.where("size(embedding) > 0").select("embedding", F.lit(0).alias("label"), F.xxhash64("rep").alias("h"), "rep", "copies").orderBy("h").limit(FIT_ROWS).select("embedding").toArrow()
-    books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    books: Books = {}
     by_length: dict[int, list[np.ndarray]] = {}
     for batch in sample.to_batches():
         for u in usable(batch)[1]:
@@ -210,6 +286,7 @@ def link_vectors(rows: DataFrame, least: float = 0.98, reach: float | None = Non
         books[length] = fit_codebook(x[:, : length // 2], words, 1), fit_codebook(x[:, length // 2 :], words, 2)
     shared = spark.sparkContext.broadcast(books)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    reach = 1.0 if target >= 1 else measured_reach(same, shared, least, radius, target)
     visits = same.mapInArrow(_assign(shared, radius, reach), f"label long, rep long, copies long, cell long, home boolean, embedding {kind}")
     visits = written(visits, "visits")
     # what meets in a cell is dealt to parts of bounded size, and each part meets each
