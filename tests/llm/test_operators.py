@@ -238,21 +238,55 @@ def test_vectors_link_as_brute_force(spark):
     assert embedding_dedup.link_vectors(frame.where("false")).count() == 0
 
 
-def test_target_recall_of_vector_links(spark):
-    rng = np.random.default_rng(8)
-    base = rng.normal(size=(1500, 64)) + 3 * rng.normal(size=(30, 64))[rng.integers(0, 30, 1500)]
+def vectors_with_copies(n, length, rank, seed=8, least=0.02):
+    """Unit vectors near a space of few dimensions, and a copy of each at a cosine of 0.98 and more."""
+    rng = np.random.default_rng(seed)
+    axes = np.linalg.qr(rng.normal(size=(length, rank)))[0]
+    base = (rng.normal(size=(n, rank)) + 2 * rng.normal(size=(12, rank))[rng.integers(0, 12, n)]) @ axes.T
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    offset = rng.normal(size=base.shape)
+    offset = rng.normal(size=(n, rank)) @ axes.T
     offset -= (offset * base).sum(1, keepdims=True) * base
     offset /= np.linalg.norm(offset, axis=1, keepdims=True)
-    x = np.concatenate((base, base + offset * rng.uniform(0.02, 0.2, (1500, 1))))  # cosines of 0.98 and more
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = base + offset * rng.uniform(least, 0.2, (n, 1))
+    return base, copies / np.linalg.norm(copies, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("length", "rank"), [(64, 2), (64, 64), (384, 6), (768, 8), (1536, 8)])
+@pytest.mark.parametrize("words", [8, 128, 512])
+def test_no_pair_costs_more_than_the_radius(length, rank, words):
+    x, y = vectors_with_copies(1200, length, rank)
+    books = {length: (embedding_dedup.fit_codebook(x[:, : length // 2], words, 1), embedding_dedup.fit_codebook(x[:, length // 2 :], words, 2))}
+    near = (x * y).sum(1) >= 0.98
+    costs = embedding_dedup.cost(x[near], y[near], books)
+    assert near.sum() > 1000 and costs.max() <= 0.2 * (1 + 1e-9)
+
+
+@pytest.mark.parametrize(("length", "rank", "rows"), [(64, 64, 512), (64, 2, 512), (384, 6, 512), (384, 6, 0.02)])
+def test_no_link_is_lost_whatever_the_grid(spark, monkeypatch, length, rank, rows):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", rows)
+    x = np.concatenate(vectors_with_copies(400, length, rank))
     near = x @ x.T >= 0.98
-    near[np.arange(3000), np.arange(3000)] = False
+    np.fill_diagonal(near, False)
     frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(frame).collect()}
-    assert all(got[k] <= near[k].sum() for k in got) and sum(got.values()) >= 0.999 * near.sum()
-    assert {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(frame, reach=1.0).collect()} == {k: int(near[k].sum()) for k in got}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(frame).collect()}
+    top = components.forest([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert got == {k: (int(near[k].sum()), top.get(k, k)) for k in range(len(x))}
+
+
+@pytest.mark.parametrize(("length", "rank"), [(64, 64), (384, 6)])
+def test_target_recall_of_vector_links(spark, monkeypatch, length, rank):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    x = np.concatenate(vectors_with_copies(1500, length, rank))
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    reaches = []
+    measured = embedding_dedup.measured_reach
+    monkeypatch.setattr(embedding_dedup, "measured_reach", lambda *a: reaches.append(measured(*a)) or reaches[-1])
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(frame, target=0.95).collect()}
+    assert all(got[k] <= near[k].sum() for k in got) and sum(got.values()) >= 0.95 * near.sum() and 0 <= reaches[0] < 1
+    monkeypatch.setattr(embedding_dedup, "LEAST_LINKS", 10**9)  # too few to tell: all are found
+    assert {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(frame, target=0.95).collect()} == {k: int(near[k].sum()) for k in got}
 
 
 def test_cells_that_are_left_out_hold_no_near_duplicate():
@@ -393,6 +427,19 @@ def test_importance_equals_brute_force(spark):
         assert (r.log_weight, r.gumbel_key) == pytest.approx((weight[r.doc_id], key[r.doc_id]), abs=1e-6)
 
 
+def test_search_takes_components_of_any_size(spark):
+    """Whole numbers beyond 64 bits whose scores fit them."""
+    rows = [(0, [1.0, -1.0]), *((i, [1e17 + 16000.0 * i, 1e17]) for i in range(1, 11))]  # the case of equal saturated numbers
+    rows += [(50, [0.0, 0.0, 1.0, 2.0]), (51, [1e30, -1e25, 3.0, 1e-30]), (52, [-1e30, 1e30, 2.0, 0.5]), (53, [1e30, 2e30, 2.0, 0.25]), (54, [0.0, 5e29, -7.0, -1e-30]), (55, [1e-30, -1e-30, 1e10, -1e10])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(x * 256) for x in v] for i, v in rows}
+    for k in (1, 3, 5):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vector_search.search(frame, frame.where("vec_id in (0, 50)"), k=k).collect()}
+        for query in (0, 50):
+            scores = sorted((-sum(a * b for a, b in zip(whole[query], v, strict=False)), i) for i, v in whole.items() if i != query)
+            assert [got[query, n + 1] for n in range(k)] == [(i, -s) for s, i in scores[:k]]
+
+
 def test_search_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = [(k, [float(x) for x in rng.normal(size=12)]) for k in range(120)] + [(120 + k, [1.0] * 12) for k in range(8)] + [(200, None), (201, [None]), (202, [float("inf")] * 12), (203, [0.5]), (None, [1.0] * 12)]
