@@ -8,11 +8,11 @@ records can be read in any order.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +33,20 @@ FOLD = 32
 
 READ_BYTES = 1 << 20
 
-#: Encodings that a worker keeps; beyond that only those of the texts at hand stay.
+#: Encodings that a worker keeps in each of two generations.
 CACHED_WORDS = 300_000
 
 #: A long text's words are encoded in stretches of about as many characters.
 STRETCH = 1 << 20
 
+# The steps of a tokenizer file that splitting words to pieces rests on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+#: How byte-level models show bytes: visible characters of Latin-1 as they are, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {byte: 256 + n for n, byte in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
 
 def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
     """What each byte adds to a checksum from each of FOLD places, and the operator that moves a checksum by one byte."""
@@ -138,22 +146,6 @@ def varint(value: int) -> bytes:
     return bytes(out)
 
 
-def packed_varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bytes of all values (not negative) one after the other, and how many each has."""
-    sizes = np.ones(len(values), np.int64)
-    for bits in range(7, 64, 7):
-        over = values >= 1 << bits
-        if not over.any():
-            break
-        sizes += over
-    ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(int(sizes.max()) if len(sizes) else 0):
-        has = sizes > k
-        out[(ends - sizes + k)[has]] = ((values[has] >> (7 * k)) & 0x7F) | np.where(sizes[has] > k + 1, 0x80, 0)
-    return out.tobytes(), sizes
-
-
 def unpacked_varints(data: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(data < 0x80)
     if len(data) and (not len(ends) or ends[-1] != len(data) - 1):
@@ -219,9 +211,31 @@ def features(data: bytes, begin: int, end: int) -> dict[bytes, tuple[int, int]]:
     return out
 
 
+class _Known(dict):
+    """Packed ids of words asked for lately; ``old`` has those of the generation before."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes texts word by word by a tokenizer file: white space parts tokens there and is dropped, so the ids of a text
-    are those of its words in order.  Ids are little-endian 32-bit numbers, so a text's are its words' joined."""
+    are those of its words in order.  A word's ids are kept as packed numbers, so a text's are its words' joined.
+
+    A word of plain letters, digits and signs is split by the tokenizer's own pattern and its pieces go to the tokenizer's
+    model, which knows nothing of what stands beside them; other words go through the whole tokenizer."""
 
     def __init__(self, path: str, plain_specials: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
@@ -229,29 +243,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        #: Pieces are made only where the file says what they rest on.
+        self.by_pieces = plain_specials and told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER
+        self.packed = [varint(number) for number in range(self.tokenizer.get_vocab_size())]
+        self.words_known = _Known(self._word)
+        self.pieces_known = _Known(self._piece)
 
     #: str.split also parts at these, which are no white space to tokenizers.
     _SEPARATORS = re.compile("[\x1c-\x1f]")
     _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
     _GAP = re.compile(r"[\x20\x09-\x0D]")
+    #: Characters that are composed already, that lower case keeps single, and that are letters wherever they are letters.
+    _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ȳ]+")
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ʯ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ʯ]+")
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+        packed = self.packed
+        return b"".join([packed[token.id] for token in self.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if self.by_pieces and ((word.isascii() and word.isprintable()) or self._PLAIN.fullmatch(word)):
+            pieces = self._PIECES.findall(word.lower())
+            return self.pieces_known[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces_known.__getitem__, pieces))
+        return b"".join([self.packed[number] for number in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def words(self, text: str) -> list[str]:
         return self._WORDS.findall(text) if self._SEPARATORS.search(text) else text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """``texts`` are of a bounded size together."""
-        words = [self.words(text) for text in texts]
-        distinct = set().union(*words)
-        new = list(distinct.difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
-
     def stretches(self, text: str) -> Iterator[str]:
         """A long text in parts that end at white space."""
         at = 0
@@ -263,10 +284,12 @@ class Encoder:
             at = gap.start()
         yield text[at:] if at else text
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(texts) == 1 and len(texts[0]) > STRETCH:
-            return [b"".join(self.encode([part])[0] for part in self.stretches(texts[0]))]
-        return self.encode(texts)
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
+        own = b"".join(b"".join(map(self.words_known.__getitem__, self.words(part))) for part in self.stretches(text))
+        self.words_known.age(CACHED_WORDS)
+        self.pieces_known.age(CACHED_WORDS)
+        return own
 
 
 @lru_cache(2)
@@ -289,7 +312,7 @@ def framed(sequences: list[bytes]) -> tuple[bytes, np.ndarray]:
 
 
 def _write(folder: str, path: str, plain_specials: bool, end_id: int):
-    end = array("I", [end_id]).tobytes()
+    end = varint(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, own = TaskContext.get(), encoder(path, plain_specials)
@@ -298,16 +321,14 @@ def _write(folder: str, path: str, plain_specials: bool, end_id: int):
         data = index = None
         n = size = total = 0
         for batch in sliced(batches):
-            encoded = [ids + end for ids in own.encode_all([t or "" for t in batch["text"].to_pylist()])]
-            counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-            packed, sizes = packed_varints(np.frombuffer(b"".join(encoded), "<u4").astype(np.int64))
-            at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-            records, lengths = framed([example(d, packed[at[k] : at[k + 1]]) for k, d in enumerate(batch["doc_id"].to_pylist())])
+            packed = [own.encode(text.as_py() or "") + end for text in batch["text"]]
+            ids = np.count_nonzero(np.frombuffer(b"".join(packed), np.uint8) < 0x80)
+            records, lengths = framed([example(d, p) for d, p in zip(batch["doc_id"].to_pylist(), packed, strict=True)])
             if data is None:
                 data, index = (files.open_output_stream(f"{root}/{name}.{kind}", compression=None) for kind in ("tfrecord", "idx"))
             data.write(records)
             index.write(np.stack([size + np.cumsum(lengths) - lengths, lengths], 1).astype("<i8").tobytes())
-            n, size, total = n + batch.num_rows, size + len(records), total + int(counts.sum())
+            n, size, total = n + batch.num_rows, size + len(records), total + int(ids)
         if data is not None:
             data.close()
             index.close()

@@ -53,19 +53,29 @@ def test_known_checksums():
 
 @given(st.lists(st.integers(0, 2**63 - 1)))
 def test_packed_numbers_come_back(values):
-    data, sizes = R.packed_varints(np.array(values, np.int64))
-    assert data == b"".join(map(R.varint, values)) and sizes.tolist() == [len(R.varint(v)) for v in values]
-    assert R.unpacked_varints(np.frombuffer(data, np.uint8)).tolist() == values
+    assert R.unpacked_varints(np.frombuffer(b"".join(map(R.varint, values)), np.uint8)).tolist() == values
 
 
+OWN = {plain: R.Encoder(PATH, plain) for plain in (True, False)}
+
+
+def own_ids(encoder, text):
+    return R.unpacked_varints(np.frombuffer(encoder.encode(text), np.uint8)).tolist()
+
+
+WORDS = st.lists(st.text(st.one_of(st.sampled_from("'sStTrRevEmMlLdD.,:;!?\"<|>()0159ÀÖ×Øß÷ÿĀĳŉŸſƀƉǅǰȳ«»µªº"), st.characters(codec="utf-8", max_codepoint=0x2B0)), max_size=12), max_size=8).map(" ".join)
 WILD = st.text(st.one_of(st.sampled_from(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0   　́̈ΣσςİIß'sn"), st.characters(codec="utf-8")), max_size=60)
 
 
-@settings(deadline=None, max_examples=300)
-@given(st.lists(WILD, max_size=5))
+@settings(deadline=None, max_examples=600)
+@given(st.lists(st.one_of(WILD, WORDS), max_size=5))
 def test_encoding_word_by_word_equals_the_library(texts):
-    own = R.Encoder(PATH, True)
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for plain in (True, False):
+        LIBRARY.encode_special_tokens = plain
+        try:
+            assert [own_ids(OWN[plain], t) for t in texts] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        finally:
+            LIBRARY.encode_special_tokens = True
 
 
 def test_long_texts_and_a_full_cache(monkeypatch):
@@ -73,8 +83,9 @@ def test_long_texts_and_a_full_cache(monkeypatch):
     monkeypatch.setattr(R, "CACHED_WORDS", 20)
     own = R.Encoder(PATH, True)
     for text in ("word " * 100 + "'s end", "x" * 200 + "\n" + "It's a TEST <|endoftext|> 42 " * 20, "y" * 300):
-        assert np.frombuffer(own.encode_all([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert len(own.known) < 40
+        assert own_ids(own, text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(own.words_known) <= 20
+    assert own.by_pieces and not R.Encoder(PATH, False).by_pieces
 
 
 def plain_records(data):
