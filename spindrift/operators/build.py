@@ -102,15 +102,22 @@ def crawl_and_index(spark: SparkSession, folder: str, urls: DataFrame, fetch: Fe
     """Builds the index of ``folder`` over ``urls`` (url, lastmod), or brings it up to date.
 
     Without an index, or with ``rebuild``, all pages are read (from the cache where that is valid) and indexed.  With one,
-    ``refresh`` reads all URLs again and only pages that do not come from the cache are chunked: their URLs' old chunks get
-    tombstones and the new ones are added, so a page that has not changed is not indexed twice.  Without ``refresh`` only URLs
-    that are not indexed are read.  URLs that ``failed`` (url, failure_count) too often are left out."""
+    ``refresh`` reads all URLs again and pages that come from the cache and are indexed are left out: the others' old chunks
+    get tombstones and the new ones are added, so a page that has not changed is not indexed twice, and one that was read by a
+    run that stopped before indexing it is.  Without ``refresh`` only URLs that are not indexed are read.  URLs that ``failed`` (url, failure_count) too often are left out."""
     cache = cache if cache is not None else spark.createDataFrame([], "url string, html string, lastmod string, cached_at timestamp")
     index = None if rebuild else SearchIndex.load(spark, folder, embed)
     none_failed = failed if failed is not None else spark.createDataFrame([], "url string, failure_count long")
     wanted = crawl.fetch_set(urls, none_failed, index.urls() if index is not None and not refresh else None)
     crawled = read_pages(wanted, cache, fetch, start, now, ttl_hours)
-    pages = crawled.pages if index is None else crawled.pages.where("not from_cache")
+    pages = crawled.pages
+    if index is not None:
+        known = stored(index.urls().select("url", F.lit(True).alias("_indexed")), "indexed")
+        pages = pages.join(known, "url", "left").where("not from_cache or _indexed is null").drop("_indexed")
+        # a cached page that was left out as the copy of one that is indexed still is
+        theirs = cache.join(known, "url", "left_semi").select(F.sha2("html", 256).alias("_h")).distinct()
+        copies = pages.where("from_cache").join(theirs, F.sha2("html", 256) == F.col("_h"), "left_semi").select("url")
+        pages = stored(pages.join(copies, "url", "left_anti"), "pages")
     rows, parents = page_chunks(pages, limits)
     if contexts is not None:
         documents = chunks.page_texts(pages).select("url", F.col("text").alias("document"))
@@ -119,6 +126,4 @@ def crawl_and_index(spark: SparkSession, folder: str, urls: DataFrame, fetch: Fe
     if index is None:
         return Built(SearchIndex.build(spark, folder, rows, parents, embed), crawled, counts)
     again = pages.select("url").join(index.urls().select("url"), "url", "left_semi")
-    if not again.isEmpty():
-        index = index.without(again)
-    return Built(index.append(rows, parents), crawled, counts)
+    return Built(index.replaced(again, rows, parents), crawled, counts)

@@ -1,6 +1,8 @@
 """The stored index, crawls that are built and refreshed, sitemaps, contexts, the updater."""
 
 import json
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import html
 from spindrift.operators import build, chunks, crawl, index, maintain, search
 from spindrift.sources import sitemaps
-from spindrift.sources.store import Store, shared_folder
+from spindrift.sources.store import Changed, Store, shared_folder
 from spindrift.streaming import updater
 
 CHUNKS = "chunk_id string, url string, parent_id string, heading_path string, text string"
@@ -31,7 +33,7 @@ def asked(spark, *texts):
 
 def test_search_of_a_stored_index(spark, built):
     again = index.SearchIndex.load(spark, built.store.folder)
-    assert again.state == built.state and built.state["n"] == "5"
+    assert again.state == built.state and built.state["n"] == 5
     rows = again.search(asked(spark, "spark rows", "leaves"), top_k=2).collect()
     assert [(r.chunk_id, r.rank, r.parent_text) for r in sorted(rows, key=lambda r: (r.query, r.rank)) if r.query == 0] == [("a", 1, "all about spark"), ("b", 2, "all about spark")]
     # equal texts are one result, of the chunk that is seen first
@@ -49,14 +51,14 @@ def test_tombstones_appends_and_compaction(spark, built):
     assert not {"a", "b"} & {r.chunk_id for r in marked.search(asked(spark, "spark rows")).collect()}
     # a page that comes back under the same ids is found again; what is active is not added twice
     more = marked.append(some_chunks(spark, [("a", "u1", "p1", "spark joins rows again"), ("c", "u2", "p2", "trees and leaves")]))
-    assert sorted(r.chunk_id for r in more.active().collect()) == ["a", "c", "d", "e"] and more.state["n"] == "4"
+    assert sorted(r.chunk_id for r in more.active().collect()) == ["a", "c", "d", "e"] and more.state["n"] == 4
     assert more.search(asked(spark, "spark rows again"), top_k=1).first().text == "spark joins rows again"
     assert more.append(some_chunks(spark, [("c", "u2", "p2", "x")])).number == more.number
     small = more.compact()
     assert small.chunks().count() == 4 and small.tombstones().count() == 0 and {r.parent_id for r in small.parents().collect()} == {"p1", "p2"}
     assert small.search(asked(spark, "trees"), top_k=1).first().text == "trees and leaves"
     # what was committed before is read until the next commit, and a batch that was never committed is not
-    small.store.write("chunks", small.chunks(), small.number + 1)
+    small.store.write("chunks", small.chunks())
     assert index.SearchIndex.load(spark, small.store.folder).chunks().count() == 4
 
 
@@ -65,7 +67,8 @@ def test_vectors_and_contexts_are_made_anew(spark, built):
     new = built.rebuild_vectors(zeros, "two")
     assert new.state["model"] == "two" and {tuple(r.vector) for r in new.vectors().collect()} == {(1.0, 1.0), (0.0, 0.0)}
     # vectors that are not those committed are made anew on loading
-    new.store.write("vectors", spark.createDataFrame([("x", [1.0])], "doc string, vector array<double>"), new.number)
+    new.store.write("vectors", new.store.read("vectors", new.batches("vectors")).limit(0), new.batches("vectors")[0])
+    assert new.vectors().count() == 0
     healed = index.SearchIndex.load(spark, new.store.folder, zeros)
     assert healed.number > new.number and healed.vectors().count() == 5
     told = built.with_contexts(spark.createDataFrame([("a", "about joining of tables"), ("b", "short")], "chunk_id string, context string"))
@@ -77,13 +80,140 @@ def test_vectors_and_contexts_are_made_anew(spark, built):
 def test_update_counts_what_it_does(spark, built):
     changes = spark.createDataFrame([("u1", "updated", "2024-02-01", None), ("u2", "removed", None, None), ("u4", "new", None, None), ("u5", "updated", "2024-01-01", None)], "url string, change_type string, new_lastmod string, old_lastmod string")
     fetched = some_chunks(spark, [("a", "u1", "p1", "spark joins new rows"), ("f", "u4", "p4", "fresh page"), ("g", "u9", "p9", "not asked for")])
-    done, counts = built.update(changes, fetched, threshold=0.9)
-    assert counts == {"removed": 1, "updated": 1, "added": 1, "chunks_removed": 3, "chunks_added": 2, "rebuilt": False}
-    assert {r.chunk_id: r.text for r in done.active().collect()} == {"a": "spark joins new rows", "f": "fresh page", "d": None, "e": "trees and leaves"}
-    assert {r.url for r in done.urls().collect()} == {"u1", "u3", "u4"}
-    assert {(r.url, r.lastmod) for r in done.urls(spark.createDataFrame([("u4", "2024")], "url string, lastmod string")).collect()} == {("u1", None), ("u3", None), ("u4", "2024")}
-    rebuilt, counts = built.update(changes, fetched, threshold=0.1)
-    assert counts["rebuilt"] and rebuilt.tombstones().count() == 0
+    done = built.update(changes, fetched, threshold=0.9)
+    assert done.counts == {"removed": 1, "updated": 1, "added": 1, "chunks_removed": 3, "chunks_added": 2, "rebuilt": False} and done.index.number == built.number + 1
+    assert sorted((r.url, r.change_type) for r in done.applied.collect()) == [("u1", "updated"), ("u2", "removed"), ("u4", "new")]
+    now = done.index
+    assert {r.chunk_id: r.text for r in now.active().collect()} == {"a": "spark joins new rows", "f": "fresh page", "d": None, "e": "trees and leaves"}
+    assert {r.url for r in now.urls().collect()} == {"u1", "u3", "u4"}
+    assert {(r.url, r.lastmod) for r in now.urls(spark.createDataFrame([("u4", "2024")], "url string, lastmod string")).collect()} == {("u1", None), ("u3", None), ("u4", "2024")}
+    rebuilt = now.update(changes, fetched, threshold=0.1)
+    assert rebuilt.counts["rebuilt"] and rebuilt.index.tombstones().count() == 0 and rebuilt.index.number == now.number + 1
+
+
+def statistics(own):
+    df = {r.term: r.df for r in own.terms().groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").collect()}
+    return df, own.state["n"], own.state["total"], round(own.state["mean"], 9), round(own.state["low"], 9)
+
+
+def test_statistics_by_difference_equal_a_rebuild(spark, built, monkeypatch):
+    monkeypatch.setattr(index, "MERGED", 2)
+    own = built
+    for k in range(4):
+        own = own.append(some_chunks(spark, [(f"n{k}", f"v{k % 4}", "p1", f"rows number {k} of spark"), (f"m{k}", "w", "p1", "leaves " * k)]))
+        if k % 2:
+            own = own.without(spark.createDataFrame([(f"v{k % 4}",), ("none",)], "url string"))
+    own = own.replaced(spark.createDataFrame([("w",)], "url string"), some_chunks(spark, [("m1", "w", "p1", "leaves and rows")]))
+    assert len(own.batches("terms")) <= 4 and max(b["level"] for b in own.state["tables"]["terms"]) >= 2
+    anew = index.SearchIndex.build(spark, shared_folder(spark, "index"), own.active().select(*index.CHUNK))
+    assert statistics(own) == statistics(anew)
+    assert own.search(asked(spark, "rows of spark"), top_k=1).count() == 1
+
+
+def test_an_append_reads_no_old_postings_and_a_load_no_vectors(spark, built, monkeypatch):
+    read = []
+    real = Store.read
+    monkeypatch.setattr(Store, "read", lambda self, table, batches, *a: read.append((table, tuple(batches))) or real(self, table, batches, *a))
+    old = set(built.batches("postings"))
+    more = built.append(some_chunks(spark, [("z", "u9", "p1", "rows of z")]))
+    assert not any(old & set(b) for t, b in read if t == "postings") and not any(t == "vectors" for t, _ in read)
+    files = []
+    hashed = Store.digests
+    monkeypatch.setattr(Store, "digests", lambda self, batches: files.extend(batches) or hashed(self, batches))
+    assert index.SearchIndex.load(spark, more.store.folder).state == more.state and not files
+    assert index.SearchIndex.load(spark, more.store.folder, verify=True).state == more.state and len(files) == sum(map(len, more.state["tables"].values()))
+
+
+def files_of(own, table):
+    folder = own.store.path(table, own.batches(table)[0]).removeprefix("file:")
+    return sorted(p for p in Path(folder).iterdir() if p.suffix == ".parquet")
+
+
+@pytest.mark.parametrize("how", ["changed", "missing", "doubled"])
+def test_damaged_files_are_found(spark, built, how):
+    def damage(own, table):
+        one = files_of(own, table)[0]
+        if how == "changed":
+            data = bytearray(one.read_bytes())
+            data[len(data) // 2] ^= 1
+            one.with_name(f".{one.name}.crc").unlink(missing_ok=True)
+            one.write_bytes(data)
+        elif how == "missing":
+            one.unlink()
+        else:
+            shutil.copy(one, one.with_name("copy.parquet"))
+
+    damage(built, "postings")
+    healed = index.SearchIndex.load(spark, built.store.folder)
+    assert healed.number == built.number + 1 and statistics(healed) == statistics(built)
+    assert healed.search(asked(spark, "leaves"), top_k=1).count() == 1
+    damage(healed, "tombstones" if healed.batches("tombstones") else "parents")
+    with pytest.raises(Changed):
+        index.SearchIndex.load(spark, built.store.folder)
+
+
+def test_digests_of_many_files_are_a_tree(spark, monkeypatch):
+    store = Store(spark, shared_folder(spark, "digests"))
+    a, b = (store.write("x", spark.range(40).repartition(n, "id")) for n in (7, 2))
+    whole = store.digests([("x", a), ("x", b)])
+    monkeypatch.setattr("spindrift.sources.store.FAN", 2)
+    tree = store.digests([("x", a), ("x", b)])
+    assert store.digests([("x", a)])[0] != whole[0] and tree == store.digests([("x", a), ("x", b)]) and len(set(whole + tree)) >= 3
+    files_ = sorted(p for p in Path(store.path("x", a).removeprefix("file:")).iterdir() if p.suffix == ".parquet")
+    files_[0].unlink()
+    assert store.digests([("x", a), ("x", b)])[0] != tree[0]
+
+
+class Stopped(BaseException):
+    pass
+
+
+def test_a_change_that_stops_leaves_the_state_before_it(spark, built, monkeypatch):
+    """An update is stopped after each of its writes, and just before its commit."""
+    changes = spark.createDataFrame([("u1", "updated", "2024-02-01", None), ("u2", "removed", None, None)], "url string, change_type string, new_lastmod string, old_lastmod string")
+    fetched = some_chunks(spark, [("a", "u1", "p1", "spark joins new rows")])
+    before = {r.chunk_id: r.text for r in built.active().collect()}
+    write, commit = Store.write, Store.commit
+    steps = 0
+    while True:
+        left = [steps]
+
+        def stop(*_, left=left):
+            if left[0] == 0:
+                raise Stopped
+            left[0] -= 1
+
+        monkeypatch.setattr(Store, "write", lambda self, *a, stop=stop: (write(self, *a), stop())[0])
+        monkeypatch.setattr(Store, "commit", lambda self, *a, stop=stop: (stop(), commit(self, *a))[1])
+        try:
+            built.update(changes, fetched, threshold=0.9)
+            break
+        except Stopped:
+            steps += 3
+        monkeypatch.setattr(Store, "write", write)
+        monkeypatch.setattr(Store, "commit", commit)
+        at = index.SearchIndex.load(spark, built.store.folder)
+        assert at.number == built.number and {r.chunk_id: r.text for r in at.active().collect()} == before
+    assert steps > 5
+    after = {r.chunk_id: r.text for r in index.SearchIndex.load(spark, built.store.folder).active().collect()}
+    assert after == {"a": "spark joins new rows", "d": None, "e": "trees and leaves"}
+
+
+def test_two_writers_both_succeed(spark, built, monkeypatch):
+    """Another writer commits between a change's reading and its commit: the change is made again."""
+    commit, other = Store.commit, []
+
+    def first(self, *a):
+        if not other:
+            other.append(True)
+            other.append(index.SearchIndex.load(spark, built.store.folder).append(some_chunks(spark, [("y", "u8", "p1", "theirs"), ("z", "u9", "p1", "both")])))
+        return commit(self, *a)
+
+    monkeypatch.setattr(Store, "commit", first)
+    own = built.append(some_chunks(spark, [("x", "u7", "p1", "ours"), ("z", "u9", "p1", "both")]))
+    assert own.number == built.number + 2 == other[1].number + 1
+    assert sorted(r.chunk_id for r in own.active().collect()) == ["a", "b", "c", "d", "e", "x", "y", "z"] and own.state["n"] == 8
+    assert not own.store.commit(own.state, own.number) and own.store.commit(own.state, own.number + 1)
 
 
 SITE = "https://site.org/"
@@ -125,6 +255,10 @@ def test_a_refresh_with_cached_pages_adds_nothing_twice(spark):
     bad = spark.createDataFrame([(SITE + "gone", 3)], "url string, failure_count long")
     run(urls, cache=three.crawled.cache, refresh=False, failed=bad)
     assert seen[3] == []
+    # a page that is cached but was never indexed, as after a run that stopped in between, is
+    lost = spark.createDataFrame([(SITE + "lost", page("lost one"), "2024-01-01", None)], "url string, html string, lastmod string, cached_at timestamp").withColumn("cached_at", now)
+    found = run(spark.createDataFrame([(SITE + "a", "2024-01-01"), (SITE + "lost", "2024-01-01")], "url string, lastmod string"), cache=three.crawled.cache.unionByName(lost), refresh=False)
+    assert seen[4] == [] and any("lost one" in r.text for r in found.index.active().collect())
     told = run(urls, rebuild=True, cache=three.crawled.cache, contexts=build.headline_contexts)
     assert all(r.text.startswith("<context>\nFrom a page that begins: ") for r in told.index.chunks().collect())
 
@@ -196,7 +330,7 @@ def test_store_reads_only_whole_batches(spark):
     assert store.state() is None and store.last("x") is None
     for n in range(2):
         store.write("x", spark.range(n + 1), n)
-    store.commit({"a": "1"}, 4)
+    assert store.commit({"a": "1"}, 4) and not store.commit({"a": "2"}, 4)
     assert store.state() == (4, {"a": "1"}) and store.all("x") == [0, 1] and store.last("x", 1) == 0
     assert store.read("x", [0, 1]).count() == 3
 
