@@ -77,6 +77,28 @@ def forget(*tables: DataFrame) -> None:
             _written.remove((table.sparkSession, path))
 
 
+#: A key is heavy if this share of all rows have it, and at least so many: there are at most 10,000 of them, which can be
+#: broadcast, and of any other key there are few rows beside what a task holds.
+HEAVY_SHARE, HEAVY_ROWS = 10_000, 1024
+
+
+def heavy_rows(total: int) -> int:
+    return max(HEAVY_ROWS, -(-total // HEAVY_SHARE))
+
+
+#: Rows that one row is repeated to where it lies.
+RUN = 1 << 14
+
+
+def repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as column ``times`` says, numbered from 0; rows of many repeats are dealt in runs to several tasks."""
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / RUN))).alias("_run")
+    dealt = rows.where(F.col(times) > 0).select("*", runs).repartition(*(F.col(f"`{c}`") for c in rows.columns), "_run")
+    first = F.col("_run") * RUN
+    each = F.explode(F.sequence(first, F.least(first + RUN, F.col(times).cast("long")) - 1)).alias(number)
+    return dealt.select(*(F.col(f"`{c}`") for c in rows.columns), each)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import slices, utf8, written
+from spindrift.llm.common import repeated, slices, utf8, written
 
 #: Buckets of the models: fixed, so a model is 2 * 8 bytes each, whatever the input.
 BUCKETS = 1 << 16
@@ -124,7 +124,10 @@ def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 29) -
         return scored.withColumn("kept", F.lit(False))
     bar = _kth(scored.select(F.col("gumbel_key").alias("key")), k)
     above = scored.where(F.col("gumbel_key") > bar).count()
-    # rows at the bar itself are few: ties to the smaller doc_id
-    ties = F.row_number().over(Window.partitionBy("at_bar").orderBy(F.col("doc_id").asc_nulls_last()))
-    at_bar = scored.where(F.col("gumbel_key") == bar).withColumn("at_bar", F.lit(0)).withColumn("kept", ties <= k - above).drop("at_bar")
-    return scored.where(F.col("gumbel_key") != bar).withColumn("kept", F.col("gumbel_key") > bar).unionByName(at_bar)
+    # rows at the bar that are equal in every way are counted: of a count some are kept, and the rest is not
+    same = ("doc_id", "n_features", "log_weight", "gumbel_key")
+    at_bar = scored.where(F.col("gumbel_key") == bar).groupBy(*same).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("doc_id").asc_nulls_last(), "n_features", "log_weight").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at_bar = written(at_bar.withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k - above) - before))), "bar")
+    parts = [repeated(at_bar.select(*same, n.alias("n")), "n", "nth").select(*same, F.lit(kept).alias("kept")) for n, kept in ((F.col("take"), True), (F.col("n") - F.col("take"), False))]
+    return scored.where(F.col("gumbel_key") != bar).withColumn("kept", F.col("gumbel_key") > bar).unionByName(parts[0]).unionByName(parts[1])

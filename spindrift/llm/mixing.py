@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import all_but_text, sliced, slices, utf8, written
+from spindrift.llm.common import HEAVY_ROWS, all_but_text, forget, repeated, sliced, slices, utf8, written
 
 BLOCK_WORDS = 64
 #: Words and rows of a shard, about: what one task holds of the plan.
@@ -121,7 +121,7 @@ def _chosen(seed: int, marks: list[str]):
                         else:
                             own += [a, b]
             spans.append(own)
-        passed = {c: rows[c] for c in ("doc_id", "source", "size", "source_size", "target")}
+        passed = {c: rows[c] for c in ("doc_id", "source", "size", "source_size", "target", "copies")}
         made = {"taken": pa.array(rounds * size + part), "rounds": pa.array([rounds] * len(rows), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))}
         return pa.table({**passed, **made, **{c: rows[c] for c in marks}})
 
@@ -146,20 +146,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     size counts words ``[^\\x20\\x09-\\x0D]+`` (null text: 0).  Sources, in code point order with null last, have the
     weights in turn; a source's target is its share of all words, at most ``most`` times its own.  taken is the number of
     words that the mix takes: ``rounds`` times the whole text and the words of ``spans`` (start, end, ...).  The choice
-    depends on seed, doc_id and text alone, so reruns agree; ids pass as they are, null and repeated ones too.  A source
-    has as many shards as its words and rows need; the driver holds one number a source and GROUPS more for each.  Sources
-    without words have target 0 and keep their place in the order of weights.  Columns other than these three are not read.
+    depends on seed and rows alone, so reruns agree; ids pass as they are, null and repeated ones too.  A source has as many
+    shards as its words and rows need; the driver holds one number a source and GROUPS more for each.  Sources without words
+    have target 0 and keep their place in the order of weights.  Of columns other than these three only digests are taken.
     """
-    return _plan(docs, weights, most, seed)
+    return _plan(docs, weights, most, seed).drop("copies", *MARKS)
 
 
-def _plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, marks: tuple[str, ...] = ()) -> DataFrame:
-    """mix, with the columns ``marks`` of docs, non-null longs, passed on; they order rows of equal doc_id and size."""
+#: 128 bits of a whole row.
+MARKS = ("_mark_a", "_mark_b")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    # maps have no hash, so what stands beside the text is hashed as it is written
+    beside = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    return docs.withColumns({"_mark_a": F.xxhash64("text", beside), "_mark_b": F.xxhash64(F.lit(1), F.col("text"), beside)})
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17) -> DataFrame:
+    """mix, with MARKS and copies, the number of rows that are equal in them.  Such rows are counted, numbered from their
+    count and placed by their number, so they lie in many shards."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = "".join(f", {c} long" for c in marks)
-    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("place")
-    sized = written(docs.select("doc_id", "text", "source", place, *marks).mapInArrow(_sizes, f"doc_id {kind}, source string, size long, place long{marked}"), "sizes")
+    marked = "".join(f", {c} long" for c in MARKS)
+    sized = written(_marked(docs).select("doc_id", "text", "source", *MARKS).mapInArrow(_sizes, f"doc_id {kind}, source string, size long{marked}"), "sizes")
+    alike = sized.groupBy("doc_id", "source", "size", *MARKS).agg(F.count("*").alias("copies"))
+    place = F.xxhash64(F.lit(seed), *MARKS, "nth")
+    sized, read = written(repeated(alike, "copies", "nth").withColumn("place", place).drop("nth"), "numbered"), sized
+    forget(read)
     totals = sorted(((s, int(n), int(rows)) for s, n, rows in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     own = [weights[i % len(weights)] for i in range(len(totals))]
     goal = targets([n for _, n, _ in totals], own, most)
@@ -183,7 +197,7 @@ def _plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     quotas = per_shard.join(of_groups, key & (F.col("group") == F.col("_group"))).drop("_source", "_group")
     quotas = quotas.groupBy("source", "group").applyInArrow(_shard_quotas(most), "_source string, _shard long, quota long")
     dealt = dealt.join(quotas, key & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
-    return dealt.groupBy("source", "shard").applyInArrow(_chosen(seed, list(marks)), f"doc_id {kind}, source string, size long, source_size long, target double, taken long, rounds long, spans array<long>{marked}")
+    return dealt.groupBy("source", "shard").applyInArrow(_chosen(seed, list(MARKS)), f"doc_id {kind}, source string, size long, source_size long, target double, copies long, taken long, rounds long, spans array<long>{marked}")
 
 
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -194,23 +208,22 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     chosen stretches of words, joined by a line end, where a part is taken; n_chars, if there, is of the new text.
 
     Each row takes what mix plans for it, also where its doc_id is null or repeated; rows that the mix does not take go.
-    Plans and rows meet by doc_id, source and 128 bits of the text; rows equal in these are numbered on both sides.
+    Plans and rows meet by 128 bits of the whole row.  Rows that are equal in these are alike, so one stands for all of
+    them, as several rows where they are many.
     """
     names = docs.columns
-    marks = ("_mark_a", "_mark_b")
-    marked = docs.withColumns({"_mark_a": F.xxhash64("text"), "_mark_b": F.xxhash64(F.lit(1), F.col("text"))})
-    plan = written(_plan(marked, **how, marks=marks).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "taken", *(F.col(c).alias(f"_{c}") for c in marks), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")), "plan")
-    theirs = ["_id", "_source", *(f"_{c}" for c in marks)]
-    repeated = not plan.groupBy(*theirs).count().where("count > 1").isEmpty()
+    marked = _marked(docs)
+    plan = written(_plan(docs, **how).select(*MARKS, "taken", F.col("copies").alias("_copies"), F.col("rounds").alias("_rounds"), F.col("spans").alias("_spans")), "plan")
+    several = plan.where("_copies > 1")
+    repeats = not several.isEmpty()
     plan = plan.where("taken > 0").drop("taken")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    for c in marks:
-        on &= F.col(c) == F.col(f"_{c}")
-    if repeated:
-        marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", *marks).orderBy("_mark_a")))
-        plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy(*theirs).orderBy(F.desc("_rounds"), "_spans")))
-        on &= F.col("_nth") == F.col("__nth")
-    rows = marked.join(plan, on)
+    parts = F.floor((F.col("_copies") - 1) / HEAVY_ROWS) + 1
+    if repeats:
+        of_key = several.groupBy(*MARKS).agg(F.max("_copies").alias("_copies"))
+        marked = marked.dropDuplicates(list(MARKS)).join(of_key, list(MARKS), "left")
+        marked = marked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)) - 1))).drop("_copies")
+        plan = plan.withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts))
+    rows = marked.join(plan.drop("_copies"), [*MARKS, "_part"] if repeats else list(MARKS))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rounds")))).where("_copy < _rounds or size(_spans) > 0")
     row = all_but_text(names)
     kind = rows.select(row.alias("row")).schema["row"].dataType.simpleString()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import words as W
-from spindrift.llm.common import all_but_text, forget, lists, sliced, slices, utf8, written
+from spindrift.llm.common import all_but_text, forget, heavy_rows, lists, sliced, slices, utf8, written
 
 U = np.uint64
 _COUNTED = "h1 long, h2 long, key long, pos int, sure boolean"
@@ -255,19 +255,19 @@ def first_key():
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a 64-bit ``key`` that only equal texts share, and (key, copied) of the texts that have an equal.
+    """``docs`` with a 64-bit ``key`` that only equal texts share, and (key, copied, copies) of the texts that have an equal.
 
     Equal means equal in 128 bits.  Where texts that differ share a key, they get other ones, until none do."""
     keyed, turn = docs.withColumns({"key": first_key(), "key2": F.xxhash64(F.lit(1), F.col("text"))}), 1
     while True:
         shared = keyed.where("text is not null").groupBy("key").agg(F.min("key2").alias("least"), F.max("key2").alias("most"), F.count("*").alias("copies"))
-        shared = written(shared.where("copies > 1").select("key", (F.col("least") == F.col("most")).alias("copied")), "copies")
+        shared = written(shared.where("copies > 1").select("key", (F.col("least") == F.col("most")).alias("copied"), "copies"), "copies")
         clash = shared.where("not copied")
         if clash.isEmpty():
             return keyed.drop("key2"), shared
         turn += 1
         other = F.when(F.col("copied").isNull(), F.col("key")).otherwise(F.xxhash64(F.lit(turn), F.col("key2")))
-        keyed = keyed.join(clash, "key", "left").withColumn("key", other).drop("copied")
+        keyed = keyed.join(clash, "key", "left").withColumn("key", other).drop("copied", "copies")
 
 
 def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -284,12 +284,20 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
     names = docs.columns
     keyed, equal = _keyed(docs.select(all_but_text(names).alias("row_id"), F.col("text")))
+    # texts that very many rows have are known by a list of bounded size, and their rows are dealt to no key
+    heavy = equal.where(F.col("copies") >= heavy_rows(docs.count())).select("key", F.lit(True).alias("heavy"))
+    keyed = keyed.join(F.broadcast(heavy), "key", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    equal = equal.drop("copies")
     # texts that have an equal are known to repeat wholly; one of them stands for all
-    texts = keyed.where("text is not null").select("key", "text")
-    single = texts.join(equal, "key", "left_anti").unionByName(texts.join(equal.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    texts = keyed.where("text is not null and not heavy").select("key", "text")
+    some = texts.join(equal.select("key"), "key", "left_semi").unionByName(keyed.where("heavy and text is not null").select("key", "text"))
+    single = texts.join(equal, "key", "left_anti").unionByName(some.dropDuplicates(["key"]))
     places = repeated_windows(single, length)
-    rows = keyed.join(equal, "key", "left")
-    rows = rows.join(places, "key", "left") if places is not None else rows.withColumn("places", F.lit(None).cast("array<int>"))
+    alone = F.col("heavy") | F.col("text").isNull()
+    rows = keyed.withColumns({"meets": F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("key")), "alone": alone})
+    on = lambda right: right.withColumnRenamed("key", "meets").withColumn("alone", F.lit(False))
+    rows = rows.join(on(equal), ["meets", "alone"], "left").withColumn("copied", F.col("copied") | F.col("heavy"))
+    rows = rows.join(on(places), ["meets", "alone"], "left") if places is not None else rows.withColumn("places", F.lit(None).cast("array<int>"))
     packed = rows.select("row_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "places")
     kind = packed.schema["row_id"].dataType.simpleString()
     out = packed.mapInArrow(_cut(length), f"row_id {kind}, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")

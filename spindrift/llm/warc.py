@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import forget, new_path, written
+from spindrift.llm.common import forget, heavy_rows, new_path, written
 
 VERSION = b"WARC/1.1"
 #: A fixed date, so that equal pages give equal archives.
@@ -134,12 +134,6 @@ def records(stream) -> Iterator[Record]:
         yield found
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(h.as_py() or "").encode() for h in batch["html"]]
-        yield pa.record_batch({"page_id": batch["page_id"], "url": batch["url"], "bytes": pa.array(map(len, payloads), pa.int64()), "digest": pa.array(map(base32_sha1, payloads), pa.string())})
-
-
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -153,7 +147,7 @@ def _write(folder: str):
         for batch in batches:
             for page, url, html, digest, first, first_url, revisit in zip(*(batch[k] for k in ("page_id", "url", "html", "digest", "first", "first_url", "revisit")), strict=True):
                 out = out or files.open_output_stream(f"{path}/{name}", compression=None)
-                data = member(page.as_py(), url.as_py(), (html.as_py() or "").encode(), digest.as_py(), (first.as_py(), first_url.as_py()) if revisit.as_py() else None)
+                data = member(page.as_py(), url.as_py(), (html.as_py() or "").encode(), base64.b32encode(bytes.fromhex(digest.as_py())).decode(), (first.as_py(), first_url.as_py()) if revisit.as_py() else None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out:
@@ -178,28 +172,27 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     files, path = open_folder(folder)
     files.create_dir(path, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    marked = written(rows.mapInArrow(_digests, "page_id long, url string, bytes long, digest string"), "digests")
-    last = marked.where("page_id is not null").groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
-    decided = marked.join(last, ["digest", "bytes"], "left")
-    # which rows revisit is found from digests alone; then each text goes once to its record's archive
-    revisits = decided.where(F.col("first").isNotNull() & (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first", "first_url", F.col("page_id").alias("_page"))
-    revisits = revisits.dropDuplicates(["_digest", "_bytes", "_page"])
-    # the digest of a row is made again beside its text: Spark's sha1 in hexadecimal would need another base
-    keyed = rows.mapInArrow(_with_digest, "page_id long, url string, html string, digest string, bytes long")
-    joined = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
-    out = joined.select("page_id", "url", "html", "digest", "first", "first_url", F.col("_digest").isNotNull().alias("revisit"))
+    # digests are Spark's own, in hexadecimal; the writer turns them to base 32
+    body = F.coalesce("html", F.lit(""))
+    keyed = rows.withColumns({"digest": F.sha1(body), "bytes": F.octet_length(body).cast("long")})
+    last = keyed.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    last = written(last.where(f"n > 1 and first is not null and bytes >= {int(least_bytes)}"), "digests")
+    # payloads that very many pages have are known by a list of bounded size, and their rows are dealt to no digest
+    heavy = F.col("n") >= heavy_rows(rows.count())
+    often = last.where(heavy).select("digest", "bytes", F.col("first").alias("first_a"), F.col("first_url").alias("url_a"))
+    seldom = last.where(~heavy).select(F.col("digest").alias("meets"), F.col("bytes").alias("of"), F.col("first").alias("first_b"), F.col("first_url").alias("url_b"))
+    known = keyed.join(F.broadcast(often), ["digest", "bytes"], "left")
+    found = F.col("first_a").isNotNull()
+    known = known.withColumns({"meets": F.when(found, F.hex(F.xxhash64(F.monotonically_increasing_id()))).otherwise(F.col("digest")), "of": F.when(found, F.lit(-1).cast("long")).otherwise(F.col("bytes"))})
+    joined = known.join(seldom, ["meets", "of"], "left").withColumns({"first": F.coalesce("first_a", "first_b"), "first_url": F.when(found, F.col("url_a")).otherwise(F.col("url_b"))})
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    out = joined.select("page_id", "url", "html", "digest", "first", "first_url", revisit.alias("revisit"))
     manifest = out.mapInArrow(_write(folder), "archive string, records long, bytes long").withColumn("folder", F.lit(folder))
     listed = written(manifest.select("folder", "archive", "records", "bytes"), "manifest")
-    forget(marked)
+    forget(last)
     return listed
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(h.as_py() or "").encode() for h in batch["html"]]
-        yield pa.record_batch({**{k: batch[k] for k in ("page_id", "url", "html")}, "digest": pa.array(map(base32_sha1, payloads), pa.string()), "bytes": pa.array(map(len, payloads), pa.int64())})
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder, archive in zip(batch["folder"].to_pylist(), batch["archive"].to_pylist(), strict=True):
