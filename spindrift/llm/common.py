@@ -93,7 +93,9 @@ RUN = 1 << 14
 def repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
     """Each row as often as column ``times`` says, numbered from 0; rows of many repeats are dealt in runs to several tasks."""
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / RUN))).alias("_run")
-    dealt = rows.where(F.col(times) > 0).select("*", runs).repartition(*(F.col(f"`{c}`") for c in rows.columns), "_run")
+    # a stated number is not lowered at run time, small as the runs are before they are written out
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where(F.col(times) > 0).select("*", runs).repartition(parts, *(F.col(f"`{c}`") for c in rows.columns), "_run")
     first = F.col("_run") * RUN
     each = F.explode(F.sequence(first, F.least(first + RUN, F.col(times).cast("long")) - 1)).alias(number)
     return dealt.select(*(F.col(f"`{c}`") for c in rows.columns), each)

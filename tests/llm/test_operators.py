@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import bpe, chat_format, components, embedding_dedup, importance, language_id, mixing, ngram_jaccard, substring_dedup, vector_search, warc
+from spindrift.llm import bpe, chat_format, common, components, embedding_dedup, importance, language_id, mixing, ngram_jaccard, substring_dedup, vector_search, warc
 from spindrift.llm import queries as Q
 from spindrift.llm import words as W
 
@@ -600,3 +600,70 @@ def test_bpe_rows(spark):
     got = {r.doc_id: r for r in bpe.encode_texts(rows, public_tokenizers.path(Q.RANKS), public_tokenizers.PATTERN).collect()}
     assert got[0].n_tokens == got[1].n_tokens == 0 and got[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[3].decoded_sha256 == hashlib.sha256(("hello " * 20_000).encode()).hexdigest() and len(got[2].token_ids) == 2
+
+
+def test_mixing_equals_a_plain_version_by_rows(spark):
+    """Words of all texts of a source in a row, cut into blocks, and seats given one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 3 = 0")
+    docs = docs.unionByName(docs.where("doc_id % 30 = 0")).unionByName(spark.createDataFrame([(None, "same text " * 40, "en", None, 1)] * 5 + [(None, None, "en", "src0", 0)], docs.schema))
+    found = Counter((r.doc_id, r.source, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(docs).collect())
+    places = mixing._marked(docs).groupBy(*docs.columns, *mixing.MARKS).count().withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    rows = places.withColumn("place", F.xxhash64(F.lit(17), *mixing.MARKS, "nth")).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sorted((r for r in rows if r.source == s), key=lambda r: r.place) for s in sources}
+    sizes = {s: sum(len(words(r.text)) for r in own[s]) for s in sources}
+    left, goal, open_ = sum(sizes.values()), {}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    while open_:
+        full = [s for s in open_ if left * open_[s] / sum(open_.values()) > 3 * sizes[s]]
+        for s in full or list(open_):
+            goal[s] = 3 * sizes[s] if full else left * open_[s] / sum(open_.values())
+        if not full:
+            break
+        left -= sum(goal[s] for s in full)
+        open_ = {s: w for s, w in open_.items() if s not in full}
+    blocks = {s: -(-sizes[s] // 64) for s in sources}
+    votes = {s: goal[s] * blocks[s] / sizes[s] for s in sources}
+    seats = dict.fromkeys(sources, 0)
+    for _ in range(round(sum(votes.values()))):
+        best = max((s for s in sources if seats[s] < 3 * blocks[s]), key=lambda s: (votes[s] / (2 * seats[s] + 1), -sources.index(s)))
+        seats[best] += 1
+    expected = Counter()
+    for s in sources:
+        stream = [k for k, r in enumerate(own[s]) for _ in words(r.text)]
+        order = W.mix(np.arange(blocks[s], dtype=np.uint64) + W.mix(np.array([17 ^ len(own[s])], np.uint64)))
+        rounds, rest = divmod(seats[s], blocks[s])
+        taken = Counter()
+        for b in np.argsort(order, kind="stable")[:rest].tolist():
+            taken.update(stream[b * sizes[s] // blocks[s] : (b + 1) * sizes[s] // blocks[s]])
+        for k, r in enumerate(own[s]):
+            n = len(words(r.text))
+            expected[r.doc_id, s, n, sizes[s], round(goal[s], 6), rounds * n + taken[k]] += 1
+    assert found == expected
+
+
+def test_rows_that_are_repeated_lie_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "RUN", 100)
+    rows = spark.createDataFrame([("a", 10_000), ("b", 1), (None, 250), ("none", 0)], "k string, n long")
+    out = common.repeated(rows, "n", "nth").withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r.k, r.nth) for r in out) == Counter([("a", k) for k in range(10_000)] + [("b", 0)] + [(None, k) for k in range(250)])
+    assert max(Counter(r.task for r in out).values()) < 2 * 10_251 / 4
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    """Equal texts, pages and documents, of which no key is dealt to one task."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 50)
+    monkeypatch.setattr(common, "HEAVY_SHARE", 10)
+    common_text = " ".join(f"word{k}" for k in range(40))
+    texts = [common_text] * 900 + [None] * 300 + ["", "short"] * 100 + [common_text + " and more", "x " + common_text] + [f"own {k} " + " ".join(f"v{k}x{j}" for j in range(50)) for k in range(40)] * 2
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    for k, t in enumerate(texts):
+        n = len(words(t))
+        assert found[k] == (n, 0 if n < 35 else 40 if k in (1400, 1401) else n)
+    pages = spark.createDataFrame([(k, f"u{k}", "" if k < 700 else "<p>seen</p>" if k < 730 else f"<p>{k}</p>") for k in range(800)] + [(None, "n", "")] * 5, "page_id long, url string, html string").repartition(6)
+    rows = warc.read_archives(warc.write_archives(pages)).collect()
+    assert len(rows) == 805 and all((r.record_type, r.refers_to) == (("revisit", 699) if r.page_id is None or r.page_id < 699 else ("revisit", 729) if 700 <= r.page_id < 729 else ("response", None)) for r in rows)
+    assert {r.payload_digest for r in rows if r.page_id is None} == {warc.base32_sha1(b"")}
+    same = spark.createDataFrame([(None, "good words " * 5)] * 500 + [(k, f"text {k}") for k in range(100)], "doc_id long, text string")
+    kept = importance.resample(same, same.where("doc_id is null").limit(20), 0.5).collect()
+    assert len(kept) == 600 and sum(r.kept for r in kept) == 300
