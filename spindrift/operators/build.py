@@ -91,6 +91,27 @@ def contextualized(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     return own.withColumn("text", texts.with_context(F.col("_context"), F.col("text"))).drop("_context")
 
 
+def index_updates(spark: SparkSession, folder: str, chunks_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most: int, threshold: float = 0.1, embed: Embedder = search.hashed_vector) -> Callable[[DataFrame, int], DataFrame]:
+    """What an updater applies to the index in ``folder``: of changes (site, url, change_type, new_lastmod, ...) at most ``most``
+    new and updated URLs are read, newest first, and all removed ones go, in one commit; (site, url) of what was dealt with.
+
+    ``chunks_of`` reads URLs (site, url): their chunks, and (url) of those that were read well."""
+
+    def apply(changes: DataFrame, number: int) -> DataFrame:
+        batch = stored(maintain.update_batch(changes, most), "batch")
+        rows, read = chunks_of(batch.select("site", "url"))
+        rows = stored(rows, "chunks")
+        index = SearchIndex.load(spark, folder, embed)
+        if index is None:
+            if not rows.isEmpty():
+                SearchIndex.build(spark, folder, rows, None, embed)
+            return batch.join(read.select("url"), "url", "left_semi").select("site", "url")
+        done = index.update(changes, rows, None, most, threshold, read)
+        return done.applied.join(changes.select("site", "url"), "url").select("site", "url")
+
+    return apply
+
+
 @dataclass(frozen=True)
 class Built:
     index: SearchIndex

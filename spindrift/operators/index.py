@@ -141,7 +141,7 @@ class SearchIndex:
         rows = stored(slotted.select("doc", "version", "slot", F.size(search.terms(text)).alias("n_terms"), F.sha2(text, 256).alias("text_hash"), *columns, "vector"), "added")
         at = at._and("chunks", rows.drop("vector"))
         at = at._and("vectors", rows.select("doc", "vector").where("vector is not null").mapInArrow(_packed, VECTORS))
-        at = at._and("postings", search.blocks(rows.select("slot", "doc", "text")))
+        at = at._and("postings", search.by_term(stored(search.blocks(rows), "postings")))
         if parents is not None:
             at = at._and("parents", parents.select("parent_id", "content", F.lit(version).alias("version")))
         n, total = rows.agg(F.count("*"), F.sum("n_terms")).first()

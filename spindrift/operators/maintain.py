@@ -15,17 +15,18 @@ def lastmod_changed(old: Column, new: Column) -> Column:
     return new.isNotNull() & ~old.eqNullSafe(new)
 
 
-def changes(current: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(url, change_type, new_lastmod, old_lastmod) between two tables (url, lastmod)."""
-    new = current.select("url", F.col("lastmod").alias("new_lastmod"), F.lit(True).alias("here"))
-    old = indexed.select("url", F.col("lastmod").alias("old_lastmod"), F.lit(True).alias("there"))
+def changes(current: DataFrame, indexed: DataFrame, of: tuple[str, ...] = ()) -> DataFrame:
+    """(url, change_type, new_lastmod, old_lastmod) between two tables (url, lastmod), of each value of columns ``of``."""
+    key = [*of, "url"]
+    new = current.select(*key, F.col("lastmod").alias("new_lastmod"), F.lit(True).alias("here"))
+    old = indexed.select(*key, F.col("lastmod").alias("old_lastmod"), F.lit(True).alias("there"))
     kind = F.when(F.col("there").isNull(), "new").when(F.col("here").isNull(), "removed").when(lastmod_changed(F.col("old_lastmod"), F.col("new_lastmod")), "updated").otherwise("unchanged")
-    return new.join(old, "url", "full_outer").select("url", kind.alias("change_type"), "new_lastmod", "old_lastmod")
+    return new.join(old, key, "full_outer").select(*key, kind.alias("change_type"), "new_lastmod", "old_lastmod")
 
 
-def change_counts(rows: DataFrame) -> DataFrame:
+def change_counts(rows: DataFrame, of: tuple[str, ...] = ()) -> DataFrame:
     counts = [F.count_if(F.col("change_type") == k).alias(f"n_{k}") for k in ("new", "updated", "removed", "unchanged")]
-    out = rows.agg(*counts).withColumn("total_changes", F.col("n_new") + F.col("n_updated") + F.col("n_removed"))
+    out = (rows.groupBy(*of).agg(*counts) if of else rows.agg(*counts)).withColumn("total_changes", F.col("n_new") + F.col("n_updated") + F.col("n_removed"))
     return out.withColumn("has_changes", F.col("total_changes") > 0)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import chat, text, url
-from spindrift.operators import build, chunks, crawl, evaluate, index, maintain, search
+from spindrift.operators import build, chunks, contexts, crawl, evaluate, fetch, index, maintain, search
 from spindrift.sources import sitemaps
-from spindrift.sources.store import shared_folder
+from spindrift.sources.store import shared_folder, stored
 from spindrift.streaming import chat as chat_streams
 from spindrift.streaming import events as event_streams
 from spindrift.streaming import updater
@@ -450,9 +450,127 @@ def stream_updater(spark, d):
     return own.log().select("check_id", "n_new", "n_updated", "n_removed", "n_unchanged")
 
 
+_MOST = 60
+_LEFT = "SELECT page_id, s, lastmod FROM i{k} WHERE page_id NOT IN (SELECT page_id FROM a{k})"
+
+
+def _updates_sql() -> str:
+    """Three checks: what is new, updated or removed; of the first two the newest, over all sites; what is indexed then."""
+    steps = ["i0 AS (SELECT page_id, page_id % 3 AS s, NULL::VARCHAR AS lastmod FROM pages WHERE false)"]
+    for k in range(3):
+        steps.append(f"s{k} AS (SELECT page_id, page_id % 3 AS s, 'v' || (page_id * {k}) % 3 AS lastmod FROM pages WHERE page_id % 7 <> {k + 1})")
+        steps.append(f"c{k} AS (SELECT coalesce(n.page_id, o.page_id) AS page_id, coalesce(n.s, o.s) AS s, n.lastmod, CASE WHEN o.page_id IS NULL THEN 'new' WHEN n.page_id IS NULL THEN 'removed' WHEN n.lastmod <> o.lastmod THEN 'updated' ELSE 'unchanged' END AS kind FROM s{k} n FULL JOIN i{k} o ON n.page_id = o.page_id)")
+        steps.append(f"a{k} AS (SELECT * FROM c{k} WHERE kind = 'removed' UNION ALL (SELECT * FROM c{k} WHERE kind IN ('new', 'updated') ORDER BY lastmod DESC, 'https://site' || s || '.org/' || page_id LIMIT {_MOST}))")
+        steps.append(f"i{k + 1} AS ({_LEFT.format(k=k)} UNION ALL SELECT page_id, s, lastmod FROM a{k} WHERE kind <> 'removed')")
+    count = lambda kind: f"count(*) FILTER (WHERE c.kind = '{kind}') AS n_{kind}"
+    rows = [f"SELECT {k}::BIGINT AS check_id, 'site' || c.s AS site, {', '.join(map(count, ('new', 'updated', 'removed', 'unchanged')))}, count(a.page_id) AS n_applied FROM c{k} c LEFT JOIN a{k} a USING (page_id) GROUP BY c.s" for k in range(3)]
+    return f"WITH {', '.join(steps)}, r AS ({' UNION ALL '.join(rows)}) SELECT r.*, (SELECT count(*) FROM i3 WHERE 'site' || s = r.site) AS n_indexed FROM r"
+
+
+@query(_updates_sql())
+def updater_index(spark, d):
+    """Checks of three sites that change a stored index, a limited number of URLs at a time; the rest comes with the next check."""
+    folder = shared_folder(spark, "updates")
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")).alias("site"), F.concat(F.lit("https://site"), (F.col("page_id") % 3).cast("string"), F.lit(".org/"), F.col("page_id").cast("string")).alias("url"), "html")
+
+    def chunks_of(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = pages.join(urls.select("url"), "url")
+        return rows.select(F.col("page_id").cast("string").alias("chunk_id"), "url", F.lit("p").alias("parent_id"), F.col("site").alias("heading_path"), F.coalesce("html", F.lit("")).alias("text")), rows.select("url")
+
+    own = updater.Updater(spark, f"{folder}/state", build.index_updates(spark, f"{folder}/index", chunks_of, _MOST))
+    for k in range(3):
+        own.check(pages.where(f"page_id % 7 <> {k + 1}").select("site", "url", F.concat(F.lit("v"), ((F.col("page_id") * k) % 3).cast("string")).alias("lastmod")), k)
+    indexed = index.SearchIndex.load(spark, f"{folder}/index").active().groupBy(F.col("heading_path").alias("site")).agg(F.count("*").alias("n_indexed"))
+    return own.log().join(indexed, "site").select("check_id", "site", "n_new", "n_updated", "n_removed", "n_unchanged", "n_applied", "n_indexed")
+
+
+@query()
+def updater_clock(spark, d):
+    """When checks of sites are due: commands are events, of which each user's first adds the site."""
+    k = F.col("event_id") % 7
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) == 1
+    command = F.when(first, updater.ADD).when(k == 0, updater.CHECK).when(k == 1, updater.PAUSE).when(k == 2, updater.RESUME).otherwise(updater.TICK)
+    folder = shared_folder(spark, "clock")
+    table(spark, d, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("site"), F.col("ts").cast("timestamp").alias("at"), command.alias("command")).write.parquet(f"{folder}/commands")
+    stream = spark.readStream.schema("site string, at timestamp, command string").parquet(f"{folder}/commands")
+    said = updater.decisions(stream, first=3600, interval=48 * 3600, least=6 * 3600)
+    said.writeStream.format("parquet").option("path", f"{folder}/said").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(updater.DECISIONS).parquet(f"{folder}/said").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# ---- fetching
+
+_ANSWERS = """CASE WHEN k % 11 = 0 THEN 404 WHEN k % 7 = 0 AND attempt <= k % 4 THEN 503 WHEN k % 13 = 0 AND attempt = 1 THEN 0 ELSE 200 END"""
+
+
+class _Site:
+    """Answers of pages by the number that their URL ends with, some only when asked again."""
+
+    def __init__(self) -> None:
+        self.asked: dict[str, int] = {}
+
+    def __call__(self, page: str) -> tuple[str, str, int, str]:
+        k, n = int(page.rsplit("/", 1)[1]), self.asked.get(page, 0) + 1
+        self.asked[page] = n
+        if k % 11 == 0:
+            return page, "text/html", 404, ""
+        if k % 7 == 0 and n <= k % 4:
+            return page, "text/html", 503, "busy"
+        if k % 13 == 0 and n == 1:
+            raise ConnectionError(page)
+        return page, "text/html", 200, f"<p>page {k}</p>"
+
+
+@query(f"""WITH p AS (SELECT page_id AS k, attempt, {_ANSWERS} AS status FROM pages, range(1, 4) AS r(attempt)),
+f AS (SELECT k, coalesce(min(attempt) FILTER (WHERE status NOT IN (0, 503)), 3) AS n FROM p GROUP BY k)
+SELECT k AS page_id, attempt::INTEGER AS attempt, status::INTEGER AS status, CASE attempt WHEN 1 THEN 0.0::DOUBLE ELSE 0.002::DOUBLE * (attempt - 1) END AS waited, attempt = n AS last,
+CASE WHEN status = 0 THEN 'ConnectionError: https://host' || k % 5 || '.org/' || k END AS error, CASE WHEN attempt = n AND status = 200 THEN '<p>page ' || k || '</p>' WHEN attempt = n AND status = 404 THEN '' WHEN attempt = n AND status = 503 THEN 'busy' END AS body FROM p JOIN f USING (k) WHERE attempt <= n""")
+def fetch_attempts(spark, d):
+    urls = table(spark, d, "pages").select(F.concat(F.lit("https://host"), (F.col("page_id") % 5).cast("string"), F.lit(".org/"), F.col("page_id").cast("string")).alias("url"))
+    log = stored(fetch.attempts(urls, _Site(), per_host=2, tries=3, pause=0.002), "attempts")
+    return log.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "attempt", "status", "waited", "last", "error", "body")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, t, i, true AS allowed, 2 * 43200000000 AS level FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least(3 * 43200000000, r.level + e.t - r.t) >= 43200000000, least(3 * 43200000000, r.level + e.t - r.t) - CASE WHEN least(3 * 43200000000, r.level + e.t - r.t) >= 43200000000 THEN 43200000000 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, allowed FROM r""")
+def rate_limit(spark, d):
+    folder = shared_folder(spark, "limits")
+    table(spark, d, "events").select(F.col("user_id").cast("string").alias("address"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{folder}/requests")
+    stream = spark.readStream.schema("address string, request long, ts timestamp").parquet(f"{folder}/requests")
+    rows = event_streams.rate_limited(stream, burst=3, every_seconds=12 * 3600)
+    # with state that ends by the clock a query goes on without new rows, so one batch is asked for
+    rows.writeStream.format("parquet").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(once=True).start().awaitTermination()
+    told = spark.read.schema("address string, request long, at long, allowed boolean").parquet(f"{folder}/told")
+    return told.select(F.col("address").cast("long").alias("user_id"), F.col("request").alias("event_id"), "allowed")
+
+
 # ---- contexts
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'page ' || doc_id || ' of ' || source END AS context FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0""")
+def contexts_resumed(spark, d):
+    """Contexts of all documents that have a page, by two runs: the first one pauses itself in its third part."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "text", "source")
+    pages = rows.where("CAST(chunk_id AS long) % 7 <> 0").select("url", F.concat(F.lit("page "), "chunk_id", F.lit(" of "), "source").alias("document"))
+    job = contexts.ContextJob(spark, shared_folder(spark, "contexts"), save_every=-(-docs.count() // 5))
+    job.plan(rows, pages)
+    parts = []
+
+    def write(asked: DataFrame) -> DataFrame:
+        parts.append(1)
+        if len(parts) == 3:
+            job.pause()
+        return asked.select("chunk_id", F.when(F.col("chunk_id").cast("long") % 5 == 0, "short").otherwise(F.col("document")).alias("context"))
+
+    job.run(write)
+    job.resume()
+    contexts.ContextJob(spark, job.folder).run(write)
+    return job.contexts().select(F.col("chunk_id").cast("long").alias("doc_id"), "context")
+
+
 @query("""WITH c AS (SELECT *, doc_id % 3 = 0 AS kept FROM documents WHERE doc_id % 7 <> 0)
 SELECT doc_id, CASE WHEN kept THEN 'cached context ' || doc_id ELSE 'page ' || doc_id || ' of ' || source END AS context, kept AS from_cache, sha256('<context>' || chr(10) || CASE WHEN kept THEN 'cached context ' || doc_id ELSE 'page ' || doc_id || ' of ' || source END || chr(10) || '</context>' || chr(10) || chr(10) || text) AS content_sha256 FROM c WHERE kept OR doc_id % 5 <> 0
 UNION ALL SELECT doc_id, NULL, NULL, sha256(text) FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 3 <> 0 AND doc_id % 5 = 0)""")

@@ -1,12 +1,13 @@
-"""Event streams and the periodic updater."""
+"""Event streams: windows, sessions, rate limits."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -23,16 +24,50 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def over_limit(events: DataFrame, most: int, size: str = "1 minute") -> DataFrame:
-    """Users with more events in a window than a rate limit lets through."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = rows.groupBy("user_id", F.window("ts", size)).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return out.select("user_id", F.col("window.start").alias("start"), "n")
+class _Bucket(StatefulProcessor):
+    """A bucket of ``burst`` tokens a key, one more every ``every`` microseconds; a request takes one or is refused.
 
+    The level is kept in microseconds, so it is exact.  State that nothing asked for in ``ttl`` milliseconds, in which a
+    bucket fills up, is dropped."""
 
-def start_updater(sitemaps: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Runs ``apply`` on every batch of sitemap snapshots: once over what is there, or every so often.
+    def __init__(self, burst: int, every: int, ttl: int) -> None:
+        self.burst, self.every, self.ttl = burst, every, ttl
 
-    Pausing is stopping the query: it goes on from its checkpoint."""
-    writer = sitemaps.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "level long, at long", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        asked = pd.concat(list(rows)).sort_values(["at", "request"], kind="stable")
+        full = self.burst * self.every
+        level, before = self.level.get() if self.level.exists() else (full, None)
+        allowed = []
+        for at in asked["at"].tolist():
+            # a request that comes late finds the level as it is
+            level = min(full, level + max(0, at - before)) if before is not None else level
+            before = at if before is None else max(before, at)
+            allowed.append(level >= self.every)
+            level -= self.every * allowed[-1]
+        self.level.update((level, before))
+        yield pd.DataFrame({"address": key[0], "request": asked["request"].to_numpy(), "at": asked["at"].to_numpy(), "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+#: State with time to live is kept by this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rate_limited(requests: DataFrame, burst: int = 100, every_seconds: float = 0.6) -> DataFrame:
+    """(address, request, at, allowed) of a stream of requests (address, request, ts): a token bucket for each address.
+
+    ``request`` is a number that orders requests of one time; ``at`` is the time in microseconds.  Requests of a micro-batch
+    are taken in order of time, so one that comes in a later batch than a younger one finds the younger one's level.  The
+    requests of one address in one micro-batch are one task's; limit a batch by the source's options.  The session's state
+    store is set to the one that keeps time to live."""
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    every = round(every_seconds * 1_000_000)
+    rows = requests.select("address", F.col("request").cast("long").alias("request"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    processor = _Bucket(burst, every, max(60_000, 2 * burst * every // 1000))
+    return rows.groupBy("address").transformWithStateInPandas(statefulProcessor=processor, outputStructType="address string, request long, at long, allowed boolean", outputMode="append", timeMode="processingTime")
