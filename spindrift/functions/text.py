@@ -38,17 +38,13 @@ def pack(parts: Column, most: int, joint: str = " ") -> Column:
     return F.aggregate(parts, start, step, finish)
 
 
-def slugify(text: Column) -> Column:
-    """Lower case, without signs, joined by hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"(?U)[^\w\s-]", ""), r"(?U)[\s_]+", "-")
-
-
 #: White space as Python's ``str.strip`` and ``\s`` have it, for a character class.
 _WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def slug(text: Column) -> Column:
-    r"""slugify with Python's white space and ``\w`` (letters, numbers, ``_``; no combining marks), for texts of any script."""
+    r"""Lower case, without signs, joined by hyphens; with Python's white space and ``\w`` (letters, numbers, ``_``; no
+    combining marks), for texts of any script."""
     own = F.regexp_replace(F.lower(text), rf"\A[{_WHITE}]+|[{_WHITE}]+\z", "")
     return F.regexp_replace(F.regexp_replace(own, rf"[^\p{{L}}\p{{N}}_{_WHITE}-]", ""), rf"[{_WHITE}_]+", "-")
 

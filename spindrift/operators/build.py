@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as texts
+from spindrift.functions.url import crawlable, same_site
 from spindrift.operators import chunks, crawl, maintain, search
 from spindrift.operators.index import Embedder, SearchIndex
+from spindrift.sources import sitemaps
 from spindrift.sources.store import stored
 
 #: Reads URLs (url, lastmod): (url, final_url, content_type, status, body), status 0 for a network error, -1 for a ban.
@@ -32,6 +34,26 @@ class Crawled:
         return {"hits": hits, "fetched": self.log.count(), "failed": bad, "by_status": {r.status: r.n for r in crawl.status_histogram(self.log).collect()}}
 
 
+def discover_urls(manual: DataFrame, files: DataFrame, roots: DataFrame, start: str, cache: DataFrame | None = None, links: DataFrame | None = None, depth: int = 3, include: list[str] | None = None, exclude: list[str] | None = None, most: int | None = None, manual_only: bool = False) -> DataFrame:
+    """(url, lastmod, ord) of a site: manual URLs (url, lastmod, ord), and those of its sitemaps under ``roots`` (sitemap), read
+    from files (sitemap, xml) or a cache; where these give none, the pages within ``depth`` of ``start`` along links (src, dst).
+
+    Sitemap URLs and pages stay on the site of ``start`` and fit the patterns.  A URL's last date counts, at its first place;
+    newest first, at most ``most``.  ``manual_only`` gives the manual ones as they are."""
+    if manual_only:
+        return manual
+    fits = lambda u: same_site(u, F.lit(start)) & crawlable(u, include or [], exclude or [])
+    named = stored(sitemaps.resolve(files, roots, cache).where(fits(F.col("url"))), "named")
+    if links is not None and named.isEmpty():
+        spark = manual.sparkSession
+        at = crawl.reachable(links, spark.createDataFrame([(start,)], "node string"), depth, fits, most)
+        found = at.orderBy("depth", "node").select(F.col("node").alias("url"), F.lit(None).cast("string").alias("lastmod"))
+    else:
+        found = named.orderBy("place").select("url", "lastmod")
+    # ranges of a sorted table follow each other, and so do their numbers
+    return crawl.discover(manual.select("url", "lastmod", "ord"), found.withColumn("ord", F.monotonically_increasing_id()), most=most)
+
+
 def read_pages(urls: DataFrame, cache: DataFrame, fetch: Fetcher, start: Column, now: Column, ttl_hours: float = 0, force: bool = False) -> Crawled:
     """Pages of ``urls`` (url, lastmod) from the cache where that is valid, else from ``fetch``; what is read well goes to the
     cache under its lastmod.  Pages off the site of ``start``, not well or not HTML have no html and are not kept."""

@@ -30,7 +30,7 @@ def discover(manual: DataFrame, found: DataFrame, manual_only: bool = False, mos
     if manual_only:
         return manual
     both = manual.withColumn("side", F.lit(0)).unionByName(found.withColumn("side", F.lit(1)))
-    both = both.withColumn("ord", F.col("side") * F.lit(1 << 40) + F.col("ord")).drop("side")
+    both = both.withColumn("ord", F.col("side") * F.lit(1 << 62) + F.col("ord")).drop("side")
     return newest_first(last_value_first_place(both), most)
 
 

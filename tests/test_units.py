@@ -5,9 +5,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift import settings
 from spindrift.functions import chat, html, text, url
-from spindrift.operators import chunks, crawl, evaluate, maintain, search
+from spindrift.operators import build, chunks, crawl, evaluate, maintain, search
 from spindrift.plans import catalogue
 from spindrift.sources import sitemaps
 from spindrift.streaming import chat as streams
@@ -67,7 +66,7 @@ def test_children_refer_to_parents(spark):
 
 
 def test_text_functions(spark):
-    row = spark.range(1).select(text.slugify(F.lit(" Hello, Wörld_x! ")).alias("a"), text.shortened(F.lit("abcdef"), 3).alias("b"), text.valid_context(F.lit("short")).alias("c"), text.code_fence(F.lit("language-py"), F.lit("x")).alias("d"), text.spoken_time(F.lit("2024-03-05 04:07:00").cast("timestamp")).alias("e"), text.status_name(F.lit(204)).alias("f"), text.logged_response(F.lit("abcdef"), 2).alias("g")).first()
+    row = spark.range(1).select(text.slug(F.lit(" Hello, Wörld_x! ")).alias("a"), text.shortened(F.lit("abcdef"), 3).alias("b"), text.valid_context(F.lit("short")).alias("c"), text.code_fence(F.lit("language-py"), F.lit("x")).alias("d"), text.spoken_time(F.lit("2024-03-05 04:07:00").cast("timestamp")).alias("e"), text.status_name(F.lit(204)).alias("f"), text.logged_response(F.lit("abcdef"), 2).alias("g")).first()
     assert tuple(row) == ("hello-wörld-x", "abc...", None, "```py\nx\n```", "Tuesday, March 05, 2024 at 4:07 AM UTC", "Success", "ab\n... (truncated, total: 6 chars)")
 
 
@@ -206,11 +205,28 @@ def test_cases_and_checks_of_ones_own(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text())["summary"] == {"total": 2, "passed": 1, "failed": 1, "success_rate": 50.0, "total_time": 2.0, "avg_time": 1.0}
 
 
-def test_settings():
-    read = settings.Settings.read
-    assert read(variables={}) == settings.Settings()
-    own = read("MY_", {"MY_PORT": "9", "PORT": "8", "BACKEND": "ollama", "MY_THREADED": "no", "DEBUG_TOOLS": "", "MY_DEBUG_LOG_FORMAT": "xml", "TEMPERATURE": "0.5", "FIRST_ITERATION_TOOL_CHOICE": "required"})
-    assert (own.DEFAULT_PORT, own.BACKEND_TYPE, own.THREADED, own.DEBUG_TOOLS, own.DEBUG_LOG_FORMAT, own.DEFAULT_TEMPERATURE, own.FIRST_ITERATION_TOOL_CHOICE) == (9, "ollama", False, False, "text", 0.5, "required")
-    assert read("MY_", {"BACKEND_TYPE": "a", "MY_BACKEND": "b"}).BACKEND_TYPE == "a"
-    with pytest.raises(ValueError):
-        read(variables={"PORT": "x"})
+def test_first_filled_and_discovery(spark):
+    rows = spark.createDataFrame([("a", 2, 5, "a2"), ("a", 1, 0, "a1"), ("a", 3, 9, "a3"), ("b", 1, 0, "b1")], "site string, priority int, n_urls int, sitemap string")
+    assert [(r.site, r.sitemap) for r in sitemaps.first_filled(rows).collect()] == [("a", "a2")]
+    files = spark.createDataFrame([("root", "<urlset><url><loc>https://a.org/1</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://www.a.org/2</loc></url><url><loc>https://b.org/x</loc></url><url><loc>https://a.org/3</loc><lastmod>2024-03-02</lastmod></url></urlset>")], "sitemap string, xml string")
+    roots = spark.createDataFrame([("root",), ("none",)], "sitemap string")
+    manual = spark.createDataFrame([("https://a.org/2", "2024-02-02", 0), ("https://c.org/m", None, 1)], "url string, lastmod string, ord long")
+    links = spark.createDataFrame([("https://a.org/", "https://a.org/p"), ("https://a.org/p", "https://b.org/q"), ("https://a.org/p", "https://a.org/r")], "src string, dst string")
+    start = "https://a.org/"
+    find = lambda **how: [(r.url, r.lastmod) for r in build.discover_urls(manual, files, roots, start, **how).collect()]
+    assert find() == [("https://a.org/3", "2024-03-02"), ("https://a.org/1", "2024-01-02"), ("https://a.org/2", None), ("https://c.org/m", None)]
+    assert find(most=2) == find()[:2] and find(manual_only=True) == [("https://a.org/2", "2024-02-02"), ("https://c.org/m", None)]
+    empty = [(r.url, r.lastmod) for r in build.discover_urls(manual, files.where("false"), roots, start, links=links).collect()]
+    assert empty == [("https://a.org/2", "2024-02-02"), ("https://c.org/m", None), ("https://a.org/", None), ("https://a.org/p", None), ("https://a.org/r", None)]
+
+
+def test_small_parts_that_no_query_reaches(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    state = spark.createDataFrame([("1", "m", 5, "2024-01-01 20:00:00"), ("0", "m", 5, "2024-01-01 20:00:00"), ("1", "x", 5, "2024-01-01 20:00:00"), ("1", "m", 3, "2024-01-01 20:00:00"), ("1", "m", 5, "2023-01-01 00:00:00"), ("1", "m", 5, None)], "version string, embedding_model string, max_pages int, last_update string").withColumn("last_update", F.col("last_update").cast("timestamp"))
+    assert [r.reason for r in maintain.needs_update(state, "1", "m", 4, now, 6).collect()] == [None, "version", "embedding model", "more pages", "age", "never built"]
+    rows = spark.createDataFrame([({"k": "a"}, 1.0), ({"k": "a"}, 2.0), ({}, 4.0)], "metadata map<string,string>, response_time double")
+    assert {(r.k, r.avg_response_time, r.n) for r in evaluate.mean_by_metadata(rows, "k").collect()} == {("a", 1.5, 2), (None, 4.0, 1)}
+    seen = search.inspected(spark.createDataFrame([(1, 1, "u", 0.5, "h", "x" * 9)], "query int, rank int, url string, score double, heading_path string, text string"), 5).first()
+    assert (seen.heading, seen.text_preview) == ("h", "xxxxx...")
+    told = spark.range(1).select(chat.tool_definition(F.lit("t"), F.lit('says "x"'), F.lit('{"type":"object"}')).alias("d")).first().d
+    assert json.loads(told) == {"type": "function", "function": {"name": "t", "description": 'says "x"', "parameters": {"type": "object"}}}

@@ -189,7 +189,7 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(400, 6)), 1)
     x[100:200] = x[0]  # ties go to the smaller id
-    rows = [(f"d{k:03}", [float(v) for v in r]) for k, r in enumerate(x)] + [("null", None), ("hole", [1.0, None, 0, 0, 0, 0]), ("nan", [float("nan")] * 6), ("short", [9.0, 9.0]), ("empty", [])]
+    rows = [(f"d{k:03}", [float(v) for v in r]) for k, r in enumerate(x)] + [("null", None), ("hole", [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 6), ("short", [9.0, 9.0]), ("empty", [])]
     queries = [(k, [float(v) for v in r]) for k, r in enumerate(x[[0, 5, 17, 250]])] * 1 + [(k, [float(v) for v in rng.normal(size=6)]) for k in range(10, 24)] + [(90, None), (91, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "doc string, vector array<double>").repartition(5)
     asked = spark.createDataFrame(queries, "query int, vector array<double>")
