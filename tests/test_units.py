@@ -208,7 +208,7 @@ def test_cases_and_checks_of_ones_own(spark, tmp_path):
 def test_first_filled_and_discovery(spark):
     rows = spark.createDataFrame([("a", 2, 5, "a2"), ("a", 1, 0, "a1"), ("a", 3, 9, "a3"), ("b", 1, 0, "b1")], "site string, priority int, n_urls int, sitemap string")
     assert [(r.site, r.sitemap) for r in sitemaps.first_filled(rows).collect()] == [("a", "a2")]
-    files = spark.createDataFrame([("root", "<urlset><url><loc>https://a.org/1</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://www.a.org/2</loc></url><url><loc>https://b.org/x</loc></url><url><loc>https://a.org/3</loc><lastmod>2024-03-02</lastmod></url></urlset>")], "sitemap string, xml string")
+    files = spark.createDataFrame([("root", "<urlset><url><loc>https://a.org/1</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://a.org/2</loc></url><url><loc>https://b.org/x</loc></url><url><loc>https://a.org/3</loc><lastmod>2024-03-02</lastmod></url></urlset>")], "sitemap string, xml string")
     roots = spark.createDataFrame([("root",), ("none",)], "sitemap string")
     manual = spark.createDataFrame([("https://a.org/2", "2024-02-02", 0), ("https://c.org/m", None, 1)], "url string, lastmod string, ord long")
     links = spark.createDataFrame([("https://a.org/", "https://a.org/p"), ("https://a.org/p", "https://b.org/q"), ("https://a.org/p", "https://a.org/r")], "src string, dst string")
