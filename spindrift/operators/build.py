@@ -13,6 +13,7 @@ from spindrift.functions.url import crawlable, same_site
 from spindrift.operators import chunks, crawl, maintain, search
 from spindrift.operators.index import Embedder, SearchIndex
 from spindrift.sources import sitemaps
+from spindrift.sources.pages import PageCache
 from spindrift.sources.store import stored
 
 #: Reads URLs (url, lastmod): (url, final_url, content_type, status, body), status 0 for a network error, -1 for a ban.
@@ -54,17 +55,29 @@ def discover_urls(manual: DataFrame, files: DataFrame, roots: DataFrame, start:
     return crawl.discover(manual.select("url", "lastmod", "ord"), found.withColumn("ord", F.monotonically_increasing_id()), most=most)
 
 
-def read_pages(urls: DataFrame, cache: DataFrame, fetch: Fetcher, start: Column, now: Column, ttl_hours: float = 0, force: bool = False) -> Crawled:
+def read_pages(urls: DataFrame, cache: DataFrame | PageCache, fetch: Fetcher, start: Column, now: Column, ttl_hours: float = 0, force: bool = False) -> Crawled:
     """Pages of ``urls`` (url, lastmod) from the cache where that is valid, else from ``fetch``; what is read well goes to the
-    cache under its lastmod.  Pages off the site of ``start``, not well or not HTML have no html and are not kept."""
-    state = crawl.cache_state(urls.select("url", "lastmod"), cache, now, ttl_hours, force)
-    hits = state.where("hit").select("url", "lastmod").join(cache.select("url", "html"), "url").withColumn("from_cache", F.lit(True))
+    cache under its lastmod.  Pages off the site of ``start``, not well or not HTML have no html and are not kept.
+
+    The cache is a table, of which the next one is returned, or a stored one: of that only folders of ``urls`` are read, and
+    what is read well is saved in it."""
+    kept_on_disk = isinstance(cache, PageCache)
+    known = cache.lookup(urls, "lastmod", "cached_at") if kept_on_disk else cache
+    state = crawl.cache_state(urls.select("url", "lastmod"), known, now, ttl_hours, force)
+    if kept_on_disk:  # asked for twice, and before anything is saved
+        state = stored(state, "cache_state")
+    valid = state.where("hit").select("url", "lastmod")
+    bodies = cache.lookup(valid, "html") if kept_on_disk else cache.select("url", "html")
+    hits = valid.join(bodies, "url").withColumn("from_cache", F.lit(True))
     asked = state.where("not hit").select("url", "lastmod")
     read = stored(crawl.accepted(fetch(asked), start).join(asked, "url"), "fetched")
     good = read.where("html <> ''").select("url", "lastmod", "html", F.lit(False).alias("from_cache"))
     fresh = good.select("url", "html", "lastmod", now.cast("timestamp").alias("cached_at"))
-    kept = cache.select("url", "html", "lastmod", "cached_at").join(fresh.select("url"), "url", "left_anti")
     log = read.select("url", "status", (F.col("html") != "").alias("ok"))
+    if kept_on_disk:
+        cache.save(fresh)
+        return Crawled(hits.unionByName(good), cache.read(), log)
+    kept = cache.select("url", "html", "lastmod", "cached_at").join(fresh.select("url"), "url", "left_anti")
     return Crawled(hits.unionByName(good), kept.unionByName(fresh), log)
 
 
@@ -141,7 +154,7 @@ class Built:
     counts: dict
 
 
-def crawl_and_index(spark: SparkSession, folder: str, urls: DataFrame, fetch: Fetcher, start: Column, now: Column, cache: DataFrame | None = None, failed: DataFrame | None = None, limits: chunks.Limits = chunks.Limits(), ttl_hours: float = 0, rebuild: bool = False, refresh: bool = True, embed: Embedder = search.hashed_vector, contexts: Writer | None = None) -> Built:
+def crawl_and_index(spark: SparkSession, folder: str, urls: DataFrame, fetch: Fetcher, start: Column, now: Column, cache: DataFrame | PageCache | None = None, failed: DataFrame | None = None, limits: chunks.Limits = chunks.Limits(), ttl_hours: float = 0, rebuild: bool = False, refresh: bool = True, embed: Embedder = search.hashed_vector, contexts: Writer | None = None) -> Built:
     """Builds the index of ``folder`` over ``urls`` (url, lastmod), or brings it up to date.
 
     Without an index, or with ``rebuild``, all pages are read (from the cache where that is valid) and indexed.  With one,
@@ -158,7 +171,8 @@ def crawl_and_index(spark: SparkSession, folder: str, urls: DataFrame, fetch: Fe
         known = stored(index.urls().select("url", F.lit(True).alias("_indexed")), "indexed")
         pages = pages.join(known, "url", "left").where("not from_cache or _indexed is null").drop("_indexed")
         # a cached page that was left out as the copy of one that is indexed still is
-        theirs = cache.join(known, "url", "left_semi").select(F.sha2("html", 256).alias("_h")).distinct()
+        indexed_pages = cache.lookup(known, "html") if isinstance(cache, PageCache) else cache.join(known, "url", "left_semi")
+        theirs = indexed_pages.select(F.sha2("html", 256).alias("_h")).distinct()
         copies = pages.where("from_cache").join(theirs, F.sha2("html", 256) == F.col("_h"), "left_semi").select("url")
         pages = stored(pages.join(copies, "url", "left_anti"), "pages")
     rows, parents = page_chunks(pages, limits)

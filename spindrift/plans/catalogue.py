@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import chat, text, url
 from spindrift.operators import build, chunks, contexts, crawl, evaluate, fetch, index, maintain, search
 from spindrift.sources import sitemaps
+from spindrift.sources.pages import PageCache
 from spindrift.sources.store import shared_folder, stored
 from spindrift.streaming import chat as chat_streams
 from spindrift.streaming import events as event_streams
@@ -405,11 +406,33 @@ def crawl_refresh(spark, d):
     cache = rows.where("page_id % 3 = 0").select("url", F.col("body").alias("html"), F.when(k % 9 == 0, F.concat(F.lit("old "), "lastmod")).otherwise(F.col("lastmod")).alias("lastmod"), now.alias("cached_at"))
     failed = rows.where("page_id % 11 = 0").select("url", F.lit(3).alias("failure_count"))
     wanted = crawl.fetch_set(rows.select("url", "lastmod"), failed)
-    done = build.read_pages(wanted, cache, lambda asked: rows.drop("lastmod").join(asked.select("url"), "url"), F.lit(_SITE), now)
+    pages = PageCache(spark, shared_folder(spark, "pages"), bits=4)
+    pages.save(cache)
+    done = build.read_pages(wanted, pages, lambda asked: rows.drop("lastmod").join(asked.select("url"), "url"), F.lit(_SITE), now)
     out = wanted.join(rows.select("url", "page_id"), "url").join(done.pages.select("url", "from_cache", F.length("html").alias("n_chars")), "url", "left").join(done.log.select("url", "status"), "url", "left").join(done.cache.select("url", F.lit(True).alias("cached")), "url", "left")
     return out.select("page_id", F.coalesce("from_cache", F.lit(False)).alias("from_cache"), "status", "n_chars", F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+@query("""WITH r AS (SELECT page_id, 1 + page_id % 5 AS day, 'v1' AS lastmod, html FROM pages UNION ALL SELECT page_id, 3, 'v2', html || '!' FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 4, NULL, NULL FROM pages WHERE page_id % 11 = 0 UNION ALL SELECT page_id, 6, 'v3', 'again' FROM pages WHERE page_id % 22 = 0),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY day DESC, lastmod DESC NULLS LAST) = 1)
+SELECT page_id, lastmod, length(html)::INTEGER AS n_chars, sha256(html) AS digest, page_id % 2 = 0 AS asked FROM f WHERE html IS NOT NULL""")
+def page_cache(spark, d):
+    """All pages after saves, a removal and a compaction; those that a lookup of URLs finds are marked."""
+    k = F.col("page_id")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n).cast("timestamp")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit(_SITE), k.cast("string")).alias("url"), "html")
+    cache = PageCache(spark, shared_folder(spark, "pages"), bits=4)
+    cache.save(rows.withColumns({"lastmod": F.lit("v1"), "cached_at": day((k % 5).cast("int"))}))
+    cache.save(rows.where(k % 3 == 0).withColumns({"html": F.concat("html", F.lit("!")), "lastmod": F.lit("v2"), "cached_at": day(F.lit(2))}))
+    cache.remove(rows.where(k % 11 == 0).select("url"), day(F.lit(3)))
+    cache.compact(bits=5)
+    cache.save(rows.where(k % 22 == 0).withColumns({"html": F.lit("again"), "lastmod": F.lit("v3"), "cached_at": day(F.lit(5))}))
+    found = cache.lookup(rows.where(k % 2 == 0).select("url"), "url").select("url", F.lit(True).alias("asked"))
+    out = cache.read().join(found, "url", "left")
+    return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "lastmod", F.length("html").alias("n_chars"), F.sha2("html", 256).alias("digest"), F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
 @query("""WITH p AS (SELECT page_id, page_id // 50 AS s, CASE WHEN page_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + (page_id % 30)::INTEGER, '%Y-%m-%d') END AS lastmod FROM pages),
 s AS (SELECT DISTINCT s, s // 50 AS m, CASE WHEN s % 3 <> 0 THEN strftime(DATE '2024-02-01' + (s % 28)::INTEGER, '%Y-%m-%d') END AS sm FROM p),
 r AS (SELECT s, m, sm, row_number() OVER (PARTITION BY m ORDER BY coalesce(sm, '') DESC, s) AS place FROM s),
