@@ -24,8 +24,11 @@ def pack(parts: Column, most: int, joint: str = " ") -> Column:
     (text, tokens).  A longer part stays whole."""
     start = F.struct(F.array().cast("array<struct<text:string,tokens:int>>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("tokens"))
 
-    def step(held: Column, part: Column) -> Column:
-        n = token_count(part)
+    # a function's column is computed at each place where it stands, so tokens are counted first, once a part
+    counted = F.transform(parts, lambda p: F.struct(p.alias("part"), token_count(p).alias("n")))
+
+    def step(held: Column, one: Column) -> Column:
+        part, n = one["part"], one["n"]
         full = (held["text"] != "") & (held["tokens"] + n > most)
         done = F.when(full, F.concat(held["done"], F.array(F.struct(held["text"].alias("text"), held["tokens"].alias("tokens"))))).otherwise(held["done"])
         text = F.when(full | (held["text"] == ""), part).otherwise(F.concat(held["text"], F.lit(joint), part))
@@ -35,7 +38,7 @@ def pack(parts: Column, most: int, joint: str = " ") -> Column:
         last = F.array(F.struct(held["text"].alias("text"), held["tokens"].alias("tokens")))
         return F.when(held["text"] != "", F.concat(held["done"], last)).otherwise(held["done"])
 
-    return F.aggregate(parts, start, step, finish)
+    return F.aggregate(counted, start, step, finish)
 
 
 #: White space as Python's ``str.strip`` and ``\s`` have it, for a character class.

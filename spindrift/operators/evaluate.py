@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.sources.store import stored
+
 
 def relevant(url: Column, text: Column, urls: Column, keywords: Column) -> Column:
     """1 where a result's URL contains a relevant one or is contained in it, or its text has a keyword; else 0."""
@@ -41,6 +44,25 @@ def retrieval_metrics(judged: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+#: Finds (query, rank, url, text) for questions (query, question, top_k).
+Retriever = Callable[[DataFrame], DataFrame]
+
+
+def run_cases(cases: DataFrame, retrieve: Retriever, settings: dict[str, str] | None = None) -> DataFrame:
+    """The metrics of cases (query, question, relevant_urls, relevant_keywords, top_k), with settings (a map) and search_time.
+
+    All cases are searched at once, so search_time is an equal share of the search's seconds.  Results beyond a case's top_k
+    do not count; null URLs and texts are relevant to nothing; a case without results has zeros."""
+    began = time.perf_counter()
+    found = stored(retrieve(cases.select("query", "question", "top_k")).select("query", "rank", "url", "text"), "found")
+    share = (time.perf_counter() - began) / max(1, cases.count())
+    judged = found.join(cases.select("query", "relevant_urls", "relevant_keywords", "top_k"), "query").where("rank <= top_k")
+    judged = judged.select("query", "rank", relevant(F.col("url"), F.col("text"), F.col("relevant_urls"), F.col("relevant_keywords")).alias("rel"))
+    asked = cases.select("query", F.size("relevant_urls").alias("n_urls"), (F.size("relevant_keywords") > 0).alias("has_keywords"))
+    own = F.create_map(*(F.lit(x) for pair in (settings or {}).items() for x in pair)).cast("map<string,string>")
+    return retrieval_metrics(judged, asked).withColumns({"search_time": F.lit(round(share, 6)), "settings": own})
+
+
 METRICS = ("recall", "precision", "mrr", "ndcg")
 
 

@@ -641,13 +641,16 @@ def incremental_apply(spark, d):
 # ---- evaluation
 
 
-def _judged(spark, d, k: int) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.concat(F.lit("https://"), "source", F.lit("/"), "lang").alias("url"))
-    asked = _queries(spark, d)
-    found = search.bm25(search.bm25_index(docs), asked, k).join(docs.withColumnRenamed("text", "found"), "doc").join(asked.select("query", "text"), "query")
+def _cases(spark, d, top_k: int) -> DataFrame:
+    """Benchmark passages as test cases: a source's pages and texts with the passage are relevant."""
     wanted = F.concat(F.lit("https://src"), (F.col("query") % 20).cast("string"), F.lit("/"))
-    judged = found.select("query", "rank", evaluate.relevant(F.col("url"), F.col("found"), F.array(wanted), F.array("text")).alias("rel"))
-    return judged, asked.select("query", F.lit(1).alias("n_urls"), F.lit(True).alias("has_keywords"))
+    return _queries(spark, d).select("query", F.col("text").alias("question"), F.array(wanted).alias("relevant_urls"), F.array("text").alias("relevant_keywords"), F.lit(top_k).alias("top_k"))
+
+
+def _retriever(spark, d) -> evaluate.Retriever:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.concat(F.lit("https://"), "source", F.lit("/"), "lang").alias("url"))
+    made = search.bm25_index(docs)
+    return lambda asked: search.bm25(made, asked.withColumnRenamed("question", "text"), 5).join(docs, "doc")
 
 
 _JUDGED = _BM25 + """, j AS (SELECT bm.query, rank, coalesce(contains(lower(d.text), lower(b.text)) OR contains('https://' || d.source || '/' || d.lang, 'https://src' || bm.query % 20 || '/'), false)::INTEGER AS rel FROM bm JOIN documents d ON d.doc_id = bm.doc JOIN benchmark b ON b.item_id = bm.query WHERE rank <= {k}),
@@ -659,12 +662,12 @@ m AS (SELECT q.query, round(coalesce(hits, 0)::DOUBLE, 6) AS recall, round(coale
 
 @query(_JUDGED.format(k=5) + "SELECT * FROM m")
 def relevance_metrics(spark, d):
-    return evaluate.retrieval_metrics(*_judged(spark, d, 5))
+    return evaluate.run_cases(_cases(spark, d, 5), _retriever(spark, d)).drop("search_time", "settings")
 
 
 @query(_JUDGED.format(k=5) + "SELECT count(*) AS total, coalesce(sum(passed::INTEGER), 0)::BIGINT AS n_passed, round(avg(passed::INTEGER), 6) AS pass_rate, round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS avg_precision, round(avg(mrr), 6) AS avg_mrr, round(avg(ndcg), 6) AS avg_ndcg FROM m")
 def eval_summary(spark, d):
-    return evaluate.summary(evaluate.retrieval_metrics(*_judged(spark, d, 5)))
+    return evaluate.summary(evaluate.run_cases(_cases(spark, d, 5), _retriever(spark, d)))
 
 
 _AVERAGES = "SELECT unnest(['recall', 'precision', 'mrr', 'ndcg']) AS metric, unnest([round(avg(recall), 6), round(avg(precision), 6), round(avg(mrr), 6), round(avg(ndcg), 6)]) AS v FROM m"
@@ -672,7 +675,8 @@ _AVERAGES = "SELECT unnest(['recall', 'precision', 'mrr', 'ndcg']) AS metric, un
 
 @query(f"WITH x AS ({_JUDGED.format(k=1)}{_AVERAGES}), y AS ({_JUDGED.format(k=5)}{_AVERAGES}) SELECT metric, x.v AS a, y.v AS b, round(y.v - x.v, 6) AS delta FROM x JOIN y USING (metric)")
 def ab_compare(spark, d):
-    return evaluate.ab_deltas(*(evaluate.retrieval_metrics(*_judged(spark, d, k)) for k in (1, 5)))
+    retrieve = _retriever(spark, d)
+    return evaluate.ab_deltas(*(evaluate.run_cases(_cases(spark, d, k), retrieve) for k in (1, 5)))
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(text) < 100 THEN 'too short: ' || length(text) END, CASE WHEN length(text) > 900 THEN 'too long: ' || length(text) END,

@@ -117,6 +117,16 @@ def test_metrics_by_hand(spark):
     assert (got[2].recall, got[2].n_relevant, got[2].passed) == (0.0, 3, False) and got[3].ndcg == 0.0
 
 
+def test_cases_are_run_at_once(spark):
+    cases = spark.createDataFrame([(1, "a", ["u1"], [], 2), (2, "b", [], ["Word"], 1), (3, "none", ["u3"], ["x"], 5)], "query long, question string, relevant_urls array<string>, relevant_keywords array<string>, top_k int")
+    found = spark.createDataFrame([(1, 1, "u9", "t", 0), (1, 2, "u1/x", "t", 0), (1, 3, "u1", "t", 0), (2, 1, None, None, 0), (2, 2, "", "a word", 0)], "query long, rank int, url string, text string, rel int")
+    got = {r["query"]: r for r in evaluate.run_cases(cases, lambda asked: found.join(asked.select("query"), "query"), {"k": "2"}).collect()}
+    assert (got[1].mrr, got[1].precision, got[1].n_relevant, got[1].settings) == (0.5, 0.5, 1, {"k": "2"}) and got[1].search_time > 0
+    assert not got[2].passed and not got[3].passed and got[3].n_relevant == 2
+    none = evaluate.run_cases(cases.where("false"), lambda asked: found.where("false"))
+    assert none.count() == 0
+
+
 def test_search_config_weights():
     with pytest.raises(ValueError):
         search.SearchConfig(0.5, 0.6)
