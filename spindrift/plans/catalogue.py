@@ -406,7 +406,7 @@ def crawl_refresh(spark, d):
     cache = rows.where("page_id % 3 = 0").select("url", F.col("body").alias("html"), F.when(k % 9 == 0, F.concat(F.lit("old "), "lastmod")).otherwise(F.col("lastmod")).alias("lastmod"), now.alias("cached_at"))
     failed = rows.where("page_id % 11 = 0").select("url", F.lit(3).alias("failure_count"))
     wanted = crawl.fetch_set(rows.select("url", "lastmod"), failed)
-    pages = PageCache(spark, shared_folder(spark, "pages"), bits=4)
+    pages = PageCache(spark, shared_folder(spark, "pages"))
     pages.save(cache)
     done = build.read_pages(wanted, pages, lambda asked: rows.drop("lastmod").join(asked.select("url"), "url"), F.lit(_SITE), now)
     out = wanted.join(rows.select("url", "page_id"), "url").join(done.pages.select("url", "from_cache", F.length("html").alias("n_chars")), "url", "left").join(done.log.select("url", "status"), "url", "left").join(done.cache.select("url", F.lit(True).alias("cached")), "url", "left")
@@ -422,11 +422,11 @@ def page_cache(spark, d):
     k = F.col("page_id")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n).cast("timestamp")
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit(_SITE), k.cast("string")).alias("url"), "html")
-    cache = PageCache(spark, shared_folder(spark, "pages"), bits=4)
+    cache = PageCache(spark, shared_folder(spark, "pages"))
     cache.save(rows.withColumns({"lastmod": F.lit("v1"), "cached_at": day((k % 5).cast("int"))}))
     cache.save(rows.where(k % 3 == 0).withColumns({"html": F.concat("html", F.lit("!")), "lastmod": F.lit("v2"), "cached_at": day(F.lit(2))}))
     cache.remove(rows.where(k % 11 == 0).select("url"), day(F.lit(3)))
-    cache.compact(bits=5)
+    cache.compact()
     cache.save(rows.where(k % 22 == 0).withColumns({"html": F.lit("again"), "lastmod": F.lit("v3"), "cached_at": day(F.lit(5))}))
     found = cache.lookup(rows.where(k % 2 == 0).select("url"), "url").select("url", F.lit(True).alias("asked"))
     out = cache.read().join(found, "url", "left")

@@ -33,6 +33,8 @@ _GIVEN = {"url": pa.string(), "html": pa.string(), "lastmod": pa.string(), "cach
 
 #: Bits of the hash that a lookup is told by, and so the most that folders can have.
 MOST_BITS = 16
+#: Characters of html that a folder is to have, where folders follow the data.
+FOLDER_BYTES = 256 << 20
 #: Bytes of html after which a row group or a file ends; a longer page is a row group of its own.
 GROUP_BYTES, FILE_BYTES = 16 << 20, 256 << 20
 
@@ -42,6 +44,11 @@ def bucket(url: Column) -> Column:
     return F.shiftrightunsigned(F.crc32(url), 32 - MOST_BITS).cast("int")
 
 
+def bits_for(size: int) -> int:
+    """Bits for ``size`` characters of html, so that a folder, which is a task's, has about FOLDER_BYTES."""
+    return min(MOST_BITS, max(0, -(-size // FOLDER_BYTES) - 1).bit_length())
+
+
 def _prefix(url: str, bits: int) -> int:
     return zlib.crc32(url.encode()) >> (32 - bits) if bits else 0
 
@@ -55,6 +62,7 @@ class _File:
     path: str
     bits: int
     prefix: int
+    size: int
 
 
 def _manifests(folder: str) -> dict[str, dict]:
@@ -70,7 +78,7 @@ def _manifests(folder: str) -> dict[str, dict]:
 
 
 def _files(folder: str) -> list[_File]:
-    return [_File(f"{folder}/{path}", bits, prefix) for m in _manifests(folder).values() for path, bits, prefix in m["files"]]
+    return [_File(f"{folder}/{path}", *rest) for m in _manifests(folder).values() for path, *rest in m["files"]]
 
 
 @dataclass
@@ -151,7 +159,7 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[tuple[str, int, int]]
+    files: list[tuple[str, int, int, int]]
 
 
 class _Writer(DataSourceArrowWriter):
@@ -164,7 +172,7 @@ class _Writer(DataSourceArrowWriter):
             raise ValueError(f"bits must be 0 to {MOST_BITS}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        written: list[tuple[str, int, int]] = []
+        written: list[tuple[str, int, int, int]] = []
         out, at, held, total = None, None, 0, 0
         parts: list[pa.RecordBatch] = []
 
@@ -195,18 +203,19 @@ class _Writer(DataSourceArrowWriter):
                 if new:
                     if out is not None:
                         out.close()
+                        written.append((name, self.bits, at, total))
                     at, total = prefix, 0
                     name = f"{self.bits:02d}/{prefix:04x}/{uuid.uuid4().hex}.parquet"
                     files, path = _at(f"{self.folder}/{name}")
                     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out = pq.ParquetWriter(path, _OWN, filesystem=files, compression="zstd")
-                    written.append((name, self.bits, prefix))
                 held, total = held + size, total + size
             if len(batch) > start:
                 parts.append(batch.slice(start))
         if out is not None:
             flush()
             out.close()
+            written.append((name, self.bits, at, total))
         return _Written(written)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -231,7 +240,7 @@ class PageSource(DataSource):
     """``spark.read.format(FORMAT).load(folder)``, after ``spark.dataSource.register``; a schema with some of the columns reads
     only these.  Filters ``url = ...`` and ``url IN ...`` choose the files.
 
-    Options: ``bits`` of a write (2^bits folders, 8 unless given), ``buckets`` of a read (a bitmap in hex digits of the buckets
+    Options: ``bits`` of a write (2^bits folders, of 8 bits unless given), ``buckets`` of a read (a bitmap in hex digits of the buckets
     to read), ``removed`` (true: with what was removed, html null)."""
 
     @classmethod
@@ -255,12 +264,12 @@ class PageSource(DataSource):
 
 @dataclass(frozen=True)
 class PageCache:
-    """The cache in ``folder``, which all executors share.  ``bits`` is for what is written next: with 2^bits folders, one task
-    reads a folder, so about a GB a folder is a good size; ``compact(bits)`` deals all pages anew when it has grown."""
+    """The cache in ``folder``, which all executors share.  What is written next has 2^bits folders, as many as fit the data
+    unless ``bits`` is given; a folder is one task's to read.  When a cache has grown, ``compact`` deals all pages anew."""
 
     spark: SparkSession
     folder: str
-    bits: int = 8
+    bits: int | None = None
 
     def __post_init__(self) -> None:
         self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -279,25 +288,43 @@ class PageCache:
         bits[[r.b for r in urls.where("url is not null").select(bucket(F.col("url")).alias("b")).distinct().collect()]] = True
         names = dict.fromkeys(["url", *(columns or ("html", "lastmod", "cached_at"))])
         found = self.read(*names, buckets=np.packbits(bits).tobytes().hex())
-        return found.join(urls.select("url"), "url", "left_semi")
+        return found.join(urls.select("url").distinct(), "url", "left_semi")
+
+    def _size(self) -> int:
+        return sum(f.size for f in _files(self.folder))
 
     def _write(self, rows: DataFrame, bits: int, **options: str) -> None:
-        own = rows.where("url is not null").select("url", "html", "lastmod", F.col("cached_at").cast("timestamp").alias("cached_at"))
         folder = F.shiftrightunsigned(bucket(F.col("url")), MOST_BITS - bits)
-        own.repartition(folder).sortWithinPartitions(folder, "url").write.format(FORMAT).options(bits=str(bits), **options).mode("append").save(self.folder)
+        tasks = min(1 << bits, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rows.repartitionById(tasks, folder % tasks).sortWithinPartitions(folder, "url")
+        dealt.write.format(FORMAT).options(bits=str(bits), **options).mode("append").save(self.folder)
 
     def save(self, rows: DataFrame) -> None:
-        """Adds pages (url, html, lastmod, cached_at); more columns are left out."""
-        self._write(rows, self.bits)
+        """Adds pages (url, html, lastmod, cached_at); more columns are left out.  Rows are gone through twice, so what is
+        costly to make is best stored; where URLs repeat, the row in force of each is found before rows are dealt."""
+        own = rows.where("url is not null").select("url", "html", "lastmod", F.col("cached_at").cast("timestamp").alias("cached_at"))
+        per = own.groupBy("url").agg(F.count("*").alias("n"), F.sum(F.length("html").cast("long")).alias("size"))
+        most, size = per.agg(F.max("n"), F.sum("size")).first()
+        if most is None:
+            return
+        if most > 1:
+            last = F.max_by(F.struct("html", "lastmod", "cached_at"), F.struct("cached_at", "lastmod", F.sha2("html", 256)))
+            own = own.groupBy("url").agg(last.alias("last")).select("url", "last.*")
+        self._write(own, bits_for((size or 0) + self._size()) if self.bits is None else self.bits)
 
     def remove(self, urls: DataFrame, now: Column) -> None:
         """From ``now`` on pages of ``urls`` (url) are not there, until they are saved again."""
-        self._write(urls.select("url", F.lit(None).cast("string").alias("html"), F.lit(None).cast("string").alias("lastmod"), now.cast("timestamp").alias("cached_at")), self.bits)
+        none = F.lit(None).cast("string")
+        own = urls.where("url is not null").select("url").distinct()
+        own = own.select("url", none.alias("html"), none.alias("lastmod"), now.cast("timestamp").alias("cached_at"))
+        self._write(own, bits_for(self._size()) if self.bits is None else self.bits)
 
     def compact(self, bits: int | None = None) -> None:
         """Writes what is in force, removals included, anew, in 2^bits folders.  What other writers add meanwhile stays."""
         before = list(_manifests(self.folder))
-        self._write(self.read(removed="true"), self.bits if bits is None else bits, replaces=json.dumps(before))
+        if bits is None:
+            bits = bits_for(self._size()) if self.bits is None else self.bits
+        self._write(self.read(removed="true"), bits, replaces=json.dumps(before))
 
     def vacuum(self, hours: float = 24) -> int:
         """Deletes files that no manifest in force names and that are older than any read or write that still runs; how many."""

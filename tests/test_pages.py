@@ -148,6 +148,20 @@ def test_pages_are_read_through_the_cache(spark):
     assert through.counts() == plain.counts() and held(cache.read()) == held(plain.cache)
 
 
+def test_folders_follow_the_data(spark, monkeypatch):
+    assert [sources.bits_for(n * sources.FOLDER_BYTES) for n in (0, 1, 2, 3, 4, 5, 1 << 20)] == [0, 0, 1, 2, 2, 3, sources.MOST_BITS]
+    monkeypatch.setattr(sources, "FOLDER_BYTES", 1000)
+    cache = PageCache(spark, shared_folder(spark, "cache"))
+    many = [(f"u{k}", "x" * 100, None, DAY.format(1)) for k in range(80)]
+    cache.save(rows_of(spark, *many, *[("hot", "y" * 9, str(k % 7), DAY.format(1)) for k in range(500)]))
+    assert {f.bits for f in sources._files(cache.folder)} == {4} and len(sources._files(cache.folder)) == 16
+    assert sum(f.size for f in sources._files(cache.folder)) == 8009 and held(cache.read())["hot"][1] == "6"
+    cache.save(rows_of(spark, *[(f"v{k}", "x" * 100, None, DAY.format(1)) for k in range(80)]))
+    assert {f.bits for f in sources._files(cache.folder)} == {4, 5}
+    cache.compact()
+    assert {f.bits for f in sources._files(cache.folder)} == {5} and cache.read().count() == 161
+
+
 def test_json_files_of_another_cache(spark, tmp_path):
     good = {"url": "https://a.org/x", "html": "<p>\n1", "lastmod": None, "cached_at": "2024-05-01T10:00:00.250000", "status_code": 200}
     for name, text in (("a", json.dumps(good)), ("b", "{broken"), ("c", json.dumps({"url": "https://a.org/y"})), ("d", json.dumps({**good, "url": "https://a.org/z", "cached_at": "never"})), ("e", "")):
