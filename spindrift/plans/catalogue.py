@@ -451,10 +451,10 @@ def sitemap_recursion(spark, d):
     leaves = leaves.withColumn("day", F.when(F.col("s") % 3 != 0, F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("s") % 28).cast("int")), "yyyy-MM-dd")))
     sets = leaves.select(name("set", F.col("s")).alias("sitemap"), F.concat(head, F.lit(f"<urlset {space}>"), "body", F.lit("</urlset>")).alias("xml"))
     middle = leaves.groupBy(F.floor(F.col("s") / 50).alias("m")).agg(ordered("s", entry("sitemap", name("set", F.col("s")), F.col("day"))).alias("body"))
-    indexes = middle.select(name("index", F.col("m")).alias("sitemap"), F.concat(head, F.lit(f"<sitemapindex {space}>"), "body", F.lit("<sitemap><loc>missing</loc></sitemap></sitemapindex>")).alias("xml"))
+    indexes = middle.select("m", name("index", F.col("m")).alias("sitemap"), F.concat(head, F.lit(f"<sitemapindex {space}>"), "body", F.lit("<sitemap><loc>missing</loc></sitemap></sitemapindex>")).alias("xml"))
     cached = rows.where("s % 4 = 1").groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "lastmod"))), lambda x: F.struct(F.concat(F.lit("https://docs.example.com/"), x["page_id"].cast("string")).alias("loc"), x["lastmod"].alias("lastmod"))).alias("urls"))
     cache = cached.join(leaves.select("s", "day"), "s").select(name("set", F.col("s")).alias("sitemap"), F.col("day").alias("lastmod"), "urls")
-    found = sitemaps.resolve(sets.unionByName(indexes), indexes.select("sitemap"), cache)
+    found = sitemaps.resolve(sets.unionByName(indexes.drop("m")), indexes.select("sitemap", F.col("m").alias("ord")), cache)
     return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "lastmod", "from_cache", F.col("place")[0].alias("at_index"), F.col("place")[1].alias("at_set"), F.col("place")[2].alias("at_url"))
 
 

@@ -41,16 +41,32 @@ def to_fetch(subs: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumns({"fetch": ~fresh, "urls": F.when(fresh, F.col("urls"))}).drop("cached")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with their number from 1 in this order: dealt by range, so the driver sees a count for each range and no task
+    has all rows."""
+    spark = rows.sparkSession
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    before, firsts = 1, []
+    for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        firsts.append((r.part, before))
+        before += r.n
+    own = spark.createDataFrame(firsts, "_part long, _first long")
+    return dealt.withColumn("_part", part).join(F.broadcast(own), "_part").withColumn("number", F.col("_first") + within).drop("_part", "_first", "_id")
+
+
 def resolve(files: DataFrame, roots: DataFrame, cache: DataFrame | None = None, most_depth: int = 8) -> DataFrame:
-    """(url, lastmod, place, from_cache) of the URL sets under ``roots`` (sitemap): files (sitemap, xml) are read level by level.
+    """(url, lastmod, place, from_cache) of the URL sets under ``roots`` (sitemap, optionally ord): files (sitemap, xml) are read
+    level by level.
 
-    Sub-sitemaps of an index stand newest first and so do the URLs of a set; ordering by ``place`` gives that order.  A
-    sub-sitemap cached under an equal lastmod, in cache (sitemap, lastmod, urls: array of loc and lastmod), gives its cached
-    URLs; others are looked up in files, and one that is not there or does not parse gives none.  Indexes deeper than
-    ``most_depth`` are not followed, so those that refer to each other end."""
+    Roots stand in the order of ``ord``, or else of their names.  Sub-sitemaps of an index stand newest first and so do the
+    URLs of a set; ordering by ``place`` gives that order.  A sub-sitemap cached under an equal lastmod, in cache (sitemap,
+    lastmod, urls: array of loc and lastmod), gives its cached URLs; others are looked up in files, and one that is not there
+    or does not parse gives none.  Indexes deeper than ``most_depth`` are not followed, so those that refer to each other end."""
     spark = files.sparkSession
     cache = cache if cache is not None else spark.createDataFrame([], f"sitemap string, lastmod string, urls {_ENTRY}")
-    at = roots.select("sitemap", F.lit(None).cast("string").alias("lastmod"), F.array(F.row_number().over(Window.orderBy("sitemap"))).alias("place"))
+    order = ["ord", "sitemap"] if "ord" in roots.columns else ["sitemap"]
+    at = numbered(roots.select(*order), *order).select("sitemap", F.lit(None).cast("string").alias("lastmod"), F.array(F.col("number").cast("int")).alias("place"))
     found = None
     for _ in range(most_depth + 1):
         known = stored(to_fetch(at, cache), "sitemaps")

@@ -1,5 +1,7 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from held import differences
+from held import TABLES, differences
 
 import __spark_entry__
 from spindrift.plans import catalogue
@@ -18,3 +20,13 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sitemap_recursion_numbers_more_than_ten_indexes(spark, tmp_path):
+    """The names of indexes do not stand in the order of their numbers."""
+    for name in TABLES:
+        if name != "pages":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    ids = [2500 * k + more for k in range(23) for more in (0, 7, 51)]
+    pq.write_table(pa.table({"page_id": ids, "url": ["https://x/"] * len(ids), "html": [""] * len(ids)}), tmp_path / "pages.parquet")
+    assert differences(spark, catalogue.QUERIES["sitemap_recursion"], catalogue.ORACLE_SQL["sitemap_recursion"], str(tmp_path)) == []
