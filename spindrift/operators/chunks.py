@@ -7,12 +7,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import html, text
+from spindrift.sources.store import PART_BYTES, parts_of
 
 _TOKEN = regex.compile(text.TOKEN)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -117,23 +118,40 @@ def page_chunks(url: str, page: str | None, limits: Limits, repeat_nested: bool
                 yield "child", f"{parent}_child_{n}", parent, url, child, tokens, section.headings, section_id, f"{number}_{n}", code
 
 
-def chunk_pages(pages: DataFrame, limits: Limits = Limits(), repeat_nested: bool = False) -> DataFrame:
-    """Rows of SCHEMA with doc_type, version and code_identifiers, for pages (url, html).  A page that cannot be parsed gives
-    none, nor does one without html."""
-    from spindrift.functions.url import doc_type, normalize_url
+def _chunked(limits: Limits, repeat_nested: bool):
+    """Pages (url, html) -> rows of SCHEMA in batches of about PART_BYTES characters."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.list_(pa.string()) if n == "headings" else pa.int32() if n == "tokens" else pa.string() for n in names]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for part in parts:
-            rows: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0  # characters of rows
+        for part in parts_of(batches, "html"):
             for url, page in zip(part["url"], part["html"], strict=True):
                 try:
-                    rows += page_chunks(url, page, limits, repeat_nested)
+                    for row in page_chunks(url.as_py(), page.as_py(), limits, repeat_nested):
+                        rows.append(row)
+                        held += len(row[4]) + sum(map(len, row[6])) + len(row[9])
+                        if held >= PART_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
                 except html.Rejected:
                     continue
-            yield pd.DataFrame(rows, columns=names)
+        yield batch(rows)
+
+    return run
+
+
+def chunk_pages(pages: DataFrame, limits: Limits = Limits(), repeat_nested: bool = False) -> DataFrame:
+    """Rows of SCHEMA with doc_type, version and code_identifiers, for pages (url, html).  A page that cannot be parsed gives
+    none, nor does one without html."""
+    from spindrift.functions.url import doc_type, normalize_url
 
-    rows = pages.select(normalize_url(F.col("url")).alias("url"), "html").mapInPandas(run, SCHEMA)
+    rows = pages.select(normalize_url(F.col("url")).alias("url"), "html").mapInArrow(_chunked(limits, repeat_nested), SCHEMA)
     return rows.withColumns({"heading_path": text.heading_path(F.col("headings")), "doc_type": doc_type(F.col("url")), "version": text.version(F.col("headings"), F.col("content")), "code_identifiers": text.code_identifiers(F.col("code"))}).drop("code")
 
 
@@ -153,9 +171,9 @@ def page_texts(pages: DataFrame) -> DataFrame:
         except html.Rejected:
             return None, None, None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [of(h) for h in part["html"]]
-            yield pd.DataFrame({"url": part["url"], "text": [f[0] for f in found], "place": [f[1] for f in found], "main": [f[2] for f in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts_of(batches, "html"):
+            found = [of(h.as_py()) for h in part["html"]]
+            yield pa.record_batch([part["url"], *(pa.array([f[n] for f in found], pa.string()) for n in range(3))], names=["url", "text", "place", "main"])
 
-    return pages.select("url", "html").mapInPandas(run, "url string, text string, place string, main string")
+    return pages.select("url", "html").mapInArrow(run, "url string, text string, place string, main string")

@@ -18,7 +18,9 @@ import weakref
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,21 @@ READ_BYTES = 1 << 20
 FAN = 1024
 #: How often a change is made again when other writers were first.
 TRIES = 20
+#: Bytes of text of a batch that a task works on at once.
+PART_BYTES = 1 << 20
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of a string column, a longer text in one of its own: what is made of a part
+    bounds a task's memory, whatever the number of rows that Spark sends at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        row = 0
+        while row < batch.num_rows:
+            before = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(row, end - row)
+            row = end
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -193,3 +194,13 @@ def test_parents_without_children_are_those_that_no_child_names(spark):
     named = {r.parent_id for r in rows if r.kind == "child"}
     assert sorted(r.chunk_id for r in catalogue.QUERIES["parents_without_children"](spark, SMALL).collect()) == sorted(r.chunk_id for r in rows if r.kind == "parent" and r.chunk_id not in named)
     assert catalogue.QUERIES["page_text"](spark, SMALL).where(F.col("text").isNull()).count() == 0
+
+
+def test_what_a_task_holds_does_not_grow_with_its_batch():
+    """Pages that come as one batch leave in many, and are worked on in parts."""
+    page = "<h1>One</h1>" + "".join(f"<h2>Part {k}</h2><p>{'word after word. ' * 60}</p>" for k in range(20))
+    pages = pa.record_batch({"url": [f"u{k}" for k in range(400)], "html": [page] * 399 + [None]})
+    made = list(chunks._chunked(chunks.Limits(), False)(iter([pages])))
+    assert len(made) > 8 and max(b.nbytes for b in made) < 4 << 20
+    assert sum(b.num_rows for b in made) == 399 * len(list(chunks.page_chunks("u", page, chunks.Limits())))
+    assert max(p["html"].nbytes for p in chunks.parts_of(iter([pages]), "html")) < 2 << 20
