@@ -24,6 +24,8 @@ from spindrift.sources.store import Changed, Store, stored
 Embedder = Callable[[Column], Column]
 #: Batches of term statistics of one level that are merged to one of the next.
 MERGED = 4
+#: How postings are written.
+FORMAT = 2
 #: Slots of one version.
 SLOTS = 1 << 44
 TERMS, SPREAD, PARENTS, TOMBSTONES = "term string, df long", "df long, terms long", "parent_id string, content string, version int", "chunk_id string, url string, version int, doc string, slot long"
@@ -87,8 +89,8 @@ class SearchIndex:
         """The last committed index; None where there is none.
 
         Files whose names, sizes or times are not those that were verified last, or all with ``verify``, are held against the
-        digests that were committed.  Vectors, postings and statistics that differ are made anew from the chunks; chunks,
-        parents or tombstones that differ are an error."""
+        digests that were committed.  Vectors, postings and statistics that differ, or are of an older format, are made anew from
+        the chunks; chunks, parents or tombstones that differ are an error."""
         store = Store(spark, folder)
         last = store.state()
         if last is None:
@@ -97,7 +99,7 @@ class SearchIndex:
         bad = {table for table, _ in store.changed([(t, b["batch"], b["digest"]) for t, own in found.state["tables"].items() for b in own], verify)}
         if bad & {"chunks", "parents", "tombstones"}:
             raise Changed(f"files of {', '.join(sorted(bad))} are not those that were committed")
-        return found.rebuild_vectors() if bad else found
+        return found.rebuild_vectors() if bad or found.state.get("format") != FORMAT else found
 
     def _changed(self, change: Callable[[SearchIndex], SearchIndex | None]) -> SearchIndex:
         """Commits what ``change`` makes of the last state, in one entry of the log."""
@@ -118,7 +120,7 @@ class SearchIndex:
         return replace(self, state=self.state | {"tables": tables})
 
     def _emptied(self, **more: str) -> SearchIndex:
-        kept = {"version": self.state.get("version", -1), **more}
+        kept = {"version": self.state.get("version", -1), **more, "format": FORMAT}
         return replace(self, state=kept | {"tables": {}, "n": 0, "total": 0, "mean": 1.0, "low": 0.0})
 
     def batches(self, table: str) -> list[str]:
@@ -145,7 +147,7 @@ class SearchIndex:
         if parents is not None:
             at = at._and("parents", parents.select("parent_id", "content", F.lit(version).alias("version")))
         n, total = rows.agg(F.count("*"), F.sum("n_terms")).first()
-        df = at.store.read("postings", at.batches("postings")[-1:]).groupBy("term").agg(F.sum("n").alias("df"))
+        df = search.frequencies(at.store.read("postings", at.batches("postings")[-1:]))
         return at._counted(df, n, total or 0)
 
     def _minus(self, urls: DataFrame) -> SearchIndex:

@@ -2,6 +2,7 @@ import json
 import re
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,14 @@ def test_small_parts_that_no_query_reaches(spark):
     assert (seen.heading, seen.text_preview) == ("h", "xxxxx...")
     told = spark.range(1).select(chat.tool_definition(F.lit("t"), F.lit('says "x"'), F.lit('{"type":"object"}')).alias("d")).first().d
     assert json.loads(told) == {"type": "function", "function": {"name": "t", "description": 'says "x"', "parameters": {"type": "object"}}}
+
+
+def test_rows_of_postings_do_not_grow_with_the_vocabulary():
+    """A slot is a row for each bucket of terms and one of its own, however many terms its texts have."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) + " all  all" for k in range(100)] + [None, "\t"]
+    rows = pa.record_batch({"slot": pa.array([7] * len(texts), pa.int64()), "doc": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    made = pa.Table.from_batches(list(search._posted(iter([rows]))))
+    assert made.num_rows <= search.BUCKETS + 1
+    df = {r["term"]: r["df"] for b in search._frequencies(iter(made.slice(1).combine_chunks().to_batches())) for r in b.to_pylist()}
+    assert len(df) == 4001 and df["all"] == 100 and df["w3x4"] == 1
+    assert made["texts"][0].as_py() == 102 and made["words"][0].as_py() == 4200
