@@ -178,8 +178,8 @@ class Codec:
         self.young[text] = said
         return said
 
-    def encode(self, text: str) -> list[str]:
-        """Ids as decimals."""
+    def joined(self, text: str) -> str:
+        """Ids as decimals, joined by one space."""
         get, piece = self.young.get, self.piece
         said = []
         for match in self.split.findall(text):
@@ -188,7 +188,11 @@ class Codec:
                 own = piece(match)
                 get = self.young.get  # a new generation may have begun
             said.append(own)
-        return " ".join(said).split()
+        return " ".join(said)
+
+    def encode(self, text: str) -> list[str]:
+        """Ids as decimals."""
+        return self.joined(text).split()
 
     def decode(self, ids: list[str]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -205,9 +209,10 @@ def _coded(path: str, pattern: str, with_ids: bool):
         for batch in sliced(batches):
             n, ids_sha, decoded_sha, all_ids = np.zeros(batch.num_rows, np.int64), [], [], []
             for row, text in enumerate(batch["text"]):
-                ids = own.encode(text.as_py() or "")
+                said = own.joined(text.as_py() or "")
+                ids = said.split(" ") if said else []
                 n[row] = len(ids)
-                ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(said.encode("ascii")).hexdigest())
                 decoded_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 if with_ids:
                     all_ids.append(np.fromiter(map(int, ids), np.int32, len(ids)))
