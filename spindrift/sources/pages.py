@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from spindrift.sources.store import PART_BYTES, parts_of
+
 FORMAT = "spindrift_pages"
 SCHEMA = "url string, html string, lastmod string, cached_at timestamp"
 _OWN = pa.schema([("url", pa.string()), ("html", pa.large_string()), ("lastmod", pa.string()), ("cached_at", pa.timestamp("us", "UTC")), ("digest", pa.string()), ("gone", pa.bool_())])
@@ -35,6 +37,8 @@ _GIVEN = {"url": pa.string(), "html": pa.string(), "lastmod": pa.string(), "cach
 MOST_BITS = 16
 #: Characters of html that a folder is to have, where folders follow the data.
 FOLDER_BYTES = 256 << 20
+#: Rows that it is to have at most, removals included: a task holds their keys, about 300 bytes each.
+FOLDER_ROWS = 1 << 18
 #: Bytes of html after which a row group or a file ends; a longer page is a row group of its own.
 GROUP_BYTES, FILE_BYTES = 16 << 20, 256 << 20
 
@@ -44,9 +48,10 @@ def bucket(url: Column) -> Column:
     return F.shiftrightunsigned(F.crc32(url), 32 - MOST_BITS).cast("int")
 
 
-def bits_for(size: int) -> int:
-    """Bits for ``size`` characters of html, so that a folder, which is a task's, has about FOLDER_BYTES."""
-    return min(MOST_BITS, max(0, -(-size // FOLDER_BYTES) - 1).bit_length())
+def bits_for(size: int, rows: int = 0) -> int:
+    """Bits for ``rows`` with ``size`` characters of html, so that a folder, which is a task's, has about FOLDER_BYTES and
+    FOLDER_ROWS at most."""
+    return min(MOST_BITS, max(0, -(-size // FOLDER_BYTES) - 1, -(-rows // FOLDER_ROWS) - 1).bit_length())
 
 
 def _prefix(url: str, bits: int) -> int:
@@ -63,6 +68,7 @@ class _File:
     bits: int
     prefix: int
     size: int
+    rows: int = 0  # manifests of before name none
 
 
 def _manifests(folder: str) -> dict[str, dict]:
@@ -145,21 +151,26 @@ class _Reader(DataSourceReader):
             yield from self._taken(file, np.sort(at_row[at_file == n]))
 
     def _taken(self, file: pq.ParquetFile, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """These rows of a file, a row group at a time; groups without any are not read."""
+        """These rows of a file in batches of about PART_BYTES; row groups without any are not read."""
         start = 0
         for group in range(file.num_row_groups):
-            end = start + file.metadata.row_group(group).num_rows
-            own = rows[np.searchsorted(rows, start) : np.searchsorted(rows, end)] - start
+            about = file.metadata.row_group(group)
+            end = start + about.num_rows
+            if np.searchsorted(rows, start) < np.searchsorted(rows, end):
+                most = max(1, about.num_rows * PART_BYTES // max(1, about.total_byte_size))
+                for batch in file.iter_batches(most, [group], self.columns or ["gone"]):
+                    own = rows[np.searchsorted(rows, start) : np.searchsorted(rows, start + len(batch))] - start
+                    start += len(batch)
+                    if len(own):
+                        taken = batch.take(pa.array(own))
+                        given = [taken[c].cast(_GIVEN[c]) for c in self.columns]
+                        yield pa.RecordBatch.from_arrays(given, self.columns)
             start = end
-            if len(own):
-                table = file.read_row_group(group, columns=self.columns or ["gone"]).take(pa.array(own))
-                given = [table[c].cast(_GIVEN[c]).combine_chunks() for c in self.columns]
-                yield pa.RecordBatch.from_arrays(given, self.columns)
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[tuple[str, int, int, int]]
+    files: list[tuple[str, int, int, int, int]]
 
 
 class _Writer(DataSourceArrowWriter):
@@ -172,8 +183,8 @@ class _Writer(DataSourceArrowWriter):
             raise ValueError(f"bits must be 0 to {MOST_BITS}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        written: list[tuple[str, int, int, int]] = []
-        out, at, held, total = None, None, 0, 0
+        written: list[tuple[str, int, int, int, int]] = []
+        out, at, held, total, rows = None, None, 0, 0, 0
         parts: list[pa.RecordBatch] = []
 
         def flush() -> None:
@@ -184,7 +195,7 @@ class _Writer(DataSourceArrowWriter):
             parts.clear()
             held = 0
 
-        for batch in iterator:
+        for batch in parts_of(iterator, "html"):
             batch = batch.filter(batch.column("url").is_valid())
             html = batch.column("html").to_pylist()
             prefixes = [_prefix(u, self.bits) for u in batch.column("url").to_pylist()]
@@ -203,19 +214,19 @@ class _Writer(DataSourceArrowWriter):
                 if new:
                     if out is not None:
                         out.close()
-                        written.append((name, self.bits, at, total))
-                    at, total = prefix, 0
+                        written.append((name, self.bits, at, total, rows))
+                    at, total, rows = prefix, 0, 0
                     name = f"{self.bits:02d}/{prefix:04x}/{uuid.uuid4().hex}.parquet"
                     files, path = _at(f"{self.folder}/{name}")
                     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out = pq.ParquetWriter(path, _OWN, filesystem=files, compression="zstd")
-                held, total = held + size, total + size
+                held, total, rows = held + size, total + size, rows + 1
             if len(batch) > start:
                 parts.append(batch.slice(start))
         if out is not None:
             flush()
             out.close()
-            written.append((name, self.bits, at, total))
+            written.append((name, self.bits, at, total, rows))
         return _Written(written)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -290,8 +301,12 @@ class PageCache:
         found = self.read(*names, buckets=np.packbits(bits).tobytes().hex())
         return found.join(urls.select("url").distinct(), "url", "left_semi")
 
-    def _size(self) -> int:
-        return sum(f.size for f in _files(self.folder))
+    def _bits(self, size: int = 0, rows: int = 0) -> int:
+        """Bits for what is there and so much more."""
+        if self.bits is not None:
+            return self.bits
+        files = _files(self.folder)
+        return bits_for(size + sum(f.size for f in files), rows + sum(f.rows for f in files))
 
     def _write(self, rows: DataFrame, bits: int, **options: str) -> None:
         folder = F.shiftrightunsigned(bucket(F.col("url")), MOST_BITS - bits)
@@ -304,27 +319,26 @@ class PageCache:
         costly to make is best stored; where URLs repeat, the row in force of each is found before rows are dealt."""
         own = rows.where("url is not null").select("url", "html", "lastmod", F.col("cached_at").cast("timestamp").alias("cached_at"))
         per = own.groupBy("url").agg(F.count("*").alias("n"), F.sum(F.length("html").cast("long")).alias("size"))
-        most, size = per.agg(F.max("n"), F.sum("size")).first()
+        most, size, n = per.agg(F.max("n"), F.sum("size"), F.count("*")).first()
         if most is None:
             return
         if most > 1:
             last = F.max_by(F.struct("html", "lastmod", "cached_at"), F.struct("cached_at", "lastmod", F.sha2("html", 256)))
             own = own.groupBy("url").agg(last.alias("last")).select("url", "last.*")
-        self._write(own, bits_for((size or 0) + self._size()) if self.bits is None else self.bits)
+        self._write(own, self._bits(size or 0, n))
 
     def remove(self, urls: DataFrame, now: Column) -> None:
         """From ``now`` on pages of ``urls`` (url) are not there, until they are saved again."""
         none = F.lit(None).cast("string")
         own = urls.where("url is not null").select("url").distinct()
+        n = own.count() if self.bits is None else 0
         own = own.select("url", none.alias("html"), none.alias("lastmod"), now.cast("timestamp").alias("cached_at"))
-        self._write(own, bits_for(self._size()) if self.bits is None else self.bits)
+        self._write(own, self._bits(rows=n))
 
     def compact(self, bits: int | None = None) -> None:
         """Writes what is in force, removals included, anew, in 2^bits folders.  What other writers add meanwhile stays."""
         before = list(_manifests(self.folder))
-        if bits is None:
-            bits = bits_for(self._size()) if self.bits is None else self.bits
-        self._write(self.read(removed="true"), bits, replaces=json.dumps(before))
+        self._write(self.read(removed="true"), self._bits() if bits is None else bits, replaces=json.dumps(before))
 
     def vacuum(self, hours: float = 24) -> int:
         """Deletes files that no manifest in force names and that are older than any read or write that still runs; how many."""

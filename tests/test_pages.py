@@ -112,6 +112,47 @@ def test_long_pages_end_row_groups_and_files(spark, monkeypatch):
     assert not any(Path(folder, name).exists() for name, *_ in message.files)
 
 
+def test_what_a_task_holds_does_not_grow_with_its_batch(spark):
+    """A batch of 24 MB is written from parts, and its row groups of 16 MB are read in batches of about 1 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    folder = shared_folder(spark, "cache")
+    rng = random.Random(5)
+    html = [rng.randbytes(4000).hex() for _ in range(3000)]
+    batch = pa.record_batch([[f"u{k:04d}" for k in range(3000)], html, [None] * 3000, [None] * 3000], schema=pa.schema([(n, t) for n, t in sources._GIVEN.items()]))
+    writer = sources._Writer({"path": folder, "bits": "0"}, False)
+    tracemalloc.start()
+    message = writer.write(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20  # Python strings of a part, not of the batch
+    writer.commit([message])
+    reader = sources._Reader(["html", "url"], {"path": folder})
+    made = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(made) > 12 and max(b.nbytes for b in made) < 3 << 20
+    assert {u: h for b in made for u, h in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True)} == {f"u{k:04d}": h for k, h in enumerate(html)}
+
+
+def test_folders_follow_rows_without_html(spark, monkeypatch):
+    """Removals and empty pages have no html, but keys that a task holds."""
+    monkeypatch.setattr(sources, "FOLDER_ROWS", 10)
+    cache = PageCache(spark, shared_folder(spark, "cache"))
+    urls = spark.createDataFrame([(f"u{k}",) for k in range(80)], "url string")
+    cache.remove(urls, F.lit(DAY.format(2)))
+    assert {f.bits for f in sources._files(cache.folder)} == {3} and sum(f.rows for f in sources._files(cache.folder)) == 80
+    cache.save(urls.select("url", F.lit("").alias("html"), F.lit(None).cast("string").alias("lastmod"), F.lit(DAY.format(1)).alias("cached_at")))
+    assert {f.bits for f in sources._files(cache.folder)} == {3, 4} and cache.read().count() == 0
+    cache.compact()
+    assert {f.bits for f in sources._files(cache.folder)} == {4} and cache.read(removed="true").count() == 80
+    # a manifest of before has no rows
+    for path in Path(cache.folder.removeprefix("file://"), "manifests").glob("*.json"):
+        body = json.loads(path.read_text())
+        path.write_text(json.dumps({**body, "files": [f[:4] for f in body["files"]]}))
+    assert cache.read(removed="true").count() == 80 and {f.rows for f in sources._files(cache.folder)} == {0}
+
+
 def test_a_compaction_keeps_what_is_added_meanwhile(spark, monkeypatch):
     cache = PageCache(spark, shared_folder(spark, "cache"), bits=1)
     cache.save(rows_of(spark, ("a", "1", None, DAY.format(1)), ("b", "1", None, DAY.format(1))))
